@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.text import terms
 from ..operators.ordered import running
+from ..operators.sizing import BROADCAST_ROWS, at_most, lookup_join
 
 DOC_BLOCK = 65_536
 
@@ -92,6 +93,37 @@ def phrased_queries(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("query_id", text.alias("text"))
 
 
+# --- labels ---------------------------------------------------------------------------------
+
+GRAM = 4
+
+
+def truth(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments whose text holds a benchmark item verbatim.
+
+    Items meet documents by one inner four-word sequence, whose words a surrounding text cannot change;
+    only the few pairs that meet are compared as text. Items of fewer than six words carry no labels.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    items = table(spark, sf, "benchmark").withColumn("_w", words(F.col("text"))).filter(F.size("_w") >= GRAM + 2)
+    items = items.select("item_id", F.col("text").alias("item"), F.xxhash64(F.slice("_w", 2, GRAM)).alias("gram"))
+    docs = documents(spark, sf)
+    grams = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - GRAM + 1)), lambda i: F.xxhash64(F.slice("_w", i, GRAM))
+    )
+    seen = docs.select("doc_id", words(F.col("text")).alias("_w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    small = at_most(items, BROADCAST_ROWS)
+    met = lookup_join(seen, items.select("item_id", "gram"), ["gram"], ["doc_id"], small).select("item_id", "doc_id")
+    texts = docs.select("doc_id", "text").join(met, "doc_id").join(items.select("item_id", "item"), "item_id")
+    pairs = texts.filter(F.contains("text", "item")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("segment_id"))
+    spans = spans_only(spark, sf).withColumnRenamed("video_id", "video")
+    return pairs.join(spans, "segment_id")
+
+
+TRUTH = """truth AS (SELECT b.item_id AS query_id, s.segment_id, s.video_id AS video, s.start_s, s.end_s
+  FROM benchmark b JOIN spans s ON contains(s.text, b.text))"""
+
+
 def sql_list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 

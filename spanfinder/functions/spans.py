@@ -91,8 +91,12 @@ def recall_at_iou(hits: Column, truth: Column, k: int, threshold: float) -> Colu
     return F.when(good, 1.0).otherwise(0.0)
 
 
-def average_precision(hits: Column, truth: Column, threshold: Column) -> Column:
-    """AP at one IoU threshold: each hit takes the free truth span with the highest IoU."""
+def average_precision(hits: Column, truth: Column, threshold: Column, n_relevant: Column | None = None) -> Column:
+    """AP at one IoU threshold: each hit takes the free truth span with the highest IoU.
+
+    `truth` may leave out spans that no hit touches; `n_relevant` then gives their full number.
+    """
+    n_relevant = F.size(truth) if n_relevant is None else n_relevant
     start = F.struct(
         F.array().cast("array<int>").alias("used"),
         F.lit(0).alias("rank"),
@@ -116,25 +120,25 @@ def average_precision(hits: Column, truth: Column, threshold: Column) -> Column:
         )
 
     total = F.aggregate(hits, start, step, lambda acc: acc["total"])
-    return F.when(F.size(truth) > 0, total / F.size(truth)).otherwise(0.0)
+    return F.when(F.size(truth) > 0, total / n_relevant).otherwise(0.0)
 
 
-def mean_ap(hits: Column, truth: Column) -> Column:
+def mean_ap(hits: Column, truth: Column, n_relevant: Column | None = None) -> Column:
     per = F.transform(
-        F.array(*[F.lit(t) for t in V.IOU_THRESHOLDS]), lambda t: average_precision(hits, truth, t)
+        F.array(*[F.lit(t) for t in V.IOU_THRESHOLDS]), lambda t: average_precision(hits, truth, t, n_relevant)
     )
     return _sum(per) / len(V.IOU_THRESHOLDS)
 
 
-def temporal_metrics(hits: Column, truth: Column) -> dict[str, Column]:
+def temporal_metrics(hits: Column, truth: Column, n_relevant: Column | None = None) -> dict[str, Column]:
     return {
         "r1@0.5": recall_at_iou(hits, truth, 1, 0.5),
         "r1@0.7": recall_at_iou(hits, truth, 1, 0.7),
         "r5@0.5": recall_at_iou(hits, truth, 5, 0.5),
         "r5@0.7": recall_at_iou(hits, truth, 5, 0.7),
-        "map@0.5": average_precision(hits, truth, F.lit(0.5)),
-        "map@0.75": average_precision(hits, truth, F.lit(0.75)),
-        "map": mean_ap(hits, truth),
+        "map@0.5": average_precision(hits, truth, F.lit(0.5), n_relevant),
+        "map@0.75": average_precision(hits, truth, F.lit(0.75), n_relevant),
+        "map": mean_ap(hits, truth, n_relevant),
     }
 
 

@@ -35,6 +35,11 @@ class Corpus:
     frames: DataFrame | None = None
     windows: DataFrame | None = None
 
+    def only(self, video_ids: DataFrame) -> Corpus:
+        """The same corpus restricted to some videos."""
+        cut = lambda t: None if t is None else t.join(video_ids, "video_id", "left_semi")
+        return Corpus(cut(self.segments), cut(self.frames), cut(self.windows))
+
 
 def scope_filter(df: DataFrame, scope: DataFrame | None) -> DataFrame:
     """Rows of the scoped (query_id, video_id) pairs; no scope means everything."""
