@@ -1,6 +1,6 @@
 """Registered queries, grouped by area."""
 
-from . import evaluation_queries, search_queries  # noqa: F401
+from . import evaluation_queries, indexing_queries, search_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

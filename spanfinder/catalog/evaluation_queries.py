@@ -209,8 +209,9 @@ _IOU_ROW = """(CASE WHEN a.video = b.video THEN greatest(0, least(a.end_s, b.end
    ((a.end_s - a.start_s) + (b.end_s - b.start_s) - greatest(0, least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s))) ELSE 0 END)"""
 # labels moved by four seconds, so that the best segment is a real choice
 _SHIFTED = "moved AS (SELECT query_id, video, start_s + 4 AS start_s, end_s + 4 AS end_s FROM truth)"
-_BESTPOS = f"""bp AS (SELECT query_id, arg_max(segment_id, v) AS positive_id, max(v) AS iou FROM (
-   SELECT b.query_id, a.segment_id, {_IOU_ROW} AS v FROM (SELECT segment_id, video_id AS video, start_s, end_s FROM spans) a JOIN moved b ON a.video = b.video) WHERE v > 0 GROUP BY query_id)"""
+_BESTPOS = f"""bp AS (SELECT query_id, segment_id AS positive_id, v AS iou FROM (
+   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(v, 9) DESC, start_s, segment_id) AS nr FROM (
+   SELECT b.query_id, a.segment_id, a.start_s, {_IOU_ROW} AS v FROM (SELECT segment_id, video_id AS video, start_s, end_s FROM spans) a JOIN moved b ON a.video = b.video) WHERE v > 0) WHERE nr = 1)"""
 
 
 def _moved(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import hamming
+from .numeric import hamming, let
 
 
 def plan_chunks(duration: Column, chunk_s: float = 60.0, min_tail_s: float = 15.0) -> Column:
@@ -63,7 +63,11 @@ def plan_segments(
     max_s: float = 15.0,
 ) -> Column:
     """Contiguous (index, start_s, end_s) windows snapped to the utterance end nearest the target."""
-    bounds = F.array_sort(F.array_distinct(F.transform(utterance_ends, lambda b: F.round(b, 3))))
+    ends = F.array_sort(F.array_distinct(F.transform(utterance_ends, lambda b: F.round(b, 3))))
+    return let(ends, lambda bounds: _cut_at(bounds, chunk_start, chunk_end, target_s, min_s, max_s))
+
+
+def _cut_at(bounds: Column, chunk_start: Column, chunk_end: Column, target_s: float, min_s: float, max_s: float) -> Column:
     one = F.struct(F.lit(0).alias("index"), F.lit(0.0).alias("start_s"), F.lit(0.0).alias("end_s"))
     start = F.struct(chunk_start.cast("double").alias("cur"), F.filter(F.array(one), lambda _: F.lit(False)).alias("segs"))
     # a window is never shorter than min_s except the last, so this many steps always reach the end
@@ -91,37 +95,40 @@ def plan_segments(
             chunk_end.cast("double").alias("end_s"),
         )
     )
-    return F.when(F.size(segs) > 0, segs).otherwise(whole)
+    return let(segs, lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 
 
 def sample_windows(
     frame_times: Column, window_s: float = 8.0, stride_s: float = 4.0, n_frames: int = 8
 ) -> Column:
     """Sliding (start_s, end_s, frames) windows with exactly n frame indexes each."""
-    t0, t1 = F.element_at(frame_times, 1), F.element_at(frame_times, -1)
-    last = t1 + 1.0
-    # the window that reaches the end closes the list
-    count = F.greatest(F.lit(0), F.ceil((last - t0 - window_s) / stride_s).cast("int"))
-    positions = F.sequence(F.lit(0), F.size(frame_times) - 1)
-
-    def window(i: Column) -> Column:
-        a = t0 + i * F.lit(stride_s)
-        b = F.least(a + window_s, last)
-        inside = F.filter(
-            positions, lambda p: (F.get(frame_times, p) >= a) & (F.get(frame_times, p) < b)
-        )
-        last_i = F.size(inside) - 1
-        picks = F.transform(
-            F.sequence(F.lit(0), F.lit(n_frames - 1)),
-            lambda j: F.get(inside, F.least(last_i, F.bround(j * last_i / max(1, n_frames - 1)).cast("int"))),
-        )
-        return F.struct(a.alias("start_s"), b.alias("end_s"), picks.alias("frames"))
 
-    windows = F.transform(F.sequence(F.lit(0), count), window)
-    # a window without frames ends the scan
-    empty = F.array_position(F.transform(windows, lambda w: w["frames"][0].isNull()), True)
-    cut = F.when(empty > 0, F.slice(windows, 1, (empty - 1).cast("int"))).otherwise(windows)
-    return F.when(F.size(frame_times) > 0, cut)
+    def windows_of(times: Column) -> Column:
+        t0, last = F.get(times, F.lit(0)), F.element_at(times, -1) + 1.0
+        # the window that reaches the end closes the list
+        count = F.greatest(F.lit(0), F.ceil((last - t0 - window_s) / stride_s).cast("int"))
+
+        def window(i: Column) -> Column:
+            a = t0 + i * F.lit(stride_s)
+            b = F.least(a + window_s, last)
+            seen = F.transform(times, lambda t, p: F.when((t >= a) & (t < b), p))
+
+            def picks(inside: Column) -> Column:
+                end = F.size(inside) - 1
+                spread = F.sequence(F.lit(0), F.lit(n_frames - 1))
+                at = lambda j: F.least(end, F.bround(j * end / max(1, n_frames - 1)).cast("int"))
+                return F.transform(spread, lambda j: F.get(inside, at(j)))
+
+            return F.struct(a.alias("start_s"), b.alias("end_s"), let(F.array_compact(seen), picks).alias("frames"))
+
+        def until_empty(ws: Column) -> Column:
+            # a window without frames ends the scan
+            empty = F.array_position(F.transform(ws, lambda w: F.get(w["frames"], F.lit(0)).isNull()), True)
+            return F.when(empty > 0, F.slice(ws, 1, (empty - 1).cast("int"))).otherwise(ws)
+
+        return let(F.transform(F.sequence(F.lit(0), count), window), until_empty)
+
+    return F.when(F.size(frame_times) > 0, let(frame_times, windows_of))
 
 
 def select_keyframes(frames: Column, min_distance: int = 8, max_gap_s: float = 8.0) -> Column:

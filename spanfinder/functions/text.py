@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .numeric import let
 
 
 def any_case(pattern: str) -> str:
@@ -148,11 +149,18 @@ def short_key(col: Column) -> Column:
 def ordered_distinct_lines(lines: Column, joiner: str) -> Column:
     """Join trimmed lines in order, dropping blanks and case-insensitive repeats (first spelling kept)."""
     kept = F.filter(F.transform(lines, F.trim), lambda s: F.length(s) > 0)
-    lowered = F.transform(kept, F.lower)
-    firsts = F.transform(
-        F.array_distinct(lowered), lambda s: F.element_at(kept, F.array_position(lowered, s).cast("int"))
-    )
-    return F.array_join(firsts, joiner)
+    pairs = F.transform(kept, lambda s: F.struct(F.lower(s).alias("k"), s.alias("s")))
+
+    def firsts(p: Column) -> Column:
+        keys = F.transform(p, lambda x: x["k"])
+        return let(
+            keys,
+            lambda ks: F.transform(
+                F.array_distinct(ks), lambda k: F.get(p, F.array_position(ks, k).cast("int") - 1)["s"]
+            ),
+        )
+
+    return F.array_join(let(pairs, firsts), joiner)
 
 
 def merge_lines(texts: Column) -> Column:

@@ -204,8 +204,8 @@ def best_positive(truth: DataFrame, segments: DataFrame) -> DataFrame:
         {"video": F.col("video"), "start_s": F.col("start_s"), "end_s": F.col("end_s")},
         {"video": F.col("video"), "start_s": F.col("r_start_s"), "end_s": F.col("r_end_s")},
     )
-    order = F.struct(v.alias("iou"), (-F.col("start_s")).alias("neg_start"), (-F.col("segment_id")).alias("neg_id") if dict(s.dtypes)["segment_id"] in ("bigint", "int") else F.col("segment_id").alias("id"))
-    best = pairs.filter(v > 0).groupBy("query_id").agg(F.max_by(F.struct("segment_id", "video", "start_s", "end_s", v.alias("iou")), order).alias("b"))
+    order = F.struct((-F.round(v, 9)).alias("neg_iou"), "start_s", "segment_id")
+    best = pairs.filter(v > 0).groupBy("query_id").agg(F.min_by(F.struct("segment_id", "video", "start_s", "end_s", v.alias("iou")), order).alias("b"))
     return best.select("query_id", F.col("b.segment_id").alias("positive_id"), F.col("b.start_s").alias("positive_start"), F.col("b.end_s").alias("positive_end"), F.col("b.iou").alias("positive_iou"))
 
 
