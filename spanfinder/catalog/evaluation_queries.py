@@ -22,7 +22,8 @@ from .search_queries import DENSE, dense, lexical, lexical_sql, rounded
 def run_hits(spark: SparkSession, sf: str, lane: str, k: int = 10) -> DataFrame:
     hits = (dense if lane == "text" else lexical)(spark, sf, k)
     spans = B.spans_only(spark, sf).withColumnRenamed("video_id", "video")
-    return hits.join(spans, "segment_id")
+    # recorded: a run's hits are stored before they are scored
+    return cut_lineage(hits.join(spans, "segment_id"))
 
 
 def both_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +37,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     scored = [
         ev.score_queries(run_hits(spark, sf, lane), truth).withColumn("experiment", F.lit(lane)) for lane in ("text", "lexical")
     ]
-    return scored[0].unionByName(scored[1])
+    return cut_lineage(scored[0].unionByName(scored[1]))
 
 
 # --- shared SQL ------------------------------------------------------------------------------

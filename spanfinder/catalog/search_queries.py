@@ -347,7 +347,7 @@ def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     seg = B.segments(spark, sf).join(
         vectors(spark, sf).select("segment_id", F.col("embedding").alias("text_embedding")), "segment_id", "left"
     )
-    hits = search(B.plain_queries(spark, sf), Corpus(seg), cfg, limit=10, vectors={"text": "query_vector"})
+    hits = search(B.plain_queries(spark, sf), Corpus(seg), cfg, limit=10, vectors={"text": "query_vector"}, present=False)
     return hits.select("query_id", "video_id", "segment_id", "start_s", "end_s", "score", F.col("rank").cast("long").alias("rank"))
 
 

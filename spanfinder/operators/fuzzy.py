@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.fixed_values import TERM
 
 QUERY_BLOCK = 4096
-TEXTS_AT_ONCE = 16
+TEXTS_AT_ONCE = 32
 _WORD = re.compile(r"[^\W_]+")
 _TERM = re.compile(TERM)
 
@@ -95,12 +95,16 @@ class _Patterns:
         return pair[keep] // n_q, pair[keep] % n_q, sim[keep]
 
     def _best_windows(self, gram, pos, begins, ends, threshold, listed):
-        """Most distinct trigrams of a query in one window, per (text, query) that can pass."""
-        n_q = len(self.ids)
-        order = np.lexsort((pos, gram))
+        """Most distinct trigrams of a query in one window, per (text, query) that can pass.
+
+        Counting over dense position ranges takes the place of sorting: positions of a batch are few.
+        """
+        n_q, n_words = len(self.ids), int(ends[-1])
+        order = np.argsort(gram, kind="stable")  # positions stay ascending within a trigram
         gram, pos = gram[order], pos[order]
-        repeat = np.r_[False, gram[1:] == gram[:-1]] if len(gram) else np.zeros(0, bool)
-        prev = np.where(repeat, np.r_[-1, pos[:-1]], -1) if len(gram) else pos
+        prev = np.full(len(pos), -1, dtype=np.int64)
+        if len(pos) > 1:
+            prev[1:] = np.where(gram[1:] == gram[:-1], pos[:-1], -1)
         counts = self.degree[gram]
         total = int(counts.sum())
         within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -109,31 +113,39 @@ class _Patterns:
         text = np.searchsorted(ends, p, side="right")
         key = text * n_q + q
         # any window lies in two adjacent blocks of its width: without enough occurrences there, drop
-        block = p // (self.widths[q] + 1)
-        at = q * (int(ends[-1]) + 2) + block
-        seen, inverse, size = np.unique(at, return_inverse=True, return_counts=True)
-        right = np.r_[np.where(seen[1:] == seen[:-1] + 1, size[1:], 0), 0]
-        left = np.r_[0, np.where(seen[1:] == seen[:-1] + 1, size[:-1], 0)]
-        enough = (size + np.maximum(left, right))[inverse] > threshold * self.sizes[q]
+        width = self.widths + 1
+        n_blocks = n_words // width + 2
+        offset = np.cumsum(n_blocks) - n_blocks
+        at = offset[q] + p // width[q] + 1
+        size = np.bincount(at, minlength=int(n_blocks.sum()) + 2)
+        # the extra slot at the start of every query's range is empty, so neighbours never leak
+        peak = size + np.maximum(np.r_[0, size[:-1]], np.r_[size[1:], 0])
+        enough = peak[at] > threshold * self.sizes[q]
         if len(listed):
-            enough |= np.isin(key, listed)
+            wanted = np.zeros(len(ends) * n_q, dtype=bool)
+            wanted[listed] = True
+            enough |= wanted[key]
         q, p, before, text, key = q[enough], p[enough], before[enough], text[enough], key[enough]
+        if not len(key):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        pairs = np.nonzero(np.bincount(key, minlength=len(ends) * n_q))[0]
+        slot_of = np.zeros(len(ends) * n_q, dtype=np.int64)
+        slot_of[pairs] = np.arange(len(pairs))
+        slot = slot_of[key]
         lo_text, hi_text = begins[text], ends[text]
-        pairs, slot = np.unique(key, return_inverse=True)
+        span = (ends - begins)[pairs // n_q] + 1  # window starts of a pair, and one closing step
+        start = np.cumsum(span) - span
+        shift = start[slot] - lo_text
         best = np.zeros(len(pairs))
-        base = int(ends[-1]) + 1
         for delta in (-1, 0, 1):
-            width = np.minimum(np.maximum(self.widths[q] + delta, 1), hi_text - lo_text)
+            w = np.minimum(np.maximum(self.widths[q] + delta, 1), hi_text - lo_text)
             # starts of the windows in which this occurrence is the first of its trigram
-            lo = np.maximum(np.maximum(before + 1, lo_text), p - width + 1)
-            hi = np.minimum(p, hi_text - width)
+            lo = np.maximum(np.maximum(before + 1, lo_text), p - w + 1)
+            hi = np.minimum(p, hi_text - w)
             ok = lo <= hi
-            where = np.concatenate([slot[ok] * base + lo[ok], slot[ok] * base + hi[ok] + 1])
-            step = np.concatenate([np.ones(ok.sum()), -np.ones(ok.sum())])
-            srt = np.argsort(where, kind="stable")
-            level, where = np.cumsum(step[srt]), where[srt]
-            last = np.r_[where[1:] != where[:-1], True] if len(where) else np.zeros(0, bool)
-            np.maximum.at(best, where[last] // base, level[last])
+            size = int(span.sum())
+            step = np.bincount((shift + lo)[ok], minlength=size) - np.bincount((shift + hi)[ok] + 1, minlength=size)
+            np.maximum(best, np.maximum.reduceat(np.cumsum(step), start), out=best)
         return pairs, best
 
 

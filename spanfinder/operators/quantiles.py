@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import let
 from .ordered import positions
 
 BINS = 4096
@@ -78,16 +79,22 @@ def quantile_of_bins(bounds: Sequence[float], cumulative: Column, q: float) -> C
     cumulative: array of counts, one per bound and one for infinity. A rank beyond the last bound
     gives the last bound.
     """
-    uppers = F.array(*[F.lit(float(b)) for b in bounds])
-    total = F.element_at(cumulative, -1)
-    rank = F.lit(q) * total
-    first = F.array_position(F.transform(cumulative, lambda c: c >= rank), True).cast("int")
-    upper = F.get(uppers, first - 1)
-    lower = F.when(first == 1, 0.0).otherwise(F.get(uppers, first - 2))
-    below = F.when(first == 1, F.lit(0)).otherwise(F.get(cumulative, first - 2))
-    here = F.get(cumulative, first - 1) - below
-    value = lower + (upper - lower) * F.when(here > 0, (rank - below) / here).otherwise(0.0)
-    return F.when(total > 0, F.when(first > len(bounds), float(bounds[-1])).otherwise(value))
+    last = float(bounds[-1])
+    edges = [0.0, *[float(b) for b in bounds]]
+
+    def value(counts: Column) -> Column:
+        total = F.element_at(counts, -1)
+        rank = F.lit(q) * total
+        # from the last bound down, so that the first bound holding the rank decides
+        out = F.lit(last)
+        for i in reversed(range(len(bounds))):
+            below = F.get(counts, F.lit(i - 1)) if i else F.lit(0)
+            here = F.get(counts, F.lit(i)) - below
+            inside = edges[i] + (edges[i + 1] - edges[i]) * F.when(here > 0, (rank - below) / here).otherwise(0.0)
+            out = F.when(F.get(counts, F.lit(i)) >= rank, inside).otherwise(out)
+        return F.when(total > 0, out)
+
+    return let(cumulative, value)
 
 
 def histogram_quantile(hist: DataFrame, by: Sequence[str], bounds: Sequence[float], q: float, out: str = "quantile") -> DataFrame:

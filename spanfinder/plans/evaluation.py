@@ -13,6 +13,7 @@ from ..functions import spans as S
 from ..operators.ordered import positions, seeded_key, seeded_subset
 from ..operators.quantiles import nearest_rank, paired_bootstrap
 from ..operators.sizing import salted_join
+from ..session import cut_lineage
 
 OVERLAP_METRICS = ["mrr", "ndcg@10", "recall@1", "recall@5", "recall@10", "hit@1", "hit@5", "hit@10"]
 TEMPORAL_METRICS = ["r1@0.5", "r1@0.7", "r5@0.5", "r5@0.7", "map@0.5", "map@0.75", "map"]
@@ -289,7 +290,9 @@ def run_experiment(
     record("running")
     try:
         library, pairs, cfg = restrict(queries, corpus, cfg, spec.scope)
-        hits, lanes = search(queries, library, cfg, limit=spec.limit, scope=pairs, debug=True, **search_options)
+        hits, lanes = search(queries, library, cfg, limit=spec.limit, scope=pairs, debug=True, present=False, **search_options)
+        # both are bounded lists per query and are read several times below
+        hits, lanes = cut_lineage(hits), cut_lineage(lanes)
         hits = hits.withColumn("video", F.col("video_id"))
         scored = score_queries(hits, truth, spec.tolerance_s)
         per_lane = lane_attribution(lanes.withColumn("video", F.col("video_id")), truth, spec.tolerance_s)

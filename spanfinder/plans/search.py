@@ -221,12 +221,14 @@ def search(
     router: Router | None = None,
     weights: dict[str, float] | None = None,
     scorer: Callable | None = None,
+    present: bool = True,
     debug: bool = False,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Ranked moments for every query.
 
     queries: (query_id, text, ...). Query vectors come from columns named in `vectors` or from
-    `encoders`, per lane. With `debug` the ranked lane rows before fusion are returned as well.
+    `encoders`, per lane. `present` adds the texts and a marked snippet to the final hits. With `debug` the
+    ranked lane rows before fusion are returned as well.
     """
     cfg = config or SearchConfig()
     plans = plan_queries(queries, cfg, router, weights)
@@ -244,7 +246,8 @@ def search(
     fused = fu.fuse(merged, asked, cfg.fusion, cfg.rrf_k)
     n_head = max(cfg.rerank_top_k, 4 * limit)
     top = head(fused, n_head)
-    rows = hydrate(top, corpus.segments, at_most(queries, BROADCAST_ROWS // n_head)).join(asked, "query_id")
+    small = at_most(queries, BROADCAST_ROWS // n_head)
+    rows = hydrate(top, corpus.segments, small).join(asked, "query_id")
     if cfg.rerank:
         caption = F.col("caption_text") if cfg.caption_in_rerank_passage else None
         text = passage(F.col("text"), F.col("ocr_text"), caption)
@@ -259,13 +262,18 @@ def search(
         F.map_filter(
             F.map_concat(F.transform_values("signals", lambda _, v: F.round(v, 4)), extra), lambda _, v: v.isNotNull()
         ),
-    ).withColumn("snippet", highlight(F.col("text"), F.col("terms")))
+    )
     single = None
     if scope is not None:
         single = scope.groupBy("query_id").agg(F.countDistinct("video_id").alias("n")).filter("n = 1")
-    carry = ("signals", "snippet", "text", "ocr_text", "caption_text", "total_candidates")
-    hits = suppress_hits(rows, cfg.dedup_window_s, cfg.max_hits_per_video or None, limit, carry, single)
+    # suppression moves ids and scores only; texts are fetched for the hits that remain
+    hits = suppress_hits(rows, cfg.dedup_window_s, cfg.max_hits_per_video or None, limit, ("signals", "total_candidates"), single)
     hits = hits.withColumn("score", F.round("score", 4))
+    if present:
+        texts = [c for c in ("text", "ocr_text", "caption_text") if c in corpus.segments.columns]
+        shown = corpus.segments.select("segment_id", *texts)
+        hits = shown.join(F.broadcast(hits) if small else hits, "segment_id").join(asked.select("query_id", "terms"), "query_id")
+        hits = hits.withColumn("snippet", highlight(F.col("text"), F.col("terms"))).drop("terms")
     if not debug:
         return hits
     spans = corpus.segments.select("segment_id", "video_id", "start_s", "end_s")
