@@ -344,10 +344,9 @@ def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: batch search with dense and lexical lanes, rerank, suppression and limit."""
     lanes = {lane: 0.0 for lane in V.LANES} | {"text": 1.0, "lexical": 0.8}
     cfg = SearchConfig().with_overrides({"lanes": lanes, "router": "fixed"})
-    seg = B.segments(spark, sf).join(
-        vectors(spark, sf).select("segment_id", F.col("embedding").alias("text_embedding")), "segment_id", "left"
-    )
-    hits = search(B.plain_queries(spark, sf), Corpus(seg), cfg, limit=10, vectors={"text": "query_vector"}, present=False)
+    vec = vectors(spark, sf).withColumnRenamed("embedding", "text_embedding")
+    corpus = Corpus(B.segments(spark, sf), vectors=vec)
+    hits = search(B.plain_queries(spark, sf), corpus, cfg, limit=10, vectors={"text": "query_vector"}, present=False)
     return hits.select("query_id", "video_id", "segment_id", "start_s", "end_s", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import TERM
 from ..functions.text import stem, term_tokens
 from .sizing import BROADCAST_ROWS, lookup_join
 from .topk import best_first, topk
@@ -37,20 +38,20 @@ def lexical_hits(items: DataFrame, texts: DataFrame, text: str, normalise: Calla
     The query vocabulary is broadcast when its size is checked, so documents are scanned once and only
     matches, already counted per document in the scanning task, are shuffled.
     """
-    tokens = term_tokens(F.col(text))
+    # trimming and stemming happen on exploded rows, inside generated code
+    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0))
+    plain = normalise(F.rtrim(F.col("token"), F.lit(".'-")))
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("width"), F.lit(0)).alias("w")).first()
     is_small = size["n"] <= BROADCAST_ROWS
     single = items.filter("width = 1").select("query_id", "token")
     # term frequency per document, inside the row: no shuffle before the match
-    located = texts.select("segment_id", F.explode(tokens).alias("token")).withColumn("token", normalise(F.col("token")))
+    located = texts.select("segment_id", F.explode(tokens).alias("token")).withColumn("token", plain)
     counted = lookup_join(located, single, ["token"], ["segment_id"], is_small).groupBy("query_id", "segment_id").agg(
         F.count(F.lit(1)).alias("n")
     )
     if size["w"] > 1:
         wide = items.filter("width > 1")
-        placed = texts.select("segment_id", F.posexplode(tokens).alias("pos", "token")).withColumn(
-            "token", normalise(F.col("token"))
-        )
+        placed = texts.select("segment_id", F.posexplode(tokens).alias("pos", "token")).withColumn("token", plain)
         # tokens of one adjacent match share the same start position
         starts = (
             lookup_join(placed, wide, ["token"], ["segment_id"], is_small)

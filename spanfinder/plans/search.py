@@ -29,16 +29,20 @@ VECTOR_LANES = {"text": "speech_q", "caption": "visual_q", "visual": "visual_q",
 class Corpus:
     """segments(segment_id, video_id, start_s, end_s, text, ocr_text, caption_text, text_embedding,
     caption_embedding), frames(frame_id, segment_id, video_id, visual_embedding),
-    windows(window_id, segment_id, video_id, kind, model_key, start_s, end_s, embedding)."""
+    windows(window_id, segment_id, video_id, kind, model_key, start_s, end_s, embedding).
+
+    The text and caption vectors may live in a table of their own, vectors(segment_id, video_id,
+    text_embedding, caption_embedding), so that no step joins them to the texts."""
 
     segments: DataFrame
     frames: DataFrame | None = None
     windows: DataFrame | None = None
+    vectors: DataFrame | None = None
 
     def only(self, video_ids: DataFrame) -> Corpus:
         """The same corpus restricted to some videos."""
         cut = lambda t: None if t is None else t.join(video_ids, "video_id", "left_semi")
-        return Corpus(cut(self.segments), cut(self.frames), cut(self.windows))
+        return Corpus(cut(self.segments), cut(self.frames), cut(self.windows), cut(self.vectors))
 
 
 def scope_filter(df: DataFrame, scope: DataFrame | None) -> DataFrame:
@@ -85,6 +89,7 @@ def candidate_lanes(
 ) -> list[DataFrame]:
     """Candidate rows of every lane that is switched on; `vectors` names the query vector per lane."""
     k, seg = cfg.candidates, corpus.segments
+    vec = seg if corpus.vectors is None else corpus.vectors
     segs = seg if "ocr_text" in seg.columns else seg.withColumn("ocr_text", F.lit(""))
 
     def near(lane: str, table: DataFrame, column: str, key: str, payload: tuple[str, ...], n: int) -> DataFrame:
@@ -97,7 +102,7 @@ def candidate_lanes(
 
     lanes = []
     if may_run("text") and "text" in vectors:
-        lanes.append(fu.as_lane(near("text", seg, "text_embedding", "segment_id", (), k), "text"))
+        lanes.append(fu.as_lane(near("text", vec, "text_embedding", "segment_id", (), k), "text"))
     if may_run("lexical"):
         asked = lane_on(plans, "lexical")
         hits = lexical_lane(asked, seg, k) if scope is None else _scoped_lexical(asked, seg, k, scope)
@@ -108,7 +113,7 @@ def candidate_lanes(
     if may_run("ocr"):
         lanes.append(fu.as_lane(ocr_lane(lane_on(plans, "ocr"), segs, k, cfg.ocr_trgm_threshold, scope), "ocr"))
     if may_run("caption") and "caption" in vectors:
-        lanes.append(fu.as_lane(near("caption", seg, "caption_embedding", "segment_id", (), k), "caption"))
+        lanes.append(fu.as_lane(near("caption", vec, "caption_embedding", "segment_id", (), k), "caption"))
     if may_run("temporal") and "temporal" in vectors and corpus.windows is not None:
         rows = version_filter(corpus.windows, "temporal", cfg.models.get("temporal", ""))
         hits = near("temporal", rows.filter("segment_id IS NOT NULL"), "embedding", "window_id", ("segment_id", "start_s", "end_s"), 3 * k)
@@ -243,10 +248,11 @@ def search(
     lanes = candidate_lanes(plans, corpus, cfg, names, scope)
     merged = fu.union_lanes(lanes)
     asked = plans.select("query_id", "weights", "terms", "speech_q")
-    fused = fu.fuse(merged, asked, cfg.fusion, cfg.rrf_k)
     n_head = max(cfg.rerank_top_k, 4 * limit)
-    top = head(fused, n_head)
     small = at_most(queries, BROADCAST_ROWS // n_head)
+    asked = F.broadcast(asked) if small else asked
+    fused = fu.fuse(merged, asked, cfg.fusion, cfg.rrf_k)
+    top = head(fused, n_head)
     rows = hydrate(top, corpus.segments, small).join(asked, "query_id")
     if cfg.rerank:
         caption = F.col("caption_text") if cfg.caption_in_rerank_passage else None
