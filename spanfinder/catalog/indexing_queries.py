@@ -110,7 +110,7 @@ def sample_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_UTT}, {_TRIM}, {_SEGS}, {_WIN}
-  SELECT conv_id AS video_id, chunk_index, window_index, idx FROM (
+  SELECT conv_id AS video_id, chunk_index, window_index, CAST(idx AS BIGINT) AS idx FROM (
    SELECT w.conv_id, w.chunk_index, w.k AS window_index, g.idx, row_number() OVER (PARTITION BY w.conv_id, w.chunk_index, w.k
       ORDER BY CASE WHEN g.s <= (w.s + w.e) / 2 AND (w.s + w.e) / 2 < g.e THEN 0 ELSE 1 END, abs((g.s + g.e) / 2 - (w.s + w.e) / 2), g.s) AS r
    FROM win w JOIN segs g ON g.conv_id = w.conv_id AND g.chunk_index = w.chunk_index) WHERE r = 1""")
