@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_chunks import encode
 from .debruijn import remove_repeats
+from .jaccard_tiles import join
+from .rule_forest import judge
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +27,25 @@ def op4_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated spans of 20 words and more, compacted as paths of the de Bruijn graph."""
     out = remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("rest", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
+@query
+def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE ids and decoded texts of all documents, with chunks that documents share encoded once."""
+    import public_tokenizers
+
+    out = encode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and the isolation forest's verdict on all documents."""
+    out = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+@query
+def op5_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles overlap by 0.9 or more."""
+    return join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
