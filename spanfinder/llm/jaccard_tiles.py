@@ -2,7 +2,7 @@
 
 Texts with equal sets form one class. A class is put into tiles by (shingle, size band): by those of its shingles that
 come first in one fixed order, as many as a partner within the threshold cannot all miss, and by the bands that a partner's
-size may have. Within a tile the classes are ordered by size and compared by bitmaps: bit i is the parity of the shingles
+size may have. The order puts shingles that are known to be shared last, so that texts without a partner meet few others. Within a tile the classes are ordered by size and compared by bitmaps: bit i is the parity of the shingles
 that hash to i, so the bits that differ are at most as many as the shingles that do, which bounds the overlap from above.
 Pairs that pass are settled by intersecting the exact sorted arrays.
 
@@ -26,7 +26,7 @@ from .tables import keep, small_batches
 
 WORDS, NUM, DEN = 3, 90, 100
 HOT_SHARE, HOT_MOST = 1 / 1000, 1 << 16
-TILE = 2048
+TILE, STRETCH = 2048, 1.5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -85,22 +85,32 @@ def _describe(k: int):
     return run
 
 
-def prefix_of(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles of which a partner must share one: those that are not common come first, then by hash."""
-    least = -(-num * len(s) // den)  # of a set of n, a partner shares at least num * n / den
-    p = len(s) - least + 1
-    if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-        s = np.r_[s[~late][:p], s[late][:p]]
-    return s[:p]
+class Order:
+    """The fixed order of shingles: those not known to be shared, those that are, those of very many texts; then by hash."""
 
+    def __init__(self, hot: np.ndarray, shared: np.ndarray | None = None):
+        self.hot, self.shared = hot, shared
 
-def _keys(k: int, num: int, den: int, hot):
+    def prefix(self, s: np.ndarray, num: int, den: int, stretch: float = 1.0) -> np.ndarray:
+        """The shingles of which a partner must share one, or some more."""
+        least = -(-num * len(s) // den)  # of a set of n, a partner shares at least num * n / den
+        p = min(len(s), int(np.ceil(stretch * (len(s) - least + 1))))
+        late = np.zeros(len(s), np.int8)
+        if self.shared is not None:
+            late[among(self.shared, s)] = 1
+        if len(self.hot):
+            late[self.hot[np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)] == s] = 2
+        out = s[late == 0][:p]
+        return out if len(out) == p else np.r_[out, s[late == 1], s[late == 2]][:p]
+
+
+def _keys(k: int, num: int, den: int, hot, shared=None, stretch: float = 1.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, off in A.blocks(batch["text"]):
                 sets = [s for s in shingle_sets(data, off, k) if len(s)]
-                parts = [prefix_of(s, hot.value, num, den) for s in sets]
+                order = Order(hot.value, shared.value if shared else None)
+                parts = [order.prefix(s, num, den, stretch) for s in sets]
                 if parts:
                     c = np.repeat([class_of(s) for s in sets], [len(p) for p in parts])
                     yield pa.RecordBatch.from_arrays([pa.array(A.signed(np.concatenate(parts))), pa.array(c)], ["key", "c"])
@@ -124,17 +134,18 @@ def signature(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount((s >> np.uint64(13)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8))
 
 
-def _members(k: int, num: int, den: int, hot, several):
+def _members(k: int, num: int, den: int, hot, shared, several):
     """A row for each class, tile key and band that may hold a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, off in A.blocks(batch["text"]):
                 key, n, c, band, sign = [], [], [], [], []
+                order = Order(hot.value, shared.value)
                 for s in shingle_sets(data, off, k):
                     if not len(s):
                         continue
-                    p = prefix_of(s, hot.value, num, den)
+                    p = order.prefix(s, num, den)
                     p = p[among(several.value, p)]
                     if not len(p):
                         continue
@@ -262,10 +273,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     hot = spark.sparkContext.broadcast(np.sort(top["c"].to_numpy().astype(np.int64).view(np.uint64)))
     classes = keep(own.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
 
-    keys = text.mapInArrow(_keys(words, num, den, hot), "key long, c long")
-    groups = keep(keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("g")).where("c0 < c1").select("key", "g"), "jaccard-keys")
+    def held_by_several(run) -> DataFrame:
+        keys = text.mapInArrow(run, "key long, c long")
+        return keep(keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("g")).where("c0 < c1").select("key", "g"), "jaccard-keys")
+
+    # a first look at somewhat longer prefixes tells most shared shingles; with these put last, few prefixes meet by chance
+    shared = bitmap_of(held_by_several(_keys(words, num, den, hot, stretch=STRETCH)), "key")
+    groups = held_by_several(_keys(words, num, den, hot, shared))
     several, crowded = bitmap_of(groups, "key"), groups.where(F.col("g") > TILE)
-    rows = text.mapInArrow(_members(words, num, den, hot, several), "key long, band int, c long, n int, sign binary")
+    rows = text.mapInArrow(_members(words, num, den, hot, shared, several), "key long, band int, c long, n int, sign binary")
     rows = keep(rows.groupBy("key", "band", "c").agg(F.first("n").alias("n"), F.first("sign").alias("sign")), "jaccard-tiles")
     # a key of more than TILE texts is dealt over blocks, each pair of blocks a tile; of g texts there are at most ceil(g / TILE) blocks
     parts = rows.groupBy("key", "band").agg(F.count("*").alias("g")).where(F.col("g") > TILE).select("key", "band", F.ceil(F.col("g") / TILE).cast("int").alias("s"))

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc_bundles
 from .bpe_chunks import encode
 from .debruijn import remove_repeats
+from .decontaminate import find
 from .jaccard_tiles import join
+from .ordinal_quality import rate
 from .rule_forest import judge
 from .tables import read
+from .toxicity import score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +53,30 @@ def op8_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles overlap by 0.9 or more."""
     return join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by the factorization machine."""
+    return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of all documents: 0 low quality, 1 good but toxic, 2 good and clean, as the two labels rate them."""
+    ratings = read(spark, sf_dir, "labels").select("doc_id", F.expr("CASE WHEN quality = 1 THEN 2 - toxic WHEN quality = 0 THEN 0 END").alias("grade"))
+    out = rate(read(spark, sf_dir, "documents"), ratings)
+    return out.select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_good"), F.element_at("tails", 2).alias("p_clean"), "kept")
+
+
+@query
+def op9_benchmark_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, by BM25 over all passages and verified overlap."""
+    return find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC bundles and read back from them."""
+    index = warc_bundles.write(read(spark, sf_dir, "pages"))
+    return warc_bundles.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

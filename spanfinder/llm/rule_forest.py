@@ -23,10 +23,11 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
 
 TREES, PSI, DEPTH = 96, 256, 8
 KEEP_GOOD = 0.995
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper", "n_distinct", "n_odd_ends"]
-FEATURES = ["size", "word_length", "symbols", "dup_lines", "repeats", "line_words", "digits", "upper", "distinct", "odd_ends"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_odd_ends"]
+FEATURES = ["word_length", "symbols", "line_words", "distinct", "odd_ends"]
+CLEAR = 0.25  # a share from which a statistic counts as plain
 
-_IS = {name: np.isin(np.arange(256), np.frombuffer(chars.encode(), np.uint8)) for name, chars in {"symbol": SYMBOLS, "digit": "0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}.items()}
+_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS.encode(), np.uint8))
 _ODD = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>!~^=+_@\\/{}[]", np.uint8))
 
 
@@ -69,7 +70,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     lines = np.bincount(lrow[has_word], minlength=len(off) - 1)
     distinct = np.bincount(row[A.row_first(h, row)], minlength=len(off) - 1)
     odd = _per_row(_ODD[data[end - 1]] if len(end) else np.zeros(0, bool), woff)
-    return [n_words, word_chars, _per_row(_IS["symbol"][data], off), dups, n_repeat, lines, _per_row(_IS["digit"][data], off), _per_row(_IS["upper"][data], off), distinct, odd]
+    return [n_words, word_chars, _per_row(_SYMBOL[data], off), dups, n_repeat, lines, distinct, odd]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +80,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(c: dict[str, np.ndarray]) -> np.ndarray:
-    n, chars, lines = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1), np.maximum(c["n_lines"], 1)
-    return np.stack([np.log1p(c["n_words"]), c["word_chars"] / n, np.minimum(c["n_symbols"] / n, 2), c["n_dup_lines"] / lines, c["n_repeat_words"] / n, np.log1p(n / lines), c["n_digits"] / chars, c["n_upper"] / chars, c["n_distinct"] / n / (1 + np.log1p(n)), c["n_odd_ends"] / n], 1)
+    """FEATURES of each row; shares beyond CLEAR count alike, so that a split at random parts plain cases from the crowd."""
+    n, lines = np.maximum(c["n_words"], 1), np.maximum(c["n_lines"], 1)
+    shares = {"symbols": c["n_symbols"] / n, "odd_ends": c["n_odd_ends"] / n}
+    rest = {"word_length": c["word_chars"] / n, "line_words": np.log1p(n / lines), "distinct": c["n_distinct"] / n * (1 + np.log1p(n)) / 8}
+    return np.stack([np.minimum(shares[f], CLEAR) if f in shares else rest[f] for f in FEATURES], 1)
 
 
 def _depth_left(n: float) -> float:
@@ -141,7 +145,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_good: float = KEEP_GOOD) -> DataFrame:
     """Rule statistics, anomaly score and verdict of every document.
 
-    The forest is fitted on about TREES * PSI documents, drawn by hash from all. The threshold is the least score that
+    Each of TREES trees is fitted on PSI documents, drawn by hash from all. The threshold is the least score that
     keeps `keep_good` of the rows labelled quality = 1 that pass the base rules, and among thresholds at or above it the one
     with the largest gap between the shares of low- and good-quality rows caught. Without labels of both kinds nothing is
     anomalous. Returns doc_id, COUNTS, base_failed, anomaly (double) and kept. Rows with a null or repeated id are kept as
@@ -149,9 +153,19 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     counts = keep(measure(docs, id_col, text_col), "rule-counts")
     n = counts.count()
-    draw = F.pmod(F.xxhash64(F.lit(8), "doc_id", *COUNTS), F.lit(1 << 30))
-    share = min(1.0, 1.25 * TREES * PSI / max(n, 1))
-    drawn = counts.withColumn("draw", draw).where(F.col("draw") < share * (1 << 30)).withColumn("tree", F.pmod(F.xxhash64(F.lit(9), "draw"), F.lit(TREES)).cast("int"))
+    limit = np.uint64(min(1.0, 1.25 * PSI / max(n, 1)) * (2**63 - 1024) * 2)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch["h"].to_numpy().view(np.uint64)
+            for tree in range(TREES):
+                u = A.mix(h ^ A.mix(np.array([tree + 1], np.uint64)))
+                at = pa.array(np.flatnonzero(u <= limit))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int32)), pa.array(A.signed(u)).take(at), *(batch[c].take(at) for c in COUNTS)], ["tree", "draw", *COUNTS])
+
+    longs = ", ".join(f"{c} long" for c in COUNTS)
+    drawn = counts.withColumn("h", F.xxhash64("doc_id", *COUNTS)).drop("doc_id").mapInArrow(draw, f"tree int, draw long, {longs}")
     schema = "tree int, n int, feature array<int>, value array<double>, left array<int>, depth array<double>"
     trees = [r.asDict() for r in drawn.groupBy("tree").applyInPandas(_grow, schema).collect()]  # at most TREES rows
     forest = docs.sparkSession.sparkContext.broadcast(sorted(trees, key=lambda t: t["tree"]))
