@@ -19,7 +19,7 @@ from .tables import keep
 
 MOST_LABELLED = 24_000
 MIN_TEXTS, SIGNIFICANT = 4, 25.0
-SHARDS, ROUNDS, BATCH = 4, 8, 128
+SHARDS, ROUNDS, PASSES, BATCH = 4, 6, 5, 64
 _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SPACE = np.zeros(256, bool)
@@ -134,9 +134,11 @@ def fit(sample: DataFrame, start: Callable[[int, np.ndarray], dict], step: Calla
             term, doc = given.value.find(lists.values.to_numpy().view(np.uint64), row)
             y, off = table["y"].to_numpy(), np.searchsorted(doc, np.arange(table.num_rows + 1))
             # the order depends on content, not on which task wrote which row
-            for at in np.array_split(np.random.default_rng(turn).permutation(np.argsort(table["h"].to_numpy(), kind="stable")), max(1, table.num_rows // BATCH)):
-                own_terms = [term[off[d] : off[d + 1]] for d in at]
-                step(own, np.concatenate(own_terms), np.repeat(np.arange(len(at)), [len(x) for x in own_terms]), y[at])
+            by_content, rng = np.argsort(table["h"].to_numpy(), kind="stable"), np.random.default_rng(turn)
+            for _ in range(PASSES):
+                for at in np.array_split(rng.permutation(by_content), max(1, table.num_rows // BATCH)):
+                    own_terms = [term[off[d] : off[d + 1]] for d in at]
+                    step(own, np.concatenate(own_terms), np.repeat(np.arange(len(at)), [len(x) for x in own_terms]), y[at])
             yield pa.RecordBatch.from_arrays([pa.array([table.num_rows], pa.int64()), *(pa.array([own[k].astype(np.float32).tobytes()], pa.binary()) for k in names)], ["n", *names])
 
         parts = shards.repartitionByRange(SHARDS, "shard").select("h", "y", "terms").mapInArrow(train, ", ".join(["n long", *(f"{k} binary" for k in names)])).collect()  # SHARDS rows
