@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import warc_bundles
+from . import secret_forest, warc_bundles
 from .bpe_chunks import encode
 from .debruijn import remove_repeats
 from .decontaminate import find
@@ -80,3 +80,10 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC bundles and read back from them."""
     index = warc_bundles.write(read(spark, sf_dir, "pages"))
     return warc_bundles.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret findings of all documents as the forest judges them; values are given as digests."""
+    found = secret_forest.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "by_name", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import terms as T
 from .tables import small_batches
 
-FACTORS, RATE, PENALTY = 8, 0.5, 1e-4
+FACTORS, RATE, PENALTY = 8, 1.0, 1e-5
 TOXIC = 0.7
 
 
