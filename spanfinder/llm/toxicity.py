@@ -7,10 +7,14 @@ insult with the mention of a group, has a weight of its own through the factors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays as A
 from . import terms as T
 from .tables import small_batches
 
@@ -56,6 +60,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _model(docs: DataFrame, labels: DataFrame, most_labelled: int):
+    sample = T.labelled_sample(docs, labels, "toxic", "y IN (0, 1) AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 <> 1", most_labelled)
+    vocabulary, p = T.fit(sample, _start, _step, marks=False)
+    return vocabulary, docs.sparkSession.sparkContext.broadcast({k: p[k] for k in ("bias", "w", "v")})
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = T.MOST_LABELLED) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score (0 to 1) and predicted (1 from TOXIC on).
 
@@ -66,8 +76,23 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = T.labelled_sample(docs, labels, "toxic", "y IN (0, 1) AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 <> 1", most_labelled)
-    vocabulary, p = T.fit(sample, _start, _step, marks=False)
-    model = docs.sparkSession.sparkContext.broadcast({k: p[k] for k in ("bias", "w", "v")})
+    vocabulary, model = _model(docs, labels, most_labelled)
     scored = T.apply(docs, vocabulary, lambda term, doc, n: [_sigmoid(_sums(model.value, term, doc, n)[0])], "score double", marks=False)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, most_labelled: int = T.MOST_LABELLED) -> DataFrame:
+    """The rows of `docs` (doc_id, text and others) that `score` does not predict toxic, as they are and where they are."""
+    small_batches(docs.sparkSession)
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    vocabulary, model = _model(text, labels, most_labelled)
+    given = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [np.zeros(0, bool)]
+            for lo, hi, data, off in A.blocks(batch["text"]):
+                ok.append(_sigmoid(_sums(model.value, *given.value.find(*T.terms(data, off)), hi - lo)[0]) < TOXIC)
+            yield batch.filter(pa.array(np.concatenate(ok)))
+
+    return docs.mapInArrow(run, docs.schema)
