@@ -8,9 +8,9 @@ their order as suffixes. The queue holds a bounded number of entries in memory a
 Common-prefix values go through the induction: one symbol more than the least of those between the two inducing suffixes.
 
 Over the corpus, texts are first cut into pieces that can only repeat together: the windows of `size` bytes that share a
-minimizer. Pieces of one minimizer meet in one shard. Where all have the same bytes, one name stands for them and no order
-is needed; the distinct ones of all others go into the shard's suffix array, in which repeated windows are neighbours with
-a common prefix of at least `size`.
+minimizer. Where all pieces of a minimizer have the same bytes, one name stands for them and no order is needed. Of the
+others those whose windows hold a long core that other pieces have too meet in one shard, and in its suffix array repeated
+windows are neighbours with a common prefix of at least `size`.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .tables import keep, small_batches
 SIZE, GRAM = 400, 32
 IN_MEMORY = 4 << 20
 FEW = 24  # batches up to this go entry by entry, larger ones as arrays
-SHARD_BYTES = 4 << 20
+SHARD_BYTES, AHEAD, RANGES = 2 << 20, 8, 4
 
 
 class Queue:
@@ -308,34 +308,115 @@ def suffix_array(text: np.ndarray, most: int = IN_MEMORY) -> Iterator[tuple[np.n
     yield from induce(text, small, *_sort_lms(text, small, most), most)
 
 
+def _least_between(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least of common[a + 1 .. b] for all pairs a < b."""
+    level, tables = 1, [common]
+    while 2 * level <= len(common):
+        tables.append(np.minimum(tables[-1][:-level], tables[-1][level:]))
+        level *= 2
+    power = np.frexp((b - a).astype(np.float64))[1] - 1
+    out = np.empty(len(a), common.dtype)
+    for k in np.unique(power):
+        own = power == k
+        out[own] = np.minimum(tables[k][a[own] + 1], tables[k][b[own] - (1 << int(k)) + 1])
+    return out
+
+
 def repeated_starts(pieces: list[bytes], size: int, most: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """(flags, offsets): which bytes of the pieces start a string of `size` bytes that also starts elsewhere in them."""
+    """(flags, offsets): which bytes of the pieces start a string of `size` bytes that also starts elsewhere in them.
+
+    Blocks begin where a hash of the next AHEAD bytes says so, so equal strings have equal blocks. The suffixes at blocks are
+    sorted as strings of block names; those between are induced from the next block: by the bytes up to it, then by its rank.
+    """
     lengths = np.array([len(p) for p in pieces], np.int64)
     off = np.r_[0, np.cumsum(lengths + 1)]
-    text = np.ones(int(off[-1]) + 1, np.int64)
-    text[-1] = 0
-    at = np.arange(len(text) - 1) - np.repeat(off[:-1], lengths + 1)
-    inner = at < np.repeat(lengths, lengths + 1)
-    text[:-1][inner] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64) + 2
-    whole = np.r_[at + size <= np.repeat(lengths, lengths + 1), False]  # no separator within `size`
-    flag = np.zeros(len(text), bool)
-    last = len(text) - 1
-    for position, common in suffix_array(text, most):
-        position = np.asarray(position)
-        again = np.asarray(common) >= size
-        before = np.r_[last, position[:-1]]
-        both = again & whole[position] & whole[before]
-        flag[position[both]] = True
-        flag[before[both]] = True
-        last = int(position[-1])
-    return flag[:-1], off
+    raw = np.zeros(int(off[-1]), np.uint8)
+    text = np.ones(len(raw), np.int64)
+    inner = np.ones(len(raw), bool)
+    inner[off[1:] - 1] = False
+    raw[inner] = np.frombuffer(b"".join(pieces), np.uint8)
+    text[inner] = raw[inner].astype(np.int64) + 2
+    row = np.repeat(np.arange(len(pieces)), lengths + 1)
+    end = off[1:][row] - 1
+    at = np.arange(len(raw))
+    run = A.prefix(raw)
+    flag = np.zeros(len(raw), bool)
+
+    def alike(key: np.ndarray, place: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        flag[place[order[1:][same]]] = True
+        flag[place[order[:-1][same]]] = True
+
+    able = at + AHEAD <= end
+    h = A.span_hash(run, at[able], at[able] + AHEAD)
+    block = at[able][h >> np.uint64(59) == 0]
+    whole = at[at + size <= end]
+    after = np.searchsorted(block, whole)
+    none = after >= len(block)
+    after[none] = 0
+    gap = (block[after] if len(block) else np.zeros(0, np.int64)) - whole if len(block) else np.full(len(whole), size)
+    apart = none | (gap + AHEAD > size)  # no block begins in the string: a run without variety
+    alike(A.span_hash(run, whole[apart], whole[apart] + size), whole[apart])
+    whole, after, gap = whole[~apart], after[~apart], gap[~apart]
+    if not len(whole):
+        return flag, off
+    # a block's name: the rank of its bytes and of the AHEAD bytes behind, or of those up to its piece's end
+    stop = np.minimum(np.r_[block[1:], len(raw)] + AHEAD, end[block] + 1)
+    _, one, own = np.unique(A.span_hash(run, block, stop), return_index=True, return_inverse=True)
+    name = _names(text, block[one], stop[one])[own] + 1
+    last_of_piece = np.r_[row[block][1:] != row[block][:-1], True]
+    names = np.insert(name + 1, np.flatnonzero(last_of_piece) + 1, 1)  # a separator behind each piece's blocks
+    number = np.cumsum(np.r_[0, last_of_piece[:-1]]) + np.arange(len(block))  # place of each block in it
+    which = np.full(len(names) + 1, -1)
+    which[number] = np.arange(len(block))
+    parts = list(suffix_array(np.r_[names, 0], most))
+    position = np.concatenate([np.asarray(p) for p, _ in parts])
+    equal = np.concatenate([np.asarray(c) for _, c in parts])
+    # keep the suffixes at blocks; separators sort apart from them
+    is_block = which[position] >= 0
+    position, equal = position[is_block], equal[is_block]
+    begin = block[which[position]]
+    common = np.zeros(len(position), np.int64)
+    if len(position) > 1:
+        a, b = position[:-1], position[1:]
+        # equal names end with their piece at the latest; the bytes behind the last equal one are compared as such
+        stop_a, stop_b = which[a + equal[1:]], which[b + equal[1:]]
+        known = np.where((stop_a >= 0) & (stop_b >= 0), block[np.maximum(stop_a, 0)] - begin[:-1], 0)
+        far = known >= size
+        common[1:] = np.where(far, size, known + _extend_few(text, begin[:-1] + known, begin[1:] + known, ~far, size))
+    rank = np.empty(len(block), np.int64)
+    rank[which[position]] = np.arange(len(position))
+    before = A.span_hash(run, whole, block[after])
+    order = np.lexsort((rank[after], before))
+    same = np.flatnonzero(before[order][1:] == before[order][:-1])
+    x, y = order[same], order[same + 1]
+    rx, ry = rank[after[x]], rank[after[y]]
+    ok = gap[x] + _least_between(common, rx, ry) >= size
+    flag[whole[x[ok]]] = True
+    flag[whole[y[ok]]] = True
+    return flag, off
+
+
+def _extend_few(text: np.ndarray, a: np.ndarray, b: np.ndarray, some: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix at a and b, `most` at the utmost, for some of the pairs."""
+    out = np.zeros(len(a), np.int64)
+    open_, step = np.flatnonzero(some), 0
+    while len(open_) and step < most:
+        x, y = a[open_] + step, b[open_] + step
+        ok = (x < len(text)) & (y < len(text))
+        ok[ok] = (text[x[ok]] == text[y[ok]]) & (text[x[ok]] > 1)
+        open_ = open_[ok]
+        step += 1
+        out[open_] = step
+    return out
 
 
 class Windows:
     """Windows of `size` bytes of a block of texts, and the pieces they form by their minimizers."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, size: int, gram: int):
-        self.size, self.off = size, off
+        self.size, self.gram = size, gram
         self.start = A.starts_of(off, size)
         if not len(self.start):
             self.first = self.last = self.h = self.row = np.zeros(0, np.int64)
@@ -351,6 +432,22 @@ class Windows:
         self.row = row[place]
         self.h = A.span_hash(run, at[place], at[place] + gram)
         self.s = A.mix(A.span_hash(run, self.first, self.last + size) ^ A.mix((at[place] - self.first).astype(np.uint64)))
+        self.at, self.run = at[place], run
+
+    def cores(self, some: np.ndarray) -> pa.Array:
+        """For each of RANGES groups of a piece's windows a hash of the bytes that all of them hold; a window can only repeat
+        where its group's bytes do."""
+        step = -(-(self.size - self.gram + 1) // RANGES)
+        at, first, last = self.at[some], self.first[some], self.last[some]
+        found, owner = [], []
+        for k in range(RANGES):
+            lo, hi = at - (k + 1) * step + 1, at - k * step  # where the group's windows start, as far as the piece has them
+            ok = np.flatnonzero((hi >= first) & (lo <= last))
+            found.append(A.span_hash(self.run, hi[ok], lo[ok] + self.size) + np.uint64(k))
+            owner.append(ok)
+        owner, found = np.concatenate(owner), np.concatenate(found)
+        order = np.argsort(owner, kind="stable")
+        return A.lists(A.signed(found[order]), np.searchsorted(owner[order], np.arange(len(some) + 1)))
 
 
 def _pieces(size: int, gram: int):
@@ -394,8 +491,9 @@ def _named(size: int, gram: int, whole, mixed):
                         pa.concat_arrays([ids, pa.nulls(len(c), pa.int64())]),
                         pa.array(np.r_[np.zeros(len(a) + len(one), np.int64), n]),
                         pa.array([None] * (len(a) + len(one)) + [data[w.first[i] : w.last[i] + size].tobytes() for i in c], pa.binary()),
+                        pa.concat_arrays([pa.nulls(len(a) + len(one), pa.list_(pa.int64())), w.cores(c)]),
                     ],
-                    ["kind", "h", "s", "doc", "n", "piece"],
+                    ["kind", "h", "s", "doc", "n", "piece", "cores"],
                 )
 
     return run
@@ -404,13 +502,11 @@ def _named(size: int, gram: int, whole, mixed):
 def _sort_shards(size: int, most: int):
     """Repeated windows of each piece, as ranges of starts; pieces of one minimizer are in one task, in order."""
 
-    def ranges(pieces: list[bytes], s: list[int], n: list[int]) -> pa.RecordBatch:
+    def ranges(pieces: list[bytes], s: list[int]) -> pa.RecordBatch:
         flag, off = repeated_starts(pieces, size, most)
         out_s, out = [], []
-        for i, (key, times) in enumerate(zip(s, n, strict=True)):
+        for i, key in enumerate(s):
             own = flag[off[i] : off[i + 1] - 1]
-            if times > 1:
-                own = np.r_[np.ones(len(pieces[i]) - size + 1, bool), np.zeros(size - 1, bool)]
             edge = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8))).tolist()
             if edge:
                 out_s.append(key)
@@ -418,16 +514,16 @@ def _sort_shards(size: int, most: int):
         return pa.RecordBatch.from_arrays([pa.array(out_s, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["s", "edges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, s, n, held, last = [], [], [], 0, None
+        pieces, s, held, last = [], [], 0, None
         for batch in batches:
-            for h, own, times, piece in zip(*(batch[c].to_pylist() for c in ("h", "s", "n", "piece")), strict=True):
+            for h, own, piece in zip(*(batch[c].to_pylist() for c in ("h", "s", "piece")), strict=True):
                 if h != last and held >= SHARD_BYTES:
-                    yield ranges(pieces, s, n)
-                    pieces, s, n, held = [], [], [], 0
-                pieces.append(piece), s.append(own), n.append(times)
+                    yield ranges(pieces, s)
+                    pieces, s, held = [], [], 0
+                pieces.append(piece), s.append(own)
                 held, last = held + len(piece), h
         if pieces:
-            yield ranges(pieces, s, n)
+            yield ranges(pieces, s)
 
     return run
 
@@ -448,7 +544,10 @@ def _cut(size: int, gram: int):
                         hit = np.isin(A.signed(w.h[own]), whole)
                         np.add.at(cover, w.first[own][hit], 1)
                         np.add.at(cover, w.last[own][hit] + size, -1)
-                        part = {f["h"]: f["edges"] for f in found[lo + i] if f["edges"] is not None}
+                        part: dict[int, list[int]] = {}
+                        for f in found[lo + i]:
+                            if f["edges"] is not None:
+                                part.setdefault(f["h"], []).extend(f["edges"])
                         for s, first in zip(A.signed(w.s[own]).tolist(), w.first[own].tolist(), strict=True) if part else ():
                             edges = part.get(s, ())
                             for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -481,10 +580,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = pieces.groupBy("h").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.sum("n").alias("n")).where("n > 1")
     several = keep(several.select("h", (F.col("s0") == F.col("s1")).alias("whole")), "suffix-groups")
     whole, mixed = several.where("whole").select("h"), several.where("NOT whole").select("h")
-    named = keep(texts.mapInArrow(_named(size, gram, bitmap_of(whole, "h"), bitmap_of(mixed, "h")), "kind int, h long, s long, doc long, n long, piece binary"), "suffix-named")
-    distinct = named.where("kind = 2").groupBy("h", "s").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"))
-    shards = distinct.join(mixed, "h").repartition("h").sortWithinPartitions("h", "s")
-    repeated = keep(shards.select("h", "s", "n", "piece").mapInArrow(_sort_shards(size, most), "s long, edges array<int>"), "suffix-repeats")
+    named = keep(texts.mapInArrow(_named(size, gram, bitmap_of(whole, "h"), bitmap_of(mixed, "h")), "kind int, h long, s long, doc long, n long, piece binary, cores array<long>"), "suffix-named")
+    held = named.where("kind = 2").withColumn("last", F.octet_length("piece") - size + 1)
+    counted = held.groupBy("s").agg(F.sum("n").alias("n"), F.first("last").alias("last"), F.first("cores").alias("cores"))
+    cores = counted.select("s", F.explode("cores").alias("core"))
+    likely = keep(cores.join(cores.groupBy("core").count().where("count > 1").select("core"), "core").select("s").distinct(), "suffix-likely")
+    shards = held.join(likely, "s").dropDuplicates(["s"]).repartition("h").sortWithinPartitions("h", "s")
+    partly = shards.select("h", "s", "piece").mapInArrow(_sort_shards(size, most), "s long, edges array<int>")
+    wholly = counted.where("n > 1").select("s", F.array(F.lit(0), F.col("last").cast("int")).alias("edges"))
+    repeated = keep(partly.unionAll(wholly), "suffix-repeats")
     found = named.where("kind = 0").select("doc", "h").join(whole, "h").select("doc", F.struct("h", F.lit(None).cast("array<int>").alias("edges")).alias("f"))
     found = found.unionAll(named.where("kind = 1").select("doc", "s").join(repeated, "s").select("doc", F.struct(F.col("s").alias("h"), "edges").alias("f")))
     found = found.groupBy(F.coalesce("doc", F.lit(_NULL)).alias("at")).agg(F.collect_list("f").alias("found"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_forest, warc_bundles
+from . import induced_suffix, secret_forest, warc_bundles
 from .bpe_chunks import encode
 from .debruijn import remove_repeats
 from .decontaminate import find
@@ -87,3 +87,10 @@ def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret findings of all documents as the forest judges them; values are given as digests."""
     found = secret_forest.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", "by_name", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
+@query
+def op7_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 and more that repeat anywhere, by suffix arrays of shards."""
+    out = induced_suffix.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
