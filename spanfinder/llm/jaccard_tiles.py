@@ -164,66 +164,91 @@ def _members(k: int, num: int, den: int, hot, shared, several):
     return run
 
 
+def _allowed(t: np.ndarray, n: np.ndarray, comp: np.ndarray, sign: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """(i, j, bits that differ) of all pairs of a tile's rows, ordered by size, that the bitmaps allow and that are apart."""
+    got = [(np.zeros(0, np.int64),) * 3]
+    here, step = np.arange(len(t)), 0
+    while len(here):
+        step += 1
+        here = here[here + step < len(t)]
+        here = here[(t[here] == t[here + step]) & (den * n[here] >= num * n[here + step])]
+        at = here[comp[here] != comp[here + step]]
+        for lo in range(0, len(at), 1 << 16):
+            i = at[lo : lo + (1 << 16)]
+            x = np.bitwise_count(sign[i] ^ sign[i + step]).sum(1, dtype=np.int64)
+            both = (n[i] + n[i + step] - x) // 2
+            ok = den * both >= num * (n[i] + n[i + step] - both)
+            got.append((i[ok], i[ok] + step, x[ok]))
+    return tuple(np.concatenate(v) for v in zip(*got, strict=True))
+
+
+def _nearest(own: np.ndarray, group: np.ndarray, x: np.ndarray, c: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` nearest of their row and group."""
+    order = np.lexsort((c, x, group, own))
+    new = np.r_[True, (own[order][1:] != own[order][:-1]) | (group[order][1:] != group[order][:-1])][: len(order)]
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = np.zeros(len(own), bool)
+    out[order[rank < most]] = True
+    return out
+
+
 def _partners(num: int, den: int, most: int):
-    """For each class of a tile its `most` nearest classes of other components, of those that the bitmaps allow."""
-
-    def tile_pairs(t: np.ndarray, c: np.ndarray, n: np.ndarray, comp: np.ndarray, sign: np.ndarray) -> tuple[list, bool]:
-        got, cut = [], False
-        here = np.arange(len(t))
-        step = 0
-        while len(here):
-            step += 1
-            here = here[here + step < len(t)]
-            here = here[(t[here] == t[here + step]) & (den * n[here] >= num * n[here + step])]
-            at = here[comp[here] != comp[here + step]]
-            for lo in range(0, len(at), 1 << 16):
-                i = at[lo : lo + (1 << 16)]
-                j = i + step
-                x = np.bitwise_count(sign[i] ^ sign[j]).sum(1, dtype=np.int64)
-                both = (n[i] + n[j] - x) // 2
-                ok = den * both >= num * (n[i] + n[j] - both)
-                if ok.any():
-                    got.append((i[ok], j[ok], x[ok]))
-        if not got:
-            return [], False
-        i, j, x = (np.concatenate(v) for v in zip(*got, strict=True))
-        keep_it = np.zeros(len(i), bool)
-        for own, other in ((i, j), (j, i)) if most > 1 else ((j, i),):
-            order = np.lexsort((c[other], x, comp[other] if most > 1 else np.zeros(len(i), int), own))
-            group = np.r_[True, (own[order][1:] != own[order][:-1]) | ((comp[other][order][1:] != comp[other][order][:-1]) if most > 1 else False)]
-            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(group, np.arange(len(order)), 0))
-            keep_it[order[rank < most]] = True
-        cut = not keep_it.all()
-        return [(c[i[keep_it]], c[j[keep_it]])], cut
+    """Pairs of each tile, and the rows of the tiles that have more.
+
+    A tile with few pairs gives all. Of others, in the first round (most = 0) each row gives its nearest one before it, later
+    the `most` nearest in each other component; these tiles' rows go on to the next round.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[dict]):
             key, band, sub, c, n, comp = (np.concatenate([p[k] for p in parts]) for k in ("key", "band", "sub", "c", "n", "comp"))
             sign = [s for p in parts for s in p["sign"]]
             new = np.r_[True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (sub[1:] != sub[:-1])]
-            tile = np.cumsum(new)
+            tile = np.cumsum(new) - 1
             size = np.array([len(s) for s in sign])
             for width in np.unique(size):
                 at = np.flatnonzero(size == width)
                 m = np.frombuffer(b"".join([sign[i] for i in at]), np.uint64).reshape(len(at), width // 8)
-                pairs, cut = tile_pairs(tile[at], c[at], n[at], comp[at], m)
-                for a, b in pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cut))], ["a", "b", "cut"])
+                i, j, x = _allowed(tile[at], n[at], comp[at], m, num, den)
+                i, j = at[i], at[j]
+                rows, pairs = np.bincount(tile, minlength=tile[-1] + 1), np.bincount(tile[i], minlength=tile[-1] + 1)
+                many = pairs > 2 * rows
+                take = ~many[tile[i]]
+                if most:
+                    take |= _nearest(i, comp[j], x, c[j], most) | _nearest(j, comp[i], x, c[i], most)
+                else:
+                    take |= _nearest(j, np.zeros(len(j), np.int64), x, c[i], 1)
+                left = np.bincount(tile[i[~take]], minlength=tile[-1] + 1) > 0
+                rest = at[left[tile[at]]]
+                a, b = np.minimum(c[i[take]], c[j[take]]), np.maximum(c[i[take]], c[j[take]])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.r_[a, c[rest]]),
+                        pa.concat_arrays([pa.array(b), pa.nulls(len(rest), pa.int64())]),
+                        *(pa.concat_arrays([pa.nulls(len(a), k), pa.array(v[rest], k)]) for v, k in ((key, pa.int64()), (band, pa.int32()), (sub, pa.int32()), (n, pa.int32()))),
+                        pa.concat_arrays([pa.nulls(len(a), pa.binary()), pa.array([sign[r] for r in rest], pa.binary())]),
+                    ],
+                    ["a", "b", "key", "band", "sub", "n", "sign"],
+                )
 
         parts: list[dict] = []
         held = 0
         for batch in batches:
             p = {k: batch[k].to_numpy() for k in ("key", "band", "sub", "c", "n", "comp")} | {"sign": batch["sign"].to_pylist()}
+            if not len(p["c"]):
+                continue
             p["n"] = p["n"].astype(np.int64)
             # rows of the last tile wait for the next batch
             same = (p["key"] == p["key"][-1]) & (p["band"] == p["band"][-1]) & (p["sub"] == p["sub"][-1])
             last = int(np.argmax(same))
-            if last or held > 20_000:
-                parts.append({k: v[:last] for k, v in p.items()})
-                yield from flush(parts)
+            before = parts[-1] if parts else None
+            new = before is not None and any(before[k][-1] != p[k][0] for k in ("key", "band", "sub"))
+            if held + last >= 4096 and (last or new):
+                yield from flush([*parts, {k: v[:last] for k, v in p.items()}] if last else parts)
                 parts, held = [], 0
-            parts.append({k: v[last:] for k, v in p.items()})
-            held += len(parts[-1]["c"])
+                p = {k: v[last:] for k, v in p.items()}
+            parts.append(p)
+            held += len(p["c"])
         if parts:
             yield from flush(parts)
 
@@ -291,23 +316,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     tiles = tiles.withColumn("sub", F.explode(sub)).drop("s")
 
     links = spark.createDataFrame([], "a long, b long")
-    comp, most = None, 1
+    comp, most, told = None, 0, "a long, b long, key long, band int, sub int, n int, sign binary"
     while True:
         at = tiles.withColumn("comp", F.col("c")) if comp is None else tiles.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         dealt = at.repartition("key", "band", "sub").sortWithinPartitions("key", "band", "sub", "n", "c")
-        pairs = keep(dealt.select("key", "band", "sub", "c", "n", "comp", "sign").mapInArrow(_partners(num, den, most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")), "jaccard-pairs")
-        state = pairs.agg(F.count("*").alias("n"), F.max("cut").alias("cut")).first()
-        if not state["n"]:
-            break
+        out = keep(dealt.select("key", "band", "sub", "c", "n", "comp", "sign").mapInArrow(_partners(num, den, most), told), "jaccard-pairs")
+        pairs = out.where("b IS NOT NULL").select("a", "b").distinct()
+        tiles = out.where("b IS NULL").select("key", "band", "sub", F.col("a").alias("c"), "n", "sign")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c")
         texts = keep(docs.join(asked.withColumnRenamed("rep", "doc_id").where("doc_id IS NOT NULL"), "doc_id").select("c", "text").mapInArrow(_own_class(words), "c long, text string").dropDuplicates(["c"]), "jaccard-texts")
-        both = pairs.select("a", "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
+        both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
         found = keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_settle(words, num, den), "a long, b long"), "jaccard-links")
-        links = links.unionAll(found)
-        comp = components(links)
-        if most > 1 and not state["cut"]:
+        if found.limit(1).count():
+            links = links.unionAll(found)
+            comp = components(links)
+        if not tiles.limit(1).count():
             break
-        most = 2 if most == 1 else most * 16
+        most = 256 * most or 64
     if comp is None:
         comp = spark.createDataFrame([], "node long, comp long")
     named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
