@@ -28,7 +28,7 @@ from . import arrays as A
 from .bitmaps import among, bitmap_of
 from .tables import keep, small_batches
 
-SIZE, GRAM = 400, 32
+SIZE, GRAM = 400, 64
 IN_MEMORY = 4 << 20
 FEW = 24  # batches up to this go entry by entry, larger ones as arrays
 SHARD_BYTES, AHEAD, RANGES = 2 << 20, 8, 4
