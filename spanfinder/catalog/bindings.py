@@ -5,6 +5,8 @@ Each view exists twice: as a DataFrame and as SQL text with the same rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The texts, spread over all cores when they arrive in fewer files than there are cores."""
-    docs = table(spark, sf, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+    """The texts as they lie; how files are split is the session's business (spark.sql.files.*)."""
+    return table(spark, sf, "documents")
 
 
 # --- segments: one per document, laid end to end per source ---------------------------------
@@ -95,29 +95,44 @@ def phrased_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- labels ---------------------------------------------------------------------------------
 
-GRAM = 4
+GRAM, BLOCK_ITEMS = 4, 1_000
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     """Segments whose text holds a benchmark item verbatim.
 
-    Items meet documents by one inner four-word sequence, whose words a surrounding text cannot change;
-    only the few pairs that meet are compared as text. Items of fewer than six words carry no labels.
+    Items meet documents by inner words, at most four in a row, which a surrounding text cannot change; only the few
+    pairs that meet are compared as text. Items without inner words are looked for in all texts, a block of them at a time.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    items = table(spark, sf, "benchmark").withColumn("_w", words(F.col("text"))).filter(F.size("_w") >= GRAM + 2)
-    items = items.select("item_id", F.col("text").alias("item"), F.xxhash64(F.slice("_w", 2, GRAM)).alias("gram"))
     docs = documents(spark, sf)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - GRAM + 1)), lambda i: F.xxhash64(F.slice("_w", i, GRAM))
-    )
-    seen = docs.select("doc_id", words(F.col("text")).alias("_w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    small = at_most(items, BROADCAST_ROWS)
-    met = lookup_join(seen, items.select("item_id", "gram"), ["gram"], ["doc_id"], small).select("item_id", "doc_id")
-    texts = docs.select("doc_id", "text").join(met, "doc_id").join(items.select("item_id", "item"), "item_id")
-    pairs = texts.filter(F.contains("text", "item")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("segment_id"))
+    pairs = holds(docs.select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")))
     spans = spans_only(spark, sf).withColumnRenamed("video_id", "video")
-    return pairs.join(spans, "segment_id")
+    return pairs.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("segment_id")).join(spans, "segment_id")
+
+
+def holds(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where `text` holds `item`, of any length."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    items = items.filter(F.col("item").isNotNull()).withColumn("_w", words(F.col("item"))).withColumn("_g", F.least(F.lit(GRAM), F.size("_w") - 2))
+    keyed = items.filter("_g > 0").select("item_id", "item", "_g", F.xxhash64(F.expr("slice(_w, 2, _g)")).alias("gram"))
+    lengths = sorted(r["_g"] for r in keyed.select("_g").distinct().collect())  # at most GRAM numbers
+    grams = lambda g: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - g + 1)), lambda i: F.xxhash64(F.slice("_w", i, g))
+    )
+    found = []
+    if lengths:
+        own = docs.select("doc_id", words(F.col("text")).alias("_w"))
+        seen = own.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[grams(g) for g in lengths])))).alias("gram"))
+        small = at_most(keyed, BROADCAST_ROWS)
+        met = lookup_join(seen, keyed.select("item_id", "gram"), ["gram"], ["doc_id"], small).select("item_id", "doc_id").distinct()
+        texts = docs.join(met, "doc_id").join(keyed.select("item_id", "item"), "item_id")
+        found.append(texts.filter(F.contains("text", "item")).select("item_id", "doc_id"))
+    short = items.filter("_g <= 0").select("item_id", "item")
+    blocks = -(-short.count() // BLOCK_ITEMS)
+    for b in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        found.append(docs.join(F.broadcast(block), F.contains("text", "item")).select("item_id", "doc_id"))
+    return reduce(DataFrame.unionByName, found) if found else docs.join(items, F.lit(False)).select("item_id", "doc_id")
 
 
 TRUTH = """truth AS (SELECT b.item_id AS query_id, s.segment_id, s.video_id AS video, s.start_s, s.end_s

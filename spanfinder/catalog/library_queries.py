@@ -220,7 +220,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "events").select(F.col("event_id").alias("id"), name.alias("name"), "value", F.lit("api").alias("source"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query(f"""WITH {_SAMPLES}, r AS (SELECT * FROM smp WHERE epoch_us(ts) >= {NOW_US} - 86400000000 ORDER BY id DESC LIMIT 20000)
+@query(f"""WITH {_SAMPLES}, r AS (SELECT * FROM smp WHERE epoch_us(ts) >= {NOW_US} - 86400000000)
   SELECT string_split(name, '.')[1] AS kind, regexp_replace(name, '^[^.]*\\.', '') AS name, {_rank_sql('value', 0.5)} AS p50, {_rank_sql('value', 0.95)} AS p95, count(*) AS n FROM r WHERE name <> 'other.x' GROUP BY r.name""")
 def sample_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ops.sample_summary(samples(spark, sf), 1440, NOW)

@@ -27,37 +27,38 @@ def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def collected(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def collected(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Run a stream over what has arrived and return the table it wrote.
 
-    A batch replaces its own folder, so a replay changes nothing; in complete mode the last one counts.
+    A batch replaces its own folder, so a replay changes nothing.
     """
     out, state = _place(spark, name), _place(spark, f"{name}-state")
 
     def write(batch: DataFrame, n: int) -> None:
-        target = f"{out}/all" if mode == "complete" else f"{out}/batch={n}"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    st.run_available(df, state, write, mode).awaitTermination()
-    schema = df.schema
-    if mode == "complete":
-        return spark.read.schema(schema).parquet(f"{out}/all")
-    return spark.read.schema(schema).option("basePath", out).parquet(out).drop("batch")
+    st.run_available(df, state, write).awaitTermination()
+    return spark.read.schema(df.schema).option("basePath", out).parquet(out).drop("batch")
 
 
 _W = "epoch_us(ts) // 300000000 * 300"
 
 
-@query(f"SELECT event_type, CAST({_W} AS BIGINT) AS window_start, count(*) AS n, round(count(*) / 300.0::DOUBLE, 6) AS per_second FROM events GROUP BY ALL")
+_CLOSED = "(SELECT max(epoch_us(ts)) FROM events) - 600000000"  # windows that end by the last watermark have been written
+
+
+@query(f"""WITH w AS (SELECT event_type, CAST({_W} AS BIGINT) AS window_start, count(*) AS n, round(count(*) / 300.0::DOUBLE, 6) AS per_second FROM events GROUP BY ALL)
+  SELECT * FROM w WHERE (window_start + 300) * 1000000 <= {_CLOSED}""")
 def stream_rate_5m(spark: SparkSession, sf: str) -> DataFrame:
-    d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"]), "rates", "complete")
+    """Five-minute windows, each written once, when the watermark closes it."""
+    d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"]), "rates")
     return rounded(d.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n", "per_second"), "per_second")
 
 
-@query("""WITH w AS (SELECT event_type, value, epoch_us(ts) // 60000000 * 60 - k * 60 AS window_start FROM events, range(5) r(k)) SELECT event_type, CAST(window_start AS BIGINT) AS window_start, count(*) AS n FROM w GROUP BY ALL""")
+@query("""WITH w AS (SELECT event_type, value, epoch_us(ts) // 60000000 * 60 - k * 60 AS window_start FROM events, range(5) r(k)) SELECT event_type, CAST(window_start AS BIGINT) AS window_start, count(*) AS n FROM w WHERE (window_start + 300) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000 GROUP BY ALL""")
 def stream_rate_sliding(spark: SparkSession, sf: str) -> DataFrame:
     """Five-minute windows every minute."""
-    d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"], "5 minutes", "1 minute"), "sliding", "complete")
+    d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"], "5 minutes", "1 minute"), "sliding")
     return d.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n")
 
 
@@ -74,24 +75,26 @@ def _interpolated(q: float) -> str:
 
 
 @query(f"""WITH h AS (SELECT event_type, epoch_us(ts) // 86400000000 * 86400 AS window_start, {_COUNTS}, count(*) AS n FROM events GROUP BY ALL)
-  SELECT event_type, CAST(window_start AS BIGINT) AS window_start, {_interpolated(0.5)} AS p50, {_interpolated(0.95)} AS p95, n FROM h""")
+  SELECT event_type, CAST(window_start AS BIGINT) AS window_start, {_interpolated(0.5)} AS p50, {_interpolated(0.95)} AS p95, n FROM h WHERE (window_start + 86400) * 1000000 <= {_CLOSED}""")
 def stream_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Daily latency quantiles from mergeable buckets."""
     d = st.stream_quantiles(events_stream(spark, sf), ["event_type"], "value", _BOUNDS, {"p50": 0.5, "p95": 0.95}, "1 day", None)
-    d = collected(spark, d, "quantiles", "complete")
+    d = collected(spark, d, "quantiles")
     return rounded(d.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "p50", "p95", "n"), "p50", "p95")
 
 
 @query("SELECT min(event_id) AS event_id, user_id || ':' || event_type AS key FROM events GROUP BY ALL")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Idempotent ingest: the key is stored once, with its first event."""
-    sink, state = _place(spark, "ingested"), _place(spark, "ingest-state")
-    e = events_stream(spark, sf).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
-    # within one micro-batch the stream keeps any one of the repeats, so the first is chosen beforehand
-    first = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    keep = e.join(first, ["user_id", "event_type", "event_id"], "left_semi")
-    st.stream_ingest(keep.select("key", "event_id", "ts"), sink, state, "key").awaitTermination()
-    st.stream_ingest(keep.select("key", "event_id", "ts"), sink, _place(spark, "again"), "key").awaitTermination()
+    """Idempotent ingest: the log arrives in several micro-batches, and once more; each key is stored with its first event."""
+    src, sink, state = _place(spark, "log"), _place(spark, "ingested"), _place(spark, "ingest-state")
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    for part in range(3):
+        mine = e.filter(F.floor((F.col("event_id") - F.lit(low)) * 3 / F.lit((high or 0) - (low or 0) + 1)) == part)
+        mine.coalesce(1).write.mode("append").parquet(src)
+    log = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for place in (state, _place(spark, "again")):
+        st.stream_ingest(log, sink, place, "key", order=["event_id"]).awaitTermination()
     return spark.read.parquet(sink).select("event_id", "key")
 
 
@@ -101,9 +104,9 @@ def stream_finalize(spark: SparkSession, sf: str) -> DataFrame:
     """Each user is a video, each event a finished chunk: one completion event per video."""
     total = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     e = events_stream(spark, sf).join(total, "user_id")
-    c = e.select(
-        F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("chunk_index"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), "chunk_count", "ts"
-    )
+    # each chunk reports that it is pending before its end
+    status = F.explode(F.array(F.lit("pending"), F.when(F.col("event_type") == "error", "failed").otherwise("done")))
+    c = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("chunk_index"), status.alias("status"), "chunk_count", "ts")
     return collected(spark, st.stream_finalize(c), "final")
 
 

@@ -61,12 +61,14 @@ def running(
     carries = (
         marked.groupBy(*keys, "_blk").agg(total.alias("_tot")).select(*keys, "_blk", carry.alias("_carry"))
     )
-    return (
-        marked.withColumn("_loc", local)
-        .join(carries, [*keys, "_blk"])
-        .withColumn(out, joined)
-        .drop("_blk", "_loc", "_carry")
-    )
+    return null_safe_join(marked.withColumn("_loc", local), carries, [*keys, "_blk"]).withColumn(out, joined).drop("_blk", "_loc", "_carry")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys meet null keys, as they do in a window; the keys of `left` stay."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [left[k].eqNullSafe(named[f"_r_{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def positions(df: DataFrame, by: Sequence[str], order: Sequence[str], block: Column, out: str = "pos") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import let
-from .ordered import positions
+from .ordered import null_safe_join, positions
 
 BINS = 4096
 
@@ -57,7 +57,7 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, p: dict[str, floa
 def _join_by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Equi join on `keys`; without keys the right side is the single row of a global aggregate."""
     if keys:
-        return left.join(right, keys)
+        return null_safe_join(left, right, keys)
     one = F.lit(1)
     return left.withColumn("_one", one).join(F.broadcast(right.withColumn("_one", one)), "_one").drop("_one")
 

@@ -208,15 +208,13 @@ class CellIndex:
         self.model, self.vector = model, vector
 
     @classmethod
-    def fit(cls, vectors: DataFrame, cells: int, vector: str = "embedding", seed: int = 0, sample_rows: int = 1_000_000) -> "CellIndex":
-        """Centres only steer the search, so they are fitted on a sample when the table is large."""
+    def fit(cls, vectors: DataFrame, cells: int, vector: str = "embedding", seed: int = 0) -> "CellIndex":
+        """Centres are fitted on all vectors, so that cells do not change in kind with the table's size."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         usable = vectors.filter(F.col(vector).isNotNull() & (l2_norm(F.col(vector)) > 0))
-        n = usable.count()
-        train = usable if n <= sample_rows else usable.sample(sample_rows / n, seed=seed)
-        data = train.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+        data = usable.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
         return cls(KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(data), vector)
 
     def assign(self, vectors: DataFrame) -> DataFrame:

@@ -45,9 +45,9 @@ def ngram_counts(texts: DataFrame, key: list[str], tokens: Column, starts: Colum
     return rows.select(*key, F.array_join(g, " ").alias("phrase")).groupBy(*key, "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ngram_candidates(counts: DataFrame, key: list[str]) -> DataFrame:
-    """The 200 most frequent, then longest, phrases per key (alphabetical on ties)."""
-    return topk(counts, key, [F.col("n").desc(), F.length("phrase").desc(), F.col("phrase").asc()], MAX_CANDIDATES)
+def ngram_candidates(counts: DataFrame, key: list[str], most: int = MAX_CANDIDATES) -> DataFrame:
+    """The `most` most frequent, then longest, phrases per key (alphabetical on ties); the number defines the result."""
+    return topk(counts, key, [F.col("n").desc(), F.length("phrase").desc(), F.col("phrase").asc()], most)
 
 
 def _mmr(top_k: int, diversity: float):

@@ -65,9 +65,11 @@ def latency_summary(videos: DataFrame) -> DataFrame:
     return nearest_rank(ttfs.unionByName(wall).unionByName(hour), ["measure"], "v", P)
 
 
-def sample_summary(samples: DataFrame, window_min: int, now: datetime, newest: int = 20_000) -> DataFrame:
-    """p50, p95 and n per sample name of the newest samples of the window, with the kind split off."""
-    recent = since(samples, "ts", window_min, now).orderBy(F.col("id").desc()).limit(newest)
+def sample_summary(samples: DataFrame, window_min: int, now: datetime, newest: int | None = None) -> DataFrame:
+    """p50, p95 and n per sample name of the window, with the kind split off; of the `newest` samples alone if that is given."""
+    recent = since(samples, "ts", window_min, now)
+    if newest is not None:
+        recent = recent.orderBy(F.col("id").desc()).limit(newest)
     named = recent.filter(F.col("name").startswith("infer.") | F.col("name").startswith("job.") | (F.col("name") == "search.total"))
     d = nearest_rank(named, ["name"], "value", P)
     return d.select(F.substring_index("name", ".", 1).alias("kind"), F.regexp_replace("name", r"^[^.]*\.", "").alias("name"), "p50", "p95", "n")

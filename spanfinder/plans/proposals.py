@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import clean_candidate, ocr_fragment, window_key
+from ..operators.ordered import null_safe_join, positions
 
 MIN_SPEECH_WORDS = 8
 QUIET_WORDS = 5
@@ -76,11 +77,12 @@ def propose_queries(windows: DataFrame) -> DataFrame:
 
 
 def window_halves(windows: DataFrame) -> DataFrame:
-    """Windows repeated under half 0 and/or 1; both halves hold the middle window. At most ten windows per video."""
+    """Windows repeated under half 0 and/or 1, by their position in the video; both halves hold the middle one."""
     n = windows.groupBy("video").agg(F.count(F.lit(1)).alias("_n"))
     mid = F.floor(F.col("_n") / 2)
-    halves = F.array_compact(F.array(F.when(F.col("window") <= mid, 0), F.when(F.col("window") >= mid, 1)))
-    return windows.join(n, "video").withColumn("half", F.explode(halves)).drop("_n")
+    halves = F.array_compact(F.array(F.when(F.col("_pos") <= mid, 0), F.when(F.col("_pos") >= mid, 1)))
+    placed = positions(windows, ["video"], ["window"], F.floor(F.col("window") / 1_000), "_pos")
+    return null_safe_join(placed, n, ["video"]).withColumn("half", F.explode(halves)).drop("_n", "_pos")
 
 
 def semantic_proposals(windows: DataFrame, encoder=None) -> DataFrame:

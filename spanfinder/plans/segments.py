@@ -131,4 +131,4 @@ def pending_backfill(chunks: DataFrame, embeddings: DataFrame, kind: str, model_
 
 
 def pending_captions(segments: DataFrame, force: bool = False) -> DataFrame:
-    return segments if force else segments.filter(F.col("caption_text") == "")
+    return segments if force else segments.filter(F.coalesce(F.col("caption_text"), F.lit("")) == "")

@@ -48,8 +48,11 @@ def stream_index(transcripts: DataFrame, chunks: DataFrame, sink: str, checkpoin
 
 
 def stream_ingest(df: DataFrame, sink: str, checkpoint: str, key: str = "idempotency_key", ts: str = "ts", order: Sequence[str] = ()) -> StreamingQuery:
-    """Each key is stored once: repeats inside the watermark are dropped, older ones by the sink's anti join."""
-    once = with_lateness(df, ts).dropDuplicatesWithinWatermark([key])
+    """Each key is stored once, whatever batch its repeats come in: the sink takes the first by `order` of a batch, and none
+    that it has. Without an order any repeat will do, and those inside the watermark are dropped before."""
+    once = with_lateness(df, ts)
+    if not order:
+        once = once.dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, _: int) -> None:
         insert_if_absent(batch, sink, [key], [F.col(c) for c in order])
@@ -108,10 +111,14 @@ def stream_sessions(events: DataFrame, worker: str, gap: str = "90 seconds", ts:
 # --- stateful: completion and stale heartbeats -----------------------------------------------
 
 FINAL = "video_id string, status string, failed bigint, total bigint"
+TOLD_MS = 24 * 3600 * 1000
 FINAL_STATE = "done bigint, failed bigint, total bigint, emitted boolean"
 
 
 def _complete(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # told long ago
+        state.remove()
+        return
     done, failed, total, emitted = state.get if state.exists else (0, 0, 0, False)
     for pdf in batches:
         done += int((pdf["status"] == "done").sum())
@@ -119,6 +126,8 @@ def _complete(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFr
         total = max(total, int(pdf["chunk_count"].max()))
     ready = total > 0 and done + failed >= total and not emitted
     state.update((done, failed, total, emitted or ready))
+    if emitted or ready:
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + TOLD_MS)
     if ready:
         yield pd.DataFrame({"video_id": [key[0]], "status": ["failed" if failed else "ready"], "failed": [failed], "total": [total]})
 
@@ -126,11 +135,12 @@ def _complete(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFr
 def stream_finalize(chunks: DataFrame) -> DataFrame:
     """One event per video at the moment all its chunks are terminal, never a second one.
 
-    chunks: terminal chunk events (video_id, chunk_index, status, chunk_count, ts), one per chunk after
-    de-duplication. State per video is four values.
+    chunks: chunk events (video_id, chunk_index, status, chunk_count, ts) of any status; the terminal ones count, once per
+    chunk. State per video is four values, dropped a day of event time after the video was told.
     """
-    once = with_lateness(chunks).dropDuplicatesWithinWatermark(["video_id", "chunk_index"]).filter(F.col("status").isin("done", "failed"))
-    return once.select("video_id", "status", "chunk_count").groupBy("video_id").applyInPandasWithState(_complete, FINAL, FINAL_STATE, "append", "NoTimeout")
+    ended = with_lateness(chunks).filter(F.col("status").isin("done", "failed"))
+    once = ended.dropDuplicatesWithinWatermark(["video_id", "chunk_index"])
+    return once.select("video_id", "status", "chunk_count", "ts").groupBy("video_id").applyInPandasWithState(_complete, FINAL, FINAL_STATE, "append", "EventTimeTimeout")
 
 
 STALE = "id bigint, outcome string, last_beat_us bigint"
