@@ -18,7 +18,7 @@ from . import arrays as A
 from .tables import keep
 
 MOST_LABELLED = 24_000
-MIN_TEXTS, SIGNIFICANT = 4, 25.0
+MIN_TEXTS, SIGNIFICANT = 4, 16.0
 SHARDS, ROUNDS, PASSES, BATCH = 4, 6, 5, 64
 _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
