@@ -499,6 +499,20 @@ def _named(size: int, gram: int, whole, mixed):
     return run
 
 
+def _once(likely):
+    """The pieces that may repeat in part, each once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            s = batch["s"].to_numpy()
+            take = among(likely.value, s.view(np.uint64)) & ~np.isin(s, seen) & A.row_first(s, np.zeros(len(s), np.int64))
+            seen = np.r_[seen, s[take]]
+            yield batch.filter(pa.array(take))
+
+    return run
+
+
 def _sort_shards(size: int, most: int):
     """Repeated windows of each piece, as ranges of starts; pieces of one minimizer are in one task, in order."""
 
@@ -517,6 +531,8 @@ def _sort_shards(size: int, most: int):
         pieces, s, held, last = [], [], 0, None
         for batch in batches:
             for h, own, piece in zip(*(batch[c].to_pylist() for c in ("h", "s", "piece")), strict=True):
+                if s and own == s[-1]:
+                    continue  # from another task
                 if h != last and held >= SHARD_BYTES:
                     yield ranges(pieces, s)
                     pieces, s, held = [], [], 0
@@ -585,8 +601,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = held.groupBy("s").agg(F.sum("n").alias("n"), F.first("last").alias("last"), F.first("cores").alias("cores"))
     cores = counted.select("s", F.explode("cores").alias("core"))
     likely = keep(cores.join(cores.groupBy("core").count().where("count > 1").select("core"), "core").select("s").distinct(), "suffix-likely")
-    shards = held.join(likely, "s").dropDuplicates(["s"]).repartition("h").sortWithinPartitions("h", "s")
-    partly = shards.select("h", "s", "piece").mapInArrow(_sort_shards(size, most), "s long, edges array<int>")
+    pieces = held.select("h", "s", "piece").mapInArrow(_once(bitmap_of(likely, "s")), "h long, s long, piece binary")
+    shards = pieces.repartition("h").sortWithinPartitions("h", "s")
+    partly = shards.mapInArrow(_sort_shards(size, most), "s long, edges array<int>")
     wholly = counted.where("n > 1").select("s", F.array(F.lit(0), F.col("last").cast("int")).alias("edges"))
     repeated = keep(partly.unionAll(wholly), "suffix-repeats")
     found = named.where("kind = 0").select("doc", "h").join(whole, "h").select("doc", F.struct("h", F.lit(None).cast("array<int>").alias("edges")).alias("f"))
