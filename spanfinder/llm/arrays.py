@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
