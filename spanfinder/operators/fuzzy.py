@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.fixed_values import TERM
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 512
 TEXTS_AT_ONCE = 32
 _WORD = re.compile(r"[^\W_]+")
 _TERM = re.compile(TERM)
@@ -164,17 +165,23 @@ def fuzzy_hits(queries: DataFrame, texts: DataFrame, text: str, threshold: float
     asked = queries.select("query_id", F.lower("ocr_q").alias("q"), tokens.alias("k")).filter(F.length(F.trim("q")) > 0)
     rows = texts.filter(F.length(text) > 0).select("segment_id", F.col(text).alias("t"))
     out = T.StructType([asked.schema["query_id"], rows.schema["segment_id"], T.StructField("score", T.DoubleType())])
-    taken = asked.limit(QUERY_BLOCK + 1).toPandas()
-    if len(taken) > QUERY_BLOCK:
-        return _by_blocks(asked, rows, threshold, out)
-    shared = asked.sparkSession.sparkContext.broadcast((taken["query_id"].tolist(), taken["q"].tolist(), taken["k"].tolist()))
+    spark = asked.sparkSession
+    # matching costs far more than moving a text, so the texts are spread however they were read
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = _Patterns(*shared.value)
-        for batch in batches:
-            yield _match(patterns, batch, threshold)
+    def matched(block: pd.DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast((block["query_id"].tolist(), block["q"].tolist(), block["k"].tolist()))
 
-    return rows.mapInPandas(run, out)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            patterns = _Patterns(*shared.value)
+            for batch in batches:
+                yield _match(patterns, batch, threshold)
+
+        return rows.mapInPandas(run, out)
+
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    return reduce(DataFrame.unionAll, [matched(asked.filter(block == b).toPandas()) for b in range(n_blocks)])
 
 
 def _match(patterns: _Patterns, batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -186,20 +193,3 @@ def _match(patterns: _Patterns, batch: pd.DataFrame, threshold: float) -> pd.Dat
             pd.DataFrame({"query_id": patterns.ids[q], "segment_id": part["segment_id"].to_numpy()[d], "score": sim})
         )
     return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "segment_id": [], "score": []})
-
-
-def _by_blocks(asked: DataFrame, rows: DataFrame, threshold: float, out: T.StructType) -> DataFrame:
-    """Query blocks x text slices for query tables that are too large to broadcast."""
-    n_blocks = -(-asked.count() // QUERY_BLOCK)
-    n_slices = max(1, -(-rows.count() // 5_000))
-    left = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))
-    )
-    right = rows.withColumn("_s", F.pmod(F.xxhash64("segment_id"), F.lit(n_slices)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-    )
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _match(_Patterns(a["query_id"].tolist(), a["q"].tolist(), a["k"].tolist()), b, threshold)
-
-    return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(cell, out)

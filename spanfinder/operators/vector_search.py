@@ -8,6 +8,7 @@ at most k rows per task and query; pairs are never materialised.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,9 @@ from pyspark.sql import types as T
 from ..functions.numeric import l2_norm
 from .topk import topk
 
-QUERY_BLOCK = 4096  # most queries held by one task
+QUERY_BLOCK = 4096  # queries of one block, which every task holds
+PAIR_BLOCK = 50 * QUERY_BLOCK  # (query, scope) pairs of one block
 COLUMN_BLOCK = 256  # queries multiplied at once, bounds the score matrix of one batch
-SLICE_ROWS = 50_000  # rows per cell of the grid used for larger query tables
 SCORE_DIGITS = 9
 
 
@@ -109,40 +110,34 @@ def nearest(
     out = T.StructType(
         [T.StructField("query_id", q_type)] + [rows.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())]
     )
-    taken = asked.limit(QUERY_BLOCK + 1).toPandas()
-    if len(taken) <= QUERY_BLOCK:
-        partial = _with_broadcast(taken, asked, rows, k, keep, row_key, scope, scope_col, out)
-    elif scope is None:
-        partial = _with_grid(asked, rows, k, keep, row_key, out)
-    else:
-        partial = _with_scope_grid(asked, rows, k, keep, row_key, scope, scope_col, out)
-    return topk(partial, ["query_id"], [F.col("score").desc(), F.col(row_key).asc()], k)
-
-
-def _with_broadcast(taken, asked, rows, k, keep, row_key, scope, scope_col, out) -> DataFrame:
-    spark = asked.sparkSession
-    taken = taken.sort_values("query_id")
-    ids = taken["query_id"].to_numpy()
-    if not len(ids):
-        return spark.createDataFrame([], out)
-    groups = None
+    n_blocks, pairs = -(-asked.count() // QUERY_BLOCK), None
     if scope is not None:
+        pairs = scope.select("query_id", scope_col).distinct().join(asked.select("query_id"), "query_id", "left_semi")
+        n_blocks = max(n_blocks, -(-pairs.count() // PAIR_BLOCK))
+    parts = [asked.sparkSession.createDataFrame([], out)]
+    for b in range(n_blocks):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b
+        parts.append(_block(asked.filter(mine), None if pairs is None else pairs.filter(mine), rows, k, keep, row_key, scope_col, out))
+    return topk(reduce(DataFrame.unionAll, parts), ["query_id"], [F.col("score").desc(), F.col(row_key).asc()], k)
+
+
+def _block(asked: DataFrame, pairs: DataFrame | None, rows: DataFrame, k: int, keep: list[str], row_key: str, scope_col: str, out: T.StructType) -> DataFrame:
+    """One block of queries against all vectors, which stay where they are."""
+    taken = asked.toPandas().sort_values("query_id")
+    ids, groups = taken["query_id"].to_numpy(), None
+    if pairs is not None:
         where = {q: i for i, q in enumerate(ids)}
-        pairs = scope.select("query_id", scope_col).distinct().join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")
-        listed = pairs.limit(50 * QUERY_BLOCK + 1).toPandas()
-        if len(listed) > 50 * QUERY_BLOCK:
-            return _with_scope_grid(asked, rows, k, keep, row_key, scope, scope_col, out)
         groups = {}
-        for q, g in listed[["query_id", scope_col]].itertuples(index=False):
+        for q, g in pairs.toPandas()[["query_id", scope_col]].itertuples(index=False):
             groups.setdefault(g, []).append(where[q])
         groups = {g: np.asarray(sorted(i)) for g, i in groups.items()}
-    shared = spark.sparkContext.broadcast((ids, _normalised(taken["_v"].tolist()), groups))
+    shared = asked.sparkSession.sparkContext.broadcast((ids, _normalised(taken["_v"].tolist()) if len(ids) else None, groups))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, matrix, wanted = shared.value
         best = _Best(len(query_ids), k, row_key)
         for batch in batches:
-            if len(batch):
+            if len(batch) and len(query_ids):
                 _score(batch, matrix, wanted, scope_col, best)
         found = best.prune()
         if len(found):
@@ -152,55 +147,6 @@ def _with_broadcast(taken, asked, rows, k, keep, row_key, scope, scope_col, out)
     return rows.mapInPandas(run, out)
 
 
-def _grid_cell(k, keep, row_key):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query_id", *keep, "score"]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=cols)
-        best = _Best(len(left), k, row_key)
-        _score(right.drop(columns=[c for c in right.columns if c.startswith("_") and c != "_v"]), _normalised(left["_v"].tolist()), None, None, best)
-        found = best.prune()
-        found["query_id"] = left["query_id"].to_numpy()[found["_q"].to_numpy()]
-        return found[cols]
-
-    return run
-
-
-def _with_grid(asked, rows, k, keep, row_key, out) -> DataFrame:
-    """Query blocks x vector slices; both sides of a cell are bounded whatever the table sizes."""
-    n_blocks = -(-asked.count() // QUERY_BLOCK)
-    n_slices = max(1, -(-rows.count() // SLICE_ROWS))
-    left = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))
-    )
-    right = rows.withColumn("_s", F.pmod(F.xxhash64(row_key), F.lit(n_slices)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-    )
-    return left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(_grid_cell(k, keep, row_key), out)
-
-
-def _with_scope_grid(asked, rows, k, keep, row_key, scope, scope_col, out) -> DataFrame:
-    """As the grid, but cells exist per scope value; hot values are cut into slices on both sides."""
-    slices = rows.groupBy(scope_col).agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).alias("_ns"))
-    pairs = scope.select("query_id", scope_col).distinct().join(asked, "query_id")
-    blocks = pairs.groupBy(scope_col).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("_nb"))
-    shape = slices.join(blocks, scope_col)
-    left = (
-        pairs.join(shape, scope_col)
-        .withColumn("_b", F.pmod(F.xxhash64("query_id"), F.col("_nb")))
-        .withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ns") - 1)))
-        .drop("_nb", "_ns")
-    )
-    right = (
-        rows.join(shape, scope_col)
-        .withColumn("_s", F.pmod(F.xxhash64(row_key), F.col("_ns")))
-        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
-        .drop("_nb", "_ns")
-    )
-    keys = [scope_col, "_b", "_s"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_grid_cell(k, keep, row_key), out)
-
-
 class CellIndex:
     """Vectors partitioned by their nearest k-means centre; a query visits its `nprobe` nearest cells."""
 
