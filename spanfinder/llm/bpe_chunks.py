@@ -10,6 +10,7 @@ and encoded again. The result is the encoding of the whole text, token by token.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,8 +24,13 @@ from .bitmaps import among, bitmap_of
 from .tables import keep, small_batches
 
 LOOK, CHUNK = 24, 1024
-MEMO = 400_000
+MEMO = 150_000
 BLANKS = b" \t\n\r\x0b\x0c"
+TAIL = b".,;:!?|"
+PROBES = [w.encode() for w in ("a", "the", "Thnt", "réeux", "ÉTÉ", "ßen", "Ünd", "ñandoÿ", "ŁÓDŹ", "zzzzxqj")]
+# The characters that stand for bytes in byte-level BPE.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(0x100) if x not in _SHOWN)}
 
 _coders: dict[str, "Coder"] = {}
 
@@ -42,6 +48,11 @@ class Coder:
         self.token = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.kind = np.uint16 if n <= 1 << 16 else np.uint32
         self.said: dict[bytes, tuple[int, str, str]] = {}
+        self.old: dict[bytes, tuple[int, str, str]] = {}
+        self.blank: set[bytes] = set()
+        # words of Latin letters alone may go to the merges at once, if that is what the tokenizer does with them
+        self.model = self.tokenizer.model
+        self.direct = all([t.id for t in self.model.tokenize(_plain(w))] == self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in PROBES)
 
     @classmethod
     def of(cls, spec: str) -> Coder:
@@ -51,25 +62,59 @@ class Coder:
         return _coders[key]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are new to this worker, each by itself."""
-        new = [w for w in words if w not in self.said]
-        if len(self.said) + len(new) > MEMO:
-            self.said = {}
-            new = list(words)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
+        """Encode the words that are new to this worker, each by itself; words not met for long are forgotten."""
+        if len(self.said) > MEMO:
+            self.old, self.said = self.said, {}
+        said, old, new, need = self.said, self.old, [], set()
+        for w in words:
+            if w not in said:
+                known = old.get(w)
+                if known is None:
+                    parts = _parts(w)
+                    new.append((w, parts))
+                    need.update(parts)
+                else:
+                    said[w] = known
+        need = [w for w in need if w not in said]
+        for w in need:
+            if w in old:
+                said[w] = old[w]
+        need = [w for w in need if w not in said]
+        if self.direct:
+            hard = []
+            for w in need:
+                plain = _plain(w)
+                if plain is None:
+                    hard.append(w)
+                else:
+                    ids = [t.id for t in self.model.tokenize(plain)]
+                    said[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+            need = hard
+        for lo in range(0, len(need), 4096):
+            part = need[lo : lo + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for w, e in zip(part, found, strict=True):
                 ids = e.ids
-                self.said[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+                said[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+                if not ids:
+                    self.blank.add(w)
+        for w, parts in new:
+            if len(parts) == 1:
+                said[w] = said[parts[0]]
+            elif w not in said:
+                x, y = said[parts[0]], said[parts[1]]
+                said[w] = (x[0] + y[0], f"{x[1]} {y[1]}", f"{x[2]} {y[2]}")
 
     def whole(self, words: list[bytes]) -> tuple[int, str, str]:
         """Number of tokens, ids and decoded text of words that stand apart; all were learnt."""
-        parts = [self.said[w] for w in words]
-        n = sum([p[0] for p in parts])
-        if any(not p[0] for p in parts):
+        said = self.said
+        parts = [said[w] for w in words]
+        if self.blank and not self.blank.isdisjoint(words):
             parts = [p for p in parts if p[0]]
-        return n, " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        if not parts:
+            return 0, "", ""
+        n, ids, tokens = zip(*parts, strict=True)
+        return sum(n), " ".join(ids), " ".join(tokens)
 
     def ids(self, words: list[bytes]) -> list[int]:
         return [int(i) for w in words for i in self.said[w][1].split()]
@@ -78,6 +123,29 @@ class Coder:
         return len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
 
 
+def _plain(w: bytes) -> str | None:
+    """The word as the merges see it, if it has Latin letters alone: composed, lower case, a character for each byte."""
+    if w.isalpha():  # ASCII
+        return w.lower().decode()
+    text = w.decode()
+    if text.isalpha() and max(text) < "\u0250" and unicodedata.is_normalized("NFC", text):
+        low = "".join([c.lower() for c in text])
+        return low.encode().decode("latin-1").translate(_BYTES) if len(low) == len(text) else None
+    return None
+
+
+def _parts(w: bytes) -> tuple[bytes, ...]:
+    """Words that are encoded in the place of w, with the same result. The tokenizer takes runs of letters, single digits and
+    runs of other signs apart and lower-cases letters, so closing signs behind a letter stand alone, and A is a."""
+    core = w.rstrip(TAIL)
+    tail = w[len(core) :]
+    if core.isalnum():  # ASCII
+        core = core.lower()
+    elif not tail or not core or not core.decode()[-1].lower()[-1].isalpha():
+        return (w,)
+    return (core, tail) if tail else (core,)
+
+
 def chunk_ends(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Ends of all chunks of about `size` bytes, and offsets of the rows' chunks. Cuts depend on LOOK bytes of content."""
     n = len(data)

@@ -118,3 +118,14 @@ def test_benchmark_search_is_exact(spark):
             dense[t, index.item[index.first[t] : index.first[t + 1]]] = index.share[index.first[t] : index.first[t + 1]]
         full = np.stack([dense[index.lookup(own.view(np.uint64))[1]].sum(0) for own in passages])
         assert {*zip(p.tolist(), i.tolist(), strict=True)} == {*zip(*(x.tolist() for x in np.nonzero(full >= least - 1e-6)), strict=True)}
+
+
+def test_short_ways_agree():
+    """Words that skip the tokenizer's front part, or are put together from two, have its encoding."""
+    rng = random.Random(1)
+    signs = "aAzéÉÿŸİıßẞÅǅª̊ſK'.|,!1²½ŉ"
+    coder = bpe_chunks.Coder.of(open(TOKENIZER).read())
+    assert coder.direct
+    words = {"".join(rng.choice(signs) for _ in range(rng.randrange(1, 7))).encode() for _ in range(3000)}
+    coder.learn(words)
+    assert [w for w in words if coder.said[w] != expected(w.decode())] == []
