@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 from collections import Counter
+from functools import cache
 
 import public_tokenizers
 import pytest
@@ -48,10 +49,16 @@ def test_warc(spark, monkeypatch):
     assert only_long[200] == only_long[201] == "response" and only_long[100] == "revisit"
 
 
-def expected(text):
+@cache
+def tokenizer():
     t = Tokenizer.from_file(TOKENIZER)
     t.no_truncation()
     t.no_padding()
+    return t
+
+
+def expected(text):
+    t = tokenizer()
     ids = t.encode(text or "", add_special_tokens=False).ids
     return len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)
 
