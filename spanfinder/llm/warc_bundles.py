@@ -227,7 +227,9 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, level
 
 def read(index: DataFrame) -> DataFrame:
     """All records of the index's bundles (ROWS), frame by frame; a response's payload is checked against its digest."""
-    return index.select("bundle").distinct().mapInArrow(_read_all, ROWS)
+    bundles = index.select("bundle").distinct()
+    n = max(bundles.count(), 1)  # a task for each bundle: the rows are few, the files are not
+    return bundles.repartitionByRange(n, "bundle").mapInArrow(_read_all, ROWS)
 
 
 def fetch(index: DataFrame) -> DataFrame:
