@@ -6,14 +6,17 @@ hold the query text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..plans import evaluation as ev
-from ..plans.learned_router import holdout_split, train_router, training_rows
+from ..plans.learned_router import holdout_split, save_router, train_router, training_rows
 from ..plans.query_planning import decompose
-from ..session import cut_lineage
+from ..plans.routing import get_router
+from ..session import cut_lineage, shared_dir
 from . import bindings as B
 from .registry import query
 from .search_queries import DENSE, dense, lexical, lexical_sql, rounded
@@ -279,11 +282,12 @@ def router_holdout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def router_train_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Train on recorded outcomes, then route the same queries with the learned weights."""
+    """Train on recorded outcomes, save, load by name, then route the same queries with the learned weights."""
     labels = cut_lineage(training_rows(_recorded(spark, sf)))
     q = B.phrased_queries(spark, sf).join(B.plain_queries(spark, sf).drop("text"), "query_id").filter("query_vector IS NOT NULL")
     plans = cut_lineage(decompose(q))
-    router = train_router(plans, labels, "v1")
-    routed = router.route(plans, V.LANE_WEIGHTS)
+    folder = f"{shared_dir(spark).rstrip('/')}/routers-{uuid.uuid4().hex}"
+    save_router(train_router(plans, labels, "v1"), folder)
+    routed = get_router("learned:v1", folder=folder).route(plans, V.LANE_WEIGHTS)
     w = lambda lane: F.round(F.try_element_at("weights", F.lit(lane)), 4)
     return routed.select("query_id", w("text").alias("w_text"), w("lexical").alias("w_lexical"), w("visual").alias("w_visual"))

@@ -15,6 +15,7 @@ class SearchConfig:
 
     lanes: dict[str, float] = field(default_factory=lambda: dict(V.LANE_WEIGHTS))
     router: str = "heuristic"
+    router_folder: str | None = None  # of saved routers, for router = "learned:<version>"
     fusion: str = "weighted"
     rrf_k: int = 60
     candidates: int = 200

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -143,3 +144,25 @@ def train_router(plans: DataFrame, labels: DataFrame, version: str, *, vector: s
     x.unpersist()
     meta = {"n_train": n_fit, "n_holdout": n_queries - n_fit, "holdout_auc": aucs, "priors": priors}
     return LearnedRouter(version, lanes, models, priors, vector, min_p, meta)
+
+
+def save_router(router: LearnedRouter, folder: str) -> str:
+    """Write a router under folder/<version>: a model per lane and one row that describes it. Returns the path."""
+    spark = SparkSession.active()
+    path = f"{folder.rstrip('/')}/{router.version}"
+    for lane, model in router.models.items():
+        model.write().overwrite().save(f"{path}/lanes/{lane}")
+    about = {"version": router.version, "lanes": router.lanes, "fitted": sorted(router.models), "priors": router.priors, "vector": router.vector, "min_p": router.min_p, "meta": router.meta}
+    # the description comes last: a folder without it is not a router yet
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    return path
+
+
+def load_router(folder: str, version: str) -> LearnedRouter:
+    """The router that `save_router` wrote."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    path = f"{folder.rstrip('/')}/{version}"
+    about = json.loads(SparkSession.active().read.text(f"{path}/about").first()[0])
+    models = {lane: LogisticRegressionModel.load(f"{path}/lanes/{lane}").setFeaturesCol("_f") for lane in about["fitted"]}
+    return LearnedRouter(about["version"], about["lanes"], models, about["priors"], about["vector"], about["min_p"], about["meta"])

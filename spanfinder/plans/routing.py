@@ -65,14 +65,18 @@ class HeuristicRouter:
         return plans.withColumn("weights", weight_map(weights))
 
 
-def get_router(name: str, ocr_no_cue_factor: float = 1.0, learned=None) -> Router:
-    """`learned:<version>` needs the trained router, loaded by the caller."""
+def get_router(name: str, ocr_no_cue_factor: float = 1.0, learned=None, folder: str | None = None) -> Router:
+    """`learned:<version>` is the router given, or the one of that version in the folder of saved routers."""
     if name == "fixed":
         return FixedRouter()
     if name == "heuristic":
         return HeuristicRouter(ocr_no_cue_factor)
     if name.startswith("learned:") and learned is not None:
         return learned
+    if name.startswith("learned:") and folder:
+        from .learned_router import load_router
+
+        return load_router(folder, name.removeprefix("learned:"))
     raise ValueError(f"unknown router {name!r} (fixed | heuristic | learned:<version>)")
 
 

@@ -210,7 +210,7 @@ def suppress_hits(hits: DataFrame, window_s: float, cap: int | None, limit: int,
 
 def plan_queries(queries: DataFrame, cfg: SearchConfig, router: Router | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """decompose, route with the configured router, then apply pinned weights."""
-    chosen = router or get_router(cfg.router, cfg.ocr_no_cue_factor)
+    chosen = router or get_router(cfg.router, cfg.ocr_no_cue_factor, folder=cfg.router_folder)
     return pin_weights(chosen.route(decompose(queries), cfg.lanes), weights)
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from spanfinder.catalog.bindings import holds
 from spanfinder.operators.ordered import positions, running
 from spanfinder.operators.quantiles import nearest_rank
+from spanfinder.plans.learned_router import save_router, train_router
 from spanfinder.plans.proposals import window_halves
+from spanfinder.plans.routing import get_router
 from spanfinder.plans.segments import pending_captions
 from spanfinder.session import shared_dir
 
@@ -52,3 +54,17 @@ def test_a_cluster_must_name_its_shared_folder():
     conf = SimpleNamespace(get=lambda key, default=None: default)
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_a_saved_router_is_found_by_name(spark, place):
+    rows = [(i, f"term{i % 7} said", [float(i % 2), 1.0], [["speech"], ["visual"], []][i % 3], ["said"], [], f"term{i % 7}", f"term{i % 7}") for i in range(40)]
+    plans = spark.createDataFrame(rows, "query_id long, raw string, query_vector array<double>, cues array<string>, terms array<string>, phrases array<string>, speech_q string, visual_q string")
+    labels = spark.createDataFrame([(i, lane, float((i + n) % 2)) for i in range(40) for n, lane in enumerate(("text", "visual"))] + [(i, "ocr", 0.0) for i in range(40)], "query_id long, lane string, label double")
+    router = train_router(plans, labels, "v7")
+    save_router(router, place)
+    loaded = get_router("learned:v7", folder=place)
+    base = {"text": 1.0, "visual": 0.5, "ocr": 0.4}
+    want, got = ({r["query_id"]: {k: round(v, 9) for k, v in r["weights"].items()} for r in x.route(plans, base).collect()} for x in (router, loaded))
+    assert want == got and loaded.priors == router.priors and loaded.name == "learned:v7"
+    with pytest.raises(ValueError):
+        get_router("learned:v7")
