@@ -135,7 +135,7 @@ def signature(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _members(k: int, num: int, den: int, hot, shared, several):
-    """A row for each class, tile key and band that may hold a partner."""
+    """A row for each class, tile key and band that may hold a partner; the first of a text's in a band has its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,9 +155,11 @@ def _members(k: int, num: int, den: int, hot, shared, several):
                         sign.append(signature(s, bits_of(at, num, den)).tobytes())
                 if key:
                     m = [len(p) for p in key]
-                    own = pa.array(np.repeat(np.arange(len(m)), m))
+                    own = np.repeat(np.arange(len(m)), m)
+                    given = ((band, pa.int32()), (c, pa.int64()), (n, pa.int32()))
+                    once = pa.array(own, mask=np.r_[False, own[1:] == own[:-1]])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(A.signed(np.concatenate(key))), pa.array(band, pa.int32()).take(own), pa.array(c, pa.int64()).take(own), pa.array(n, pa.int32()).take(own), pa.array(sign, pa.binary()).take(own)],
+                        [pa.array(A.signed(np.concatenate(key))), *(pa.array(v, k).take(pa.array(own)) for v, k in given), pa.array(sign, pa.binary()).take(once)],
                         ["key", "band", "c", "n", "sign"],
                     )
 
@@ -300,20 +302,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     def held_by_several(run) -> DataFrame:
         keys = text.mapInArrow(run, "key long, c long")
-        return keep(keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("g")).where("c0 < c1").select("key", "g"), "jaccard-keys")
+        return keep(keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"), "jaccard-keys")
 
     # a first look at somewhat longer prefixes tells most shared shingles; with these put last, few prefixes meet by chance
     shared = bitmap_of(held_by_several(_keys(words, num, den, hot, stretch=STRETCH)), "key")
     groups = held_by_several(_keys(words, num, den, hot, shared))
-    several, crowded = bitmap_of(groups, "key"), groups.where(F.col("g") > TILE)
-    rows = text.mapInArrow(_members(words, num, den, hot, shared, several), "key long, band int, c long, n int, sign binary")
-    rows = keep(rows.groupBy("key", "band", "c").agg(F.first("n").alias("n"), F.first("sign").alias("sign")), "jaccard-tiles")
-    # a key of more than TILE texts is dealt over blocks, each pair of blocks a tile; of g texts there are at most ceil(g / TILE) blocks
-    parts = rows.groupBy("key", "band").agg(F.count("*").alias("g")).where(F.col("g") > TILE).select("key", "band", F.ceil(F.col("g") / TILE).cast("int").alias("s"))
-    tiles = rows.join(parts, ["key", "band"], "left") if crowded.limit(1).count() else rows.withColumn("s", F.lit(None).cast("int"))
+    several = bitmap_of(groups, "key")
+    members = keep(text.mapInArrow(_members(words, num, den, hot, shared, several), "key long, band int, c long, n int, sign binary"), "jaccard-members")
+    rows = keep(members.groupBy("key", "band", "c").agg(F.first("n").alias("n")), "jaccard-tiles")
+    # tiles of one class are of no use; those of more than TILE are dealt over blocks, each pair of blocks a tile
+    parts = rows.groupBy("key", "band").agg(F.count("*").alias("g")).where("g > 1").select("key", "band", F.ceil(F.col("g") / TILE).cast("int").alias("s"))
     block = F.pmod(F.xxhash64("c"), F.col("s")).cast("int")
-    sub = F.when(F.col("s").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.least(block, i) * F.col("s") + F.greatest(block, i)))
-    tiles = tiles.withColumn("sub", F.explode(sub)).drop("s")
+    sub = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.least(block, i) * F.col("s") + F.greatest(block, i))
+    signs = members.where("sign IS NOT NULL").groupBy("c", "band").agg(F.first("sign").alias("sign"))
+    tiles = rows.join(parts, ["key", "band"]).withColumn("sub", F.explode(sub)).drop("s").join(signs, ["c", "band"])
 
     links = spark.createDataFrame([], "a long, b long")
     comp, most, told = None, 0, "a long, b long, key long, band int, sub int, n int, sign binary"
