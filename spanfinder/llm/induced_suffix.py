@@ -10,7 +10,9 @@ Common-prefix values go through the induction: one symbol more than the least of
 Over the corpus, texts are first cut into pieces that can only repeat together: the windows of `size` bytes that share a
 minimizer. Where all pieces of a minimizer have the same bytes, one name stands for them and no order is needed. Of the
 others those whose windows hold a long core that other pieces have too meet in one shard, and in its suffix array repeated
-windows are neighbours with a common prefix of at least `size`.
+windows are neighbours with a common prefix of at least `size`. A shard is sorted in memory and holds less than twice
+SHARD_BYTES; a minimizer whose pieces are more than that is not sorted: its windows are settled by their hashes, which any number of
+tasks share.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ SIZE, GRAM = 400, 64
 IN_MEMORY = 4 << 20
 FEW = 24  # batches up to this go entry by entry, larger ones as arrays
 SHARD_BYTES, AHEAD, RANGES = 2 << 20, 8, 4
+FINE = 8  # windows of a group, where a hot minimizer's cores are compared once more
 
 
 class Queue:
@@ -437,7 +440,7 @@ class Windows:
     def cores(self, some: np.ndarray) -> pa.Array:
         """For each of RANGES groups of a piece's windows a hash of the bytes that all of them hold; a window can only repeat
         where its group's bytes do."""
-        step = -(-(self.size - self.gram + 1) // RANGES)
+        step = _coarse(self.size, self.gram)
         at, first, last = self.at[some], self.first[some], self.last[some]
         found, owner = [], []
         for k in range(RANGES):
@@ -449,6 +452,16 @@ class Windows:
         order = np.argsort(owner, kind="stable")
         return A.lists(A.signed(found[order]), np.searchsorted(owner[order], np.arange(len(some) + 1)))
 
+    def core_of_each(self, step: int) -> np.ndarray:
+        """For each window the hash of the bytes that all windows of its group of `step` hold; with step 1 those of the window."""
+        at = np.repeat(self.at, self.last - self.first + 1)
+        k = (at - self.start) // step
+        return A.span_hash(self.run, at - k * step, at - (k + 1) * step + 1 + self.size) + k.astype(np.uint64)
+
+
+def _coarse(size: int, gram: int) -> int:
+    return -(-(size - gram + 1) // RANGES)
+
 
 def _pieces(size: int, gram: int):
     """Of each block and minimizer: least and greatest piece, and how many there are."""
@@ -513,6 +526,43 @@ def _once(likely):
     return run
 
 
+def _groups(size: int, gram: int, step: int, known):
+    """Of each piece, the groups of `step` windows with one whose cores are all in the bitmaps of `known` [(step, bitmap)]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch["s"].to_numpy()
+            for lo, _, data, off in A.blocks(batch["piece"]):
+                w = Windows(data, off, size, gram)
+                if not len(w.start):
+                    continue
+                row, first = (np.repeat(x, w.last - w.first + 1) for x in (w.row, w.first))
+                some = np.ones(len(w.start), bool)
+                for coarser, bitmap in known:
+                    some &= among(bitmap.value, w.core_of_each(coarser))
+                some, core = np.flatnonzero(some), w.core_of_each(step)
+                some = some[A.row_first(core[some], row[some])]
+                yield pa.RecordBatch.from_arrays([pa.array(s[lo + row[some]]), pa.array((w.start - first)[some].astype(np.int32)), pa.array(A.signed(core[some]))], ["s", "at", "core"])
+
+    return run
+
+
+def _settle(pieces: DataFrame, cores: DataFrame, size: int, gram: int) -> DataFrame:
+    """Repeated windows of each of `pieces` (s, piece; each s once) by the windows' hashes, as ranges of starts.
+
+    `cores` are those that several pieces have. Groups that share no core of nearly `size` bytes fall away before their windows are
+    dealt out, so a passage that is shorter than a window costs little, in however many texts it is.
+    """
+    kind = "s long, at int, core long"
+    known = [(_coarse(size, gram), bitmap_of(cores, "core"))]
+    fine = pieces.mapInArrow(_groups(size, gram, FINE, known), kind).groupBy("core").count().where("count > 1")
+    known.append((FINE, bitmap_of(fine, "core")))
+    windows = keep(pieces.mapInArrow(_groups(size, gram, 1, known), kind), "suffix-windows")
+    again = windows.groupBy("core").count().where("count > 1").select("core")
+    starts = windows.join(again, "core").groupBy("s").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return starts.select("s", F.flatten(F.transform("at", lambda x: F.array(x, x + 1))).alias("edges"))
+
+
 def _sort_shards(size: int, most: int):
     """Repeated windows of each piece, as ranges of starts; pieces of one minimizer are in one task, in order."""
 
@@ -598,12 +648,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole, mixed = several.where("whole").select("h"), several.where("NOT whole").select("h")
     named = keep(texts.mapInArrow(_named(size, gram, bitmap_of(whole, "h"), bitmap_of(mixed, "h")), "kind int, h long, s long, doc long, n long, piece binary, cores array<long>"), "suffix-named")
     held = named.where("kind = 2").withColumn("last", F.octet_length("piece") - size + 1)
-    counted = held.groupBy("s").agg(F.sum("n").alias("n"), F.first("last").alias("last"), F.first("cores").alias("cores"))
+    counted = held.groupBy("s").agg(F.first("h").alias("h"), F.sum("n").alias("n"), F.first("last").alias("last"), F.first("cores").alias("cores"))
     cores = counted.select("s", F.explode("cores").alias("core"))
-    likely = keep(cores.join(cores.groupBy("core").count().where("count > 1").select("core"), "core").select("s").distinct(), "suffix-likely")
-    pieces = held.select("h", "s", "piece").mapInArrow(_once(bitmap_of(likely, "s")), "h long, s long, piece binary")
-    shards = pieces.repartition("h").sortWithinPartitions("h", "s")
+    common = keep(cores.groupBy("core").count().where("count > 1").select("core"), "suffix-cores")
+    likely = bitmap_of(cores.join(common, "core").select("s").distinct(), "s")
+    # minimizers with more than a shard; at most one for SHARD_BYTES of pieces
+    hot = keep(counted.groupBy("h").agg(F.sum(F.col("last") + size - 1).alias("held")).where(F.col("held") > SHARD_BYTES).select("h"), "suffix-hot")
+    kind, pieces = "h long, s long, piece binary", held.select("h", "s", "piece")
+    shards = pieces.join(F.broadcast(hot), "h", "left_anti").mapInArrow(_once(likely), kind).repartition("h").sortWithinPartitions("h", "s")
     partly = shards.mapInArrow(_sort_shards(size, most), "s long, edges array<int>")
+    if not hot.isEmpty():
+        crowd = pieces.join(F.broadcast(hot), "h", "left_semi").mapInArrow(_once(likely), kind)
+        crowd = keep(crowd.groupBy("s").agg(F.first("piece").alias("piece")), "suffix-crowd")
+        partly = partly.unionAll(_settle(crowd, common, size, gram))
     wholly = counted.where("n > 1").select("s", F.array(F.lit(0), F.col("last").cast("int")).alias("edges"))
     repeated = keep(partly.unionAll(wholly), "suffix-repeats")
     found = named.where("kind = 0").select("doc", "h").join(whole, "h").select("doc", F.struct("h", F.lit(None).cast("array<int>").alias("edges")).alias("f"))

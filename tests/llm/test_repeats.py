@@ -73,6 +73,35 @@ def test_bytes(docs, rows, size, gram):
     assert sorted_rows((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["rest"])) for r in got) == sorted_rows(byte_repeats(rows, size))
 
 
+def test_bytes_of_a_hot_minimizer(spark, monkeypatch):
+    """Passages shorter and longer than a window, each with other neighbours in every text: no sort has all of their pieces."""
+    rng, size, gram, bound = random.Random(11), 60, 8, 4000
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short, long_ = noise(52), noise(95)
+    rows = [(i, noise(150) + (short if i % 2 else long_) + noise(150)) for i in range(160)]
+    rows += [(200 + i, noise(90) + rows[i][1][120:230] + noise(90)) for i in range(0, 40, 7)]
+    sort = induced_suffix._sort_shards
+
+    def bounded(size, most):
+        def run(batches):
+            def seen():
+                held = {}
+                for batch in batches:
+                    for h, s, piece in zip(*(batch[c].to_pylist() for c in ("h", "s", "piece")), strict=True):
+                        held.setdefault(h, {})[s] = len(piece)
+                        assert sum(held[h].values()) <= bound
+                    yield batch
+
+            yield from sort(size, most)(seen())
+
+        return run
+
+    monkeypatch.setattr(induced_suffix, "SHARD_BYTES", bound)
+    monkeypatch.setattr(induced_suffix, "_sort_shards", bounded)
+    got = induced_suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size, gram=gram).collect()
+    assert sorted_rows((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["rest"])) for r in got) == sorted_rows(byte_repeats(rows, size))
+
+
 @pytest.mark.parametrize("most", [3, 1 << 20])
 def test_suffix_array(most):
     rng = np.random.default_rng(5)
