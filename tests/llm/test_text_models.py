@@ -122,3 +122,27 @@ def test_secrets(spark, none):
     assert {t for i, t in masked if i == 503} == {"é" * 30 + f' secret: "{secret_forest.MASK}"'}
     assert (500, None) in masked and len(secret_forest.redact(docs, found).collect()) == len(rows)
     assert secret_forest.scan(none).count() == 0
+
+
+def test_long_and_mixed_case_secrets(spark):
+    """A token of 900 bytes is found and masked whole, alone and assigned; a key of letters alone is a candidate."""
+    rng = random.Random(16)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    jwt = lambda: "eyJhbGciOiJSUzI1NiJ9." + "".join(rng.choice(signs) for _ in range(878)) + "x"
+    rows, tokens, key = [], {}, "qWeRtYuIoPaSdFgHjKlZ"
+    for i in range(120):
+        words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20))
+        if i % 3 == 2:
+            rows.append((i, f"{words} www.{rng.choice('abcd')}{i}xyz.example.com omega"))
+            continue
+        tokens[i] = jwt()
+        rows.append((i, f"{words} {tokens[i]} omega" if i % 3 else f'{words} token = "{tokens[i]}" omega'))
+    rows.append((500, f"alpha beta {key} gamma"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secret_forest.scan(docs)
+    values = {(r["doc_id"], r["value"]): r["is_secret"] for r in found.collect()}
+    assert all(values.get((i, t)) for i, t in tokens.items())
+    assert (500, key) in values
+    texts = dict(rows)
+    masked = {r["doc_id"]: r["text"] for r in secret_forest.redact(docs, found).collect()}
+    assert all(masked[i] == texts[i].replace(t, secret_forest.MASK) for i, t in tokens.items())
