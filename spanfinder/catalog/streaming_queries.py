@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +28,26 @@ def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def collected(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def collected(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Run a stream over what has arrived and return the table it wrote.
 
-    A batch replaces its own folder, so a replay changes nothing.
+    A batch replaces its own folder, so a replay changes nothing. With `keys` the stream is in update mode: a batch holds the rows it
+    changed, and the last one of each key counts, so windows that are still open are in the table.
     """
     out, state = _place(spark, name), _place(spark, f"{name}-state")
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    st.run_available(df, state, write).awaitTermination()
-    return spark.read.schema(df.schema).option("basePath", out).parquet(out).drop("batch")
+    st.run_available(df, state, write, "update" if keys else "append").awaitTermination()
+    rows = spark.read.schema(df.schema).option("basePath", out).parquet(out)
+    if keys:
+        rest = F.struct(*[c for c in df.columns if c not in keys])
+        rows = rows.groupBy(*keys).agg(F.max_by(rest, "batch").alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    return rows.drop("batch")
 
 
+WINDOW = ("window_start", "window_end", "event_type")
 _W = "epoch_us(ts) // 300000000 * 300"
 
 
@@ -50,15 +57,15 @@ _CLOSED = "(SELECT max(epoch_us(ts)) FROM events) - 600000000"  # windows that e
 @query(f"""WITH w AS (SELECT event_type, CAST({_W} AS BIGINT) AS window_start, count(*) AS n, round(count(*) / 300.0::DOUBLE, 6) AS per_second FROM events GROUP BY ALL)
   SELECT * FROM w WHERE (window_start + 300) * 1000000 <= {_CLOSED}""")
 def stream_rate_5m(spark: SparkSession, sf: str) -> DataFrame:
-    """Five-minute windows, each written once, when the watermark closes it."""
-    d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"]), "rates")
+    """Five-minute windows, those still open at the end of the log among them."""
+    d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"]), "rates", WINDOW)
     return rounded(d.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n", "per_second"), "per_second")
 
 
 @query("""WITH w AS (SELECT event_type, value, epoch_us(ts) // 60000000 * 60 - k * 60 AS window_start FROM events, range(5) r(k)) SELECT event_type, CAST(window_start AS BIGINT) AS window_start, count(*) AS n FROM w WHERE (window_start + 300) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000 GROUP BY ALL""")
 def stream_rate_sliding(spark: SparkSession, sf: str) -> DataFrame:
     """Five-minute windows every minute."""
-    d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"], "5 minutes", "1 minute"), "sliding")
+    d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"], "5 minutes", "1 minute"), "sliding", WINDOW)
     return d.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n")
 
 
@@ -79,7 +86,7 @@ def _interpolated(q: float) -> str:
 def stream_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Daily latency quantiles from mergeable buckets."""
     d = st.stream_quantiles(events_stream(spark, sf), ["event_type"], "value", _BOUNDS, {"p50": 0.5, "p95": 0.95}, "1 day", None)
-    d = collected(spark, d, "quantiles")
+    d = collected(spark, d, "quantiles", WINDOW)
     return rounded(d.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "p50", "p95", "n"), "p50", "p95")
 
 

@@ -1,10 +1,15 @@
 import json
+from datetime import datetime, timedelta
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from spanfinder.catalog import QUERIES, streaming_queries
 from spanfinder.sources import readers as R
 from spanfinder.sources import sinks as S
+from spanfinder.streaming import jobs
 
 ROWS = [
     (1, "a man walks a dog", "abc_DEF-1_210.0_360.0", [[10, 20], [40, 48]]),
@@ -93,3 +98,22 @@ def test_experiment_end_to_end(spark, place):
     overall = out["overall"].filter("scope = 'overall'").first()
     assert overall["mrr"] == 1.0 and overall["n"] == 3 and overall["lane_ceiling"] == 1.0
     assert spark.read.parquet(f"{place}/experiments").first()["status"] == "done"
+
+
+def test_open_windows_are_kept(spark, place):
+    """All events lie in the last ten minutes and in one day, so no window is closed at the end; each event is counted."""
+    rows = [(i, i % 7, "view" if i % 3 else "click", float(i), datetime(2024, 5, 1, 12, 0) + timedelta(seconds=5 * i)) for i in range(100)]
+    names = ("event_id", "user_id", "event_type", "value", "ts")
+    pq.write_table(pa.table(dict(zip(names, zip(*rows, strict=True), strict=True))), f"{place}/events.parquet")
+    for name, windows in (("stream_rate_5m", 1), ("stream_rate_sliding", 5), ("stream_quantiles", 1)):
+        assert sum(r["n"] for r in QUERIES[name](spark, place).collect()) == windows * len(rows)
+
+
+def test_later_batches_replace_windows(spark, place):
+    """Two batches with events of one window: its last count is stored, once."""
+    kind = "event_type string, ts timestamp"
+    for n in (3, 4):
+        spark.createDataFrame([("view", datetime(2024, 5, 1, 12, 1))] * n, kind).coalesce(1).write.mode("append").parquet(f"{place}/log")
+    log = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{place}/log")
+    got = streaming_queries.collected(spark, jobs.stream_rates(log, ["event_type"]), "twice", streaming_queries.WINDOW).collect()
+    assert [(r["event_type"], r["n"]) for r in got] == [("view", 7)]
