@@ -14,15 +14,20 @@ from .decontaminate import find
 from .jaccard_tiles import join
 from .ordinal_quality import rate
 from .rule_forest import judge
+from .resample import resample
+from .spelling import group
 from .tables import read
 from .toxicity import score
+from .voronoi import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn):
+def query(fn, sql: str | None = None):
     QUERIES[fn.__name__] = fn
+    if sql:
+        ORACLES[fn.__name__] = sql
     return fn
 
 
@@ -94,3 +99,32 @@ def op7_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte strings of 400 and more that repeat anywhere, by suffix arrays of shards."""
     out = induced_suffix.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
+
+
+@query
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words and more, drawn towards the benchmark's texts."""
+    out = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every twentieth vector among all others, by inner product."""
+    found = top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+query(
+    op12_voronoi_topk,
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+
+
+@query
+def op13_spelling_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of all documents with near words, forms and roots."""
+    return group(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
