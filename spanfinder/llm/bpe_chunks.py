@@ -28,6 +28,7 @@ MEMO = 150_000
 BLANKS = b" \t\n\r\x0b\x0c"
 TAIL = b".,;:!?|"
 PROBES = [w.encode() for w in ("a", "the", "Thnt", "réeux", "ÉTÉ", "ßen", "Ünd", "ñandoÿ", "ŁÓDŹ", "zzzzxqj")]
+SPLIT_PROBES = [w + t for w in (b"World", b"USA", b"a", b"Q", b"Hello", b"iPhone15", b"X9y8Z", "réeux".encode(), "ÉTÉ".encode(), "straße".encode(), b"don't", b"x-y") for t in (b"", b",", b".", b"...", b"?!", b"|", b":;")]
 # The characters that stand for bytes in byte-level BPE.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(0x100) if x not in _SHOWN)}
@@ -52,6 +53,8 @@ class Coder:
         self.blank: set[bytes] = set()
         # words of Latin letters alone may go to the merges at once, if that is what the tokenizer does with them
         self.model = self.tokenizer.model
+        alike = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids == [i for p in _parts(w) for i in self.tokenizer.encode(p.decode(), add_special_tokens=False).ids] for w in SPLIT_PROBES]
+        self.splits = all(alike)  # a tokenizer that tells cases apart, or words with signs behind them, gets words as they are
         self.direct = all([t.id for t in self.model.tokenize(_plain(w))] == self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in PROBES)
 
     @classmethod
@@ -70,7 +73,7 @@ class Coder:
             if w not in said:
                 known = old.get(w)
                 if known is None:
-                    parts = _parts(w)
+                    parts = _parts(w) if self.splits else (w,)
                     new.append((w, parts))
                     need.update(parts)
                 else:
@@ -135,8 +138,8 @@ def _plain(w: bytes) -> str | None:
 
 
 def _parts(w: bytes) -> tuple[bytes, ...]:
-    """Words that are encoded in the place of w, with the same result. The tokenizer takes runs of letters, single digits and
-    runs of other signs apart and lower-cases letters, so closing signs behind a letter stand alone, and A is a."""
+    """Words that are encoded in the place of w, with the same result where SPLIT_PROBES show that the tokenizer takes runs of letters, single digits and
+    runs of other signs apart and lower-cases letters: then closing signs behind a letter stand alone, and A is a."""
     core = w.rstrip(TAIL)
     tail = w[len(core) :]
     if core.isalnum():  # ASCII

@@ -282,6 +282,17 @@ def _own_class(k: int):
     return run
 
 
+def _text_class(k: int):
+    """The class of every text, and the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = [class_of(s) for *_, data, off in A.blocks(batch["text"]) for s in shingle_sets(data, off, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), batch["text"]], ["c", "text"])
+
+    return run
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Components of documents whose sets of `words`-word shingles have a Jaccard similarity of num/den or more.
 
@@ -326,7 +337,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pairs = out.where("b IS NOT NULL").select("a", "b").distinct()
         tiles = out.where("b IS NULL").select("key", "band", "sub", F.col("a").alias("c"), "n", "sign")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c")
-        texts = keep(docs.join(asked.withColumnRenamed("rep", "doc_id").where("doc_id IS NOT NULL"), "doc_id").select("c", "text").mapInArrow(_own_class(words), "c long, text string").dropDuplicates(["c"]), "jaccard-texts")
+        of_ids = docs.join(asked.withColumnRenamed("rep", "doc_id").where("doc_id IS NOT NULL"), "doc_id").select("c", "text").mapInArrow(_own_class(words), "c long, text string")
+        # classes without any id have their texts among the rows without one
+        of_nulls = docs.where("doc_id IS NULL").select("text").mapInArrow(_text_class(words), "c long, text string").join(asked.where("rep IS NULL").select("c"), "c", "left_semi")
+        texts = keep(of_ids.unionByName(of_nulls).dropDuplicates(["c"]), "jaccard-texts")
         both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
         found = keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_settle(words, num, den), "a long, b long"), "jaccard-links")
         if found.limit(1).count():

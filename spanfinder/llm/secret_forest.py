@@ -24,7 +24,7 @@ from .tables import keep, small_batches
 LONG = 16
 TREES, DEPTH, MOST_LABELLED, SEED = 40, 8, 20_000, 6
 SECRET = 0.5
-DICTIONARY = 1 << 14
+DICTIONARY, COUNTED = 1 << 14, 1 << 18
 MASK = "[SECRET]"
 FEATURES = ["length", "transitions", "digits", "upper", "entropy", "dictionary", "vowels", "in_path", "assigned", "quoted", "keyword", "prefix", "known_neighbours"]
 
@@ -107,8 +107,14 @@ def _scan(common):
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of this task's texts that many of its texts have."""
+    """In how many of this task's texts each word is; counts are sent on whole whenever COUNTED words are held."""
     counts: dict[bytes, int] = {}
+
+    def send() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+        counts.clear()
+        return out
+
     for batch in batches:
         for _, _, data, off in A.blocks(batch["text"]):
             raw = data.tobytes()
@@ -116,11 +122,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in {x.strip(b".,;:!?\"'()|").lower() for x in raw[a:b].split()}:
                     if 3 <= len(w) <= 24:
                         counts[w] = counts.get(w, 0) + 1
-            if len(counts) > 1 << 18:  # forgets words that are rare so far: only the dictionary's tail depends on it
-                cut = sorted(counts.values())[-(1 << 16)]
-                counts = {w: n for w, n in counts.items() if n > cut}
-    top = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:DICTIONARY]
-    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+            if len(counts) >= COUNTED:
+                yield send()
+    yield send()
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
