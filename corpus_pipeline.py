@@ -1,6 +1,6 @@
 """Cleaning a corpus in stages; each takes (spark, docs, sf_dir) and returns the documents that go on.
 
-Documents are told apart by doc_id; null ids count as one id. Extra columns are dropped. A later stage sees only what its
+Documents are told apart by doc_id, those without one by their texts. Extra columns are dropped. A later stage sees only what its
 predecessor kept.
 """
 
@@ -13,7 +13,7 @@ from spanfinder.llm import bpe_chunks, decontaminate, jaccard_tiles, secret_fore
 from spanfinder.llm.tables import keep, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-NONE = -(1 << 63)
+NAMED = 1 << 62  # documents without an id are named by their text's hash, beyond other ids
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
@@ -24,18 +24,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id; five-word shingles, similarity of 0.8 or more."""
-    docs = docs.select(COLUMNS)
-    kept = jaccard_tiles.join(docs, words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN).select(F.col("component_id").alias("kept")).distinct()
     # one key for both the choice and the removal of repeated rows, so that texts move once
-    at, none = F.coalesce(F.col("doc_id"), F.lit(NONE)).alias("_at"), F.coalesce(F.col("kept"), F.lit(NONE)).alias("_at")
-    return docs.select("*", at).join(kept.select(none), "_at", "left_semi").dropDuplicates(["_at", "text"]).drop("_at")
+    at = F.coalesce(F.col("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(NAMED)).alias("_at")
+    docs = docs.select(*COLUMNS, at)
+    kept = jaccard_tiles.join(docs, "_at", words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN).select(F.col("component_id").alias("_at")).distinct()
+    return docs.join(kept, "_at", "left_semi").dropDuplicates(["_at", "text"]).drop("_at")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified benchmark item."""
-    docs = docs.select(COLUMNS)
-    found = decontaminate.find(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leak"]), "left_anti")
+    docs = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
+    leaks = decontaminate.find(docs, read(spark, sf_dir, "benchmark"), "_key").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(leaks, "_key", "left_anti").drop("_key")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
