@@ -9,6 +9,8 @@ from ..functions import fixed_values as V
 from ..functions.media import pick_distinct as pick_distinct_frames
 from ..functions.media import plan_scan_windows, select_keyframes
 from ..functions.text import merge_lines as merge_text_lines
+from ..operators.encoders import ModelEncoder, fanout_by_key
+from ..operators.intervals import frames_of_segments as frames_within
 from ..operators.ordered import even_sample as evenly
 from ..operators.ordered import running, seeded_subset as draw_subset
 from ..plans import keyphrases as kp
@@ -120,6 +122,41 @@ def assign_windows(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("video_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("window_index").cast("long").alias("window_index"), F.col("segment_id").cast("long").alias("idx"))
 
 
+@query(f"""WITH RECURSIVE {_UTT}, {_TRIM}, {_SEGS},
+  f AS (SELECT conv_id, chunk_index, s AS t FROM trimmed),
+  own AS (SELECT g.conv_id, g.chunk_index, g.idx, count(f.t) AS n, min(f.t) AS first_t FROM full_seg g LEFT JOIN f ON f.conv_id = g.conv_id AND f.chunk_index = g.chunk_index AND f.t >= g.s AND f.t < g.e GROUP BY ALL),
+  near AS (SELECT * FROM (SELECT g.conv_id, g.chunk_index, g.idx, f.t, row_number() OVER (PARTITION BY g.conv_id, g.chunk_index, g.idx ORDER BY abs(f.t - (g.s + g.e) / 2), f.t) AS r
+    FROM full_seg g JOIN f ON f.conv_id = g.conv_id AND f.chunk_index = g.chunk_index) WHERE r = 1)
+  SELECT o.conv_id AS video_id, o.chunk_index * 10000 + o.idx AS index, CASE WHEN n > 0 THEN n WHEN t IS NOT NULL THEN 1 END AS frames, coalesce(first_t, t) AS first_t, n = 0 AND t IS NOT NULL AS is_nearest
+  FROM own o LEFT JOIN near USING (conv_id, chunk_index, idx)""")
+def frames_of_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames, here one at the start of every utterance, per segment; a silent segment takes the one nearest its centre."""
+    c = chunks(spark, sf)
+    said = sg.trim_utterances(utterances(spark, sf), c)
+    frames = said.select("video_id", "chunk_index", F.col("start_s").alias("t_s"))
+    d = frames_within(frames, sg.build_segments(c, said), ["video_id", "chunk_index"])
+    first = F.get("frames", F.lit(0))["t_s"]
+    near = F.size("frames") > 0
+    outside = near & ((first < F.col("start_s")) | (first >= F.col("end_s")))
+    return d.select("video_id", F.col("index").cast("long").alias("index"), F.when(near, F.size("frames")).cast("long").alias("frames"), first.alias("first_t"), F.coalesce(outside, F.lit(False)).alias("is_nearest"))
+
+
+def _measure():
+    """Stands for a model that is costly to load and to run."""
+    return lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS chars, CAST(len(regexp_extract_all(coalesce(text, ''), 'e')) AS DOUBLE) AS es, count(*) OVER (PARTITION BY md5(coalesce(text, ''))) AS copies FROM documents")
+def compute_once(spark: SparkSession, sf: str) -> DataFrame:
+    """A model runs once for each distinct text and its result is joined to all copies."""
+    text = F.coalesce("text", F.lit(""))
+    docs = B.documents(spark, sf).select("doc_id", text.alias("text"), F.md5(text).alias("key"))
+    model = ModelEncoder("measure", 2, _measure)
+    out = fanout_by_key(docs, "key", lambda once: model.add(once, "text", "vector"))
+    copies = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    return out.join(copies, "key").select("doc_id", F.get("vector", F.lit(0)).alias("chars"), F.get("vector", F.lit(1)).alias("es"), "copies")
+
+
 @query("""WITH v AS (SELECT source, CAST(sum(n_chars) AS DOUBLE) / 100 AS d FROM documents GROUP BY source),
  n AS (SELECT *, greatest(4, least(10, CAST(round_even(d / 240, 0) AS BIGINT))) AS n FROM v),
  w AS (SELECT source, i, d, d * 0.05::DOUBLE + i * greatest(60, (d * 0.95::DOUBLE - d * 0.05::DOUBLE) / n) AS a FROM n, LATERAL (SELECT unnest(range(n)) AS i))

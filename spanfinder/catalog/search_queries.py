@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..operators.vector_search import CellIndex, nearest
 from ..plans.query_planning import decompose
 from ..plans.routing import FixedRouter, HeuristicRouter
 from ..plans.search import Corpus, final_scores, head, ocr_lane, plan_queries, search, suppress_hits
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 from . import bindings as B
 from .registry import query
 
@@ -182,15 +184,38 @@ def lane_dense_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(dense(spark, sf, 10, scope), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {DENSE} SELECT query_id, segment_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
-def lane_dense_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Partitioned search that visits every cell: must equal the exact lane."""
+CELLS, PROBES, PROBE_COUNTS = 32, 24, (1, 2, 4, 8, 16, 24, 32)
+
+_CELLS = f"""{QV}, {VECS}, usable AS (SELECT * FROM vecs WHERE v IS NOT NULL AND list_inner_product(v, v) > 0),
+  centre AS (SELECT cell, v FROM (SELECT row_number() OVER (ORDER BY md5('0:' || segment_id), segment_id) - 1 AS cell, v FROM usable) WHERE cell < {CELLS}),
+  placed AS (SELECT segment_id, d.v, arg_min(cell, -1000 * round(list_cosine_similarity(d.v, c.v), 9) + cell / 1e9) AS cell FROM usable d, centre c GROUP BY segment_id, d.v),
+  probe AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.v, c.v), 9) DESC, cell) AS place
+    FROM qv q, centre c WHERE q.v IS NOT NULL AND list_inner_product(q.v, q.v) > 0)"""
+
+
+def stored_cells(spark: SparkSession, sf: str) -> CellIndex:
     v = vectors(spark, sf)
-    index = CellIndex.fit(v, cells=8)
-    hits = index.search(B.plain_queries(spark, sf), index.assign(v), 10, nprobe=8)
+    return CellIndex.draw(v, CELLS, "segment_id").write(v, f"{shared_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}")
+
+
+@query(f"""WITH {_CELLS} SELECT query_id, segment_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS rank
+  FROM (SELECT q.query_id, d.segment_id, round(list_cosine_similarity(q.v, d.v), 9) AS score
+        FROM qv q JOIN probe p ON p.query_id = q.query_id AND p.place <= {PROBES} JOIN placed d ON d.cell = p.cell)) WHERE rank <= 10""")
+def lane_dense_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate search: vectors stored by cell, each query visits 24 of 32."""
+    hits = stored_cells(spark, sf).search(B.plain_queries(spark, sf), 10, PROBES)
     return rounded(hits, "score").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"""WITH {_CELLS}, exact AS (SELECT * FROM (SELECT query_id, segment_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS rank
+    FROM (SELECT q.query_id, d.segment_id, d.cell, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM qv q JOIN placed d ON q.v IS NOT NULL)) WHERE rank <= 10)
+  SELECT nprobe, round(avg(CASE WHEN place <= nprobe THEN 1.0e0 ELSE 0 END), 6) AS recall FROM exact JOIN probe USING (query_id, cell), (SELECT unnest({list(PROBE_COUNTS)}) AS nprobe) GROUP BY nprobe""")
+def lane_dense_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the exact ten best that a number of probes finds."""
+    return rounded(stored_cells(spark, sf).recall(B.plain_queries(spark, sf), 10, PROBE_COUNTS), "recall")
+
+
 _POOL = f"""WITH {QV}, {VECS}, near AS (SELECT * FROM (SELECT query_id, segment_id, frame, score, start_s,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame) AS r
   FROM (SELECT q.query_id, d.segment_id // 3 AS segment_id, d.segment_id AS frame, (d.segment_id % 3) * 4.0::DOUBLE AS start_s,

@@ -28,13 +28,13 @@ def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def collected(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Run a stream over what has arrived and return the table it wrote.
+def collected(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str] = (), place: tuple[str, str] | None = None) -> DataFrame:
+    """Run a stream over what has arrived and return the table it wrote; a job goes on where it was if `place` names its folders.
 
     A batch replaces its own folder, so a replay changes nothing. With `keys` the stream is in update mode: a batch holds the rows it
     changed, and the last one of each key counts, so windows that are still open are in the table.
     """
-    out, state = _place(spark, name), _place(spark, f"{name}-state")
+    out, state = place or (_place(spark, name), _place(spark, f"{name}-state"))
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
@@ -51,18 +51,14 @@ WINDOW = ("window_start", "window_end", "event_type")
 _W = "epoch_us(ts) // 300000000 * 300"
 
 
-_CLOSED = "(SELECT max(epoch_us(ts)) FROM events) - 600000000"  # windows that end by the last watermark have been written
-
-
-@query(f"""WITH w AS (SELECT event_type, CAST({_W} AS BIGINT) AS window_start, count(*) AS n, round(count(*) / 300.0::DOUBLE, 6) AS per_second FROM events GROUP BY ALL)
-  SELECT * FROM w WHERE (window_start + 300) * 1000000 <= {_CLOSED}""")
+@query(f"""SELECT event_type, CAST({_W} AS BIGINT) AS window_start, count(*) AS n, round(count(*) / 300.0::DOUBLE, 6) AS per_second FROM events GROUP BY ALL""")
 def stream_rate_5m(spark: SparkSession, sf: str) -> DataFrame:
     """Five-minute windows, those still open at the end of the log among them."""
     d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"]), "rates", WINDOW)
     return rounded(d.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n", "per_second"), "per_second")
 
 
-@query("""WITH w AS (SELECT event_type, value, epoch_us(ts) // 60000000 * 60 - k * 60 AS window_start FROM events, range(5) r(k)) SELECT event_type, CAST(window_start AS BIGINT) AS window_start, count(*) AS n FROM w WHERE (window_start + 300) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000 GROUP BY ALL""")
+@query("""WITH w AS (SELECT event_type, value, epoch_us(ts) // 60000000 * 60 - k * 60 AS window_start FROM events, range(5) r(k)) SELECT event_type, CAST(window_start AS BIGINT) AS window_start, count(*) AS n FROM w GROUP BY ALL""")
 def stream_rate_sliding(spark: SparkSession, sf: str) -> DataFrame:
     """Five-minute windows every minute."""
     d = collected(spark, st.stream_rates(events_stream(spark, sf), ["event_type"], "5 minutes", "1 minute"), "sliding", WINDOW)
@@ -82,7 +78,7 @@ def _interpolated(q: float) -> str:
 
 
 @query(f"""WITH h AS (SELECT event_type, epoch_us(ts) // 86400000000 * 86400 AS window_start, {_COUNTS}, count(*) AS n FROM events GROUP BY ALL)
-  SELECT event_type, CAST(window_start AS BIGINT) AS window_start, {_interpolated(0.5)} AS p50, {_interpolated(0.95)} AS p95, n FROM h WHERE (window_start + 86400) * 1000000 <= {_CLOSED}""")
+  SELECT event_type, CAST(window_start AS BIGINT) AS window_start, {_interpolated(0.5)} AS p50, {_interpolated(0.95)} AS p95, n FROM h""")
 def stream_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Daily latency quantiles from mergeable buckets."""
     d = st.stream_quantiles(events_stream(spark, sf), ["event_type"], "value", _BOUNDS, {"p50": 0.5, "p95": 0.95}, "1 day", None)
@@ -105,16 +101,59 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(sink).select("event_id", "key")
 
 
-@query("""WITH c AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id)
-  SELECT CAST(user_id AS VARCHAR) AS video_id, CASE WHEN failed > 0 THEN 'failed' ELSE 'ready' END AS status, failed, total FROM c""")
+@query("""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS video_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed,
+    count(*) FILTER (event_type = 'error' AND event_id % 2 = 1) AS given_up FROM events GROUP BY ALL)
+  SELECT video_id, CASE WHEN failed > 0 THEN 'failed' ELSE 'ready' END AS status, failed, total FROM c
+  UNION ALL SELECT video_id, 'ready', 0, total FROM c WHERE failed > 0 AND given_up = 0""")
 def stream_finalize(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user is a video, each event a finished chunk: one completion event per video."""
-    total = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    e = events_stream(spark, sf).join(total, "user_id")
-    # each chunk reports that it is pending before its end
-    status = F.explode(F.array(F.lit("pending"), F.when(F.col("event_type") == "error", "failed").otherwise("done")))
-    c = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("chunk_index"), status.alias("status"), "chunk_count", "ts")
-    return collected(spark, st.stream_finalize(c), "final")
+    """Each user is a video, each event a chunk that reports that it is pending and then how it ended.
+
+    The log comes in three steps: two halves, then reports of the first half again with later times, and the second tries of
+    every other failed chunk. At last all of it is replayed by a job that has forgotten everything.
+    """
+    src, sink = _place(spark, "chunks"), _place(spark, "told")
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    total = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    ended = F.when(F.col("event_type") == "error", "failed").otherwise("done")
+    own = events.join(total, "user_id").select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("chunk_index"), ended.alias("ended"), "chunk_count", "ts")
+    reports = own.withColumn("status", F.explode(F.array(F.lit("pending"), "ended"))).drop("ended")
+    later = own.withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 HOURS"))
+    again = later.where("ended = 'failed' AND chunk_index % 2 = 0").withColumn("status", F.lit("done")).drop("ended")
+    repeats = later.where("ended = 'done' AND chunk_index % 5 < 2").withColumnRenamed("ended", "status")
+    steps = [reports.where("chunk_index % 5 < 3"), reports.where("chunk_index % 5 >= 3"), again.unionByName(repeats)]
+    schema = st.REPORT
+    for state in (_place(spark, "chunks-state"), _place(spark, "chunks-replay")):
+        for step in steps:
+            if step is not None:
+                step.select(*[f.split()[0] for f in schema.split(", ")]).write.mode("append").parquet(src)
+            st.stream_finalize(spark.readStream.schema(schema).parquet(src), sink, state).awaitTermination()
+        steps = [None]  # the replay reads what is there
+    return spark.read.schema(st.FINAL).parquet(sink).select("video_id", "status", "failed", "total")
+
+
+@query(f"""WITH s AS (SELECT *, epoch_us(ts) AS us, {_W} AS window_start, CASE WHEN event_id % 7 = 3 THEN 2 WHEN ts < (SELECT median(ts) FROM events) THEN 0 ELSE 1 END AS step FROM events),
+  m AS (SELECT step, max(us) // 1000 * 1000 AS us FROM s GROUP BY step),
+  w AS (SELECT s.*, coalesce((window_start + 300) * 1000000 <= (SELECT max(m.us) FROM m WHERE m.step < s.step) - 600000000, false) AS late FROM s)
+  SELECT event_type, CAST(window_start AS BIGINT) AS window_start, count(*) AS n_raw, count(*) FILTER (NOT late) AS n_counted, count(*) FILTER (late) AS n_late FROM w GROUP BY ALL""")
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """A log that comes in three steps, the last one of stragglers from all over it: rows in the raw table, rows that the
+    windows counted, and rows that came after their window was closed."""
+    src, raw, late, state = (_place(spark, n) for n in ("late-src", "late-raw", "late-rows", "late-state"))
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = events.agg(F.expr("timestamp_micros(CAST(floor(percentile(unix_micros(ts), 0.5)) AS BIGINT))").alias("m")).first()["m"]
+    straggler, early = F.col("event_id") % 7 == 3, F.col("ts") < F.lit(middle)
+    out = None
+    for step in (~straggler & early, ~straggler & ~early, straggler):
+        events.where(step).write.mode("append").parquet(src)
+        log = spark.readStream.schema(events.schema).parquet(src)
+        st.stream_raw(log, raw, late, f"{state}-raw").awaitTermination()
+        out = collected(spark, st.stream_rates(log, ["event_type"]), "late-windows", WINDOW, place=(f"{state}-out", f"{state}-windows"))
+    start = F.unix_timestamp(F.window("ts", "5 minutes")["start"]).alias("window_start")
+    n = lambda path, name: spark.read.schema(events.schema).parquet(path).groupBy("event_type", start).agg(F.count(F.lit(1)).alias(name))
+    counted = out.select("event_type", F.unix_timestamp("window_start").alias("window_start"), F.col("n").alias("n_counted"))
+    keys = ["event_type", "window_start"]
+    joined = n(raw, "n_raw").join(counted, keys, "left").join(n(f"{late}/rows", "n_late"), keys, "left")
+    return joined.select(*keys, "n_raw", F.coalesce("n_counted", F.lit(0)).alias("n_counted"), F.coalesce("n_late", F.lit(0)).alias("n_late"))
 
 
 @query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), e AS (SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS event_id, max(epoch_us(ts)) AS us FROM events GROUP BY user_id)
@@ -151,12 +190,13 @@ def stream_stage_latency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments indexed from a transcript stream; equals the batch build, see the tests."""
+    """Segments indexed from a transcript that comes in two steps, so that most chunks are spread over both; equals the batch
+    build, see the tests."""
     src, sink, state = _place(spark, "utt"), _place(spark, "segs"), _place(spark, "segs-state")
     c = chunks(spark, sf)
-    u = utterances(spark, sf)
-    placed = sg.trim_utterances(u, c)
-    placed.write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    st.stream_index(stream, c, sink, state).awaitTermination()
-    return spark.read.parquet(sink).select("video_id", "chunk_index", "index", "start_s", "end_s", "text", "context_text")
+    placed = sg.trim_utterances(utterances(spark, sf), c)
+    for step in (0, 1):
+        placed.where(F.pmod(F.floor(F.col("start_s")), F.lit(2)) == step).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(placed.schema).parquet(src)
+        st.stream_index(stream, c, sink, state).awaitTermination()
+    return spark.read.parquet(f"{sink}/segments").select("video_id", "chunk_index", "index", "start_s", "end_s", "text", "context_text")

@@ -12,11 +12,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import l2_norm
+from .ordered import seeded_key
 from .topk import topk
 
 QUERY_BLOCK = 4096  # queries of one block, which every task holds
@@ -148,45 +149,90 @@ def _block(asked: DataFrame, pairs: DataFrame | None, rows: DataFrame, k: int, k
 
 
 class CellIndex:
-    """Vectors partitioned by their nearest k-means centre; a query visits its `nprobe` nearest cells."""
+    """Vectors in folders by their nearest of a fixed number of centres; a query visits its `nprobe` nearest cells.
 
-    def __init__(self, model, vector: str = "embedding"):
-        self.model, self.vector = model, vector
+    Only the folders of cells that some query visits are read, and within a cell a task multiplies its rows with the queries that
+    visit it. Inside the visited cells the search is exact. `recall` tells what a number of probes finds.
+    """
+
+    def __init__(self, centres: np.ndarray, vector: str = "embedding", path: str | None = None):
+        self.centres, self.vector, self.path = _normalised(centres), vector, path
+
+    @staticmethod
+    def _usable(vectors: DataFrame, vector: str) -> DataFrame:
+        return vectors.filter(F.col(vector).isNotNull() & (l2_norm(F.col(vector)) > 0))
 
     @classmethod
-    def fit(cls, vectors: DataFrame, cells: int, vector: str = "embedding", seed: int = 0) -> "CellIndex":
-        """Centres are fitted on all vectors, so that cells do not change in kind with the table's size."""
+    def fit(cls, vectors: DataFrame, cells: int, vector: str = "embedding", seed: int = 0) -> CellIndex:
+        """Centres by k-means over all vectors, so that cells do not change in kind with the table's size."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        usable = vectors.filter(F.col(vector).isNotNull() & (l2_norm(F.col(vector)) > 0))
-        data = usable.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-        return cls(KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(data), vector)
+        data = cls._usable(vectors, vector).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+        return cls(np.array(KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(data).clusterCenters()), vector)
+
+    @classmethod
+    def draw(cls, vectors: DataFrame, cells: int, row_key: str, vector: str = "embedding", seed: int = 0) -> CellIndex:
+        """Centres are vectors drawn by a seeded hash of their key: no training, and the same ones on any engine."""
+        drawn = cls._usable(vectors, vector).orderBy(seeded_key(seed, F.col(row_key)), row_key).limit(cells).select(vector)
+        return cls(np.array([r[0] for r in drawn.collect()], dtype=np.float64), vector)  # `cells` rows
+
+    def _ranked(self, v: pd.Series, n: int) -> np.ndarray:
+        """The n nearest centres of every vector, ties to the smaller number."""
+        sims = np.round(_normalised(v.tolist()) @ self.centres.T, SCORE_DIGITS)
+        return np.argsort(-sims, axis=1, kind="stable")[:, :n].astype("int32")
 
     def assign(self, vectors: DataFrame) -> DataFrame:
-        """Add the cell of every usable vector; write the result partitioned by `cell`."""
-        from pyspark.ml.functions import array_to_vector
+        """Add the cell of every usable vector."""
+
+        @F.pandas_udf("int")
+        def cell(v: pd.Series) -> pd.Series:
+            return pd.Series(self._ranked(v, 1)[:, 0])
 
-        usable = vectors.filter(F.col(self.vector).isNotNull() & (l2_norm(F.col(self.vector)) > 0))
-        scored = self.model.transform(
-            usable.withColumn("features", array_to_vector(F.col(self.vector).cast("array<double>")))
-        )
-        return scored.drop("features").withColumnRenamed("prediction", "cell")
+        return self._usable(vectors, self.vector).withColumn("cell", cell(F.col(self.vector)))
 
     def probes(self, queries: DataFrame, nprobe: int, query_vector: str = "query_vector") -> DataFrame:
-        """(query_id, cell) of the nprobe nearest centres of every query."""
-        centres = _normalised(self.model.clusterCenters())
-        nprobe = min(nprobe, len(centres))
+        """(query_id, cell, place) of the nprobe nearest centres of every query, place from 1."""
+        n = min(nprobe, len(self.centres))
 
         @F.pandas_udf("array<int>")
         def nearest_cells(v: pd.Series) -> pd.Series:
-            sims = _normalised(v.tolist()) @ centres.T
-            return pd.Series(list(np.argsort(-sims, axis=1, kind="stable")[:, :nprobe].astype("int32")))
+            return pd.Series(list(self._ranked(v, n)))
+
+        found = queries.filter(F.col(query_vector).isNotNull() & (l2_norm(F.col(query_vector)) > 0))
+        return found.select("query_id", F.posexplode(nearest_cells(F.col(query_vector))).alias("place", "cell")).withColumn("place", F.col("place") + 1)
 
-        found = queries.filter(F.col(query_vector).isNotNull())
-        return found.select("query_id", F.explode(nearest_cells(F.col(query_vector))).alias("cell"))
+    def write(self, vectors: DataFrame, path: str) -> CellIndex:
+        """Store the vectors by cell, and the centres; returns the stored index.
 
-    def search(self, queries: DataFrame, assigned: DataFrame, k: int, nprobe: int, **options) -> DataFrame:
-        return nearest(
-            queries, assigned, k, vector=self.vector, scope=self.probes(queries, nprobe), scope_col="cell", **options
-        )
+        Rows of a cell come together in files of the advisory size; adaptive execution splits a crowded cell and joins small ones.
+        """
+        self.assign(vectors).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
+        spark = vectors.sparkSession
+        spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        return CellIndex(self.centres, self.vector, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, vector: str = "embedding") -> CellIndex:
+        rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # a row a cell
+        return cls(np.array([r["centre"] for r in rows]), vector, path)
+
+    def cells(self, spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:
+        """Stored vectors, of the cells in `wanted` alone: their numbers become filters on the folders."""
+        rows = spark.read.parquet(f"{self.path}/vectors")
+        if wanted is None:
+            return rows
+        return rows.where(F.col("cell").isin(sorted(r["cell"] for r in wanted.select("cell").distinct().collect())))  # at most all cells
+
+    def search(self, queries: DataFrame, k: int, nprobe: int, **options) -> DataFrame:
+        """Best k of the nprobe nearest cells of every query, as `nearest`."""
+        scope = self.probes(queries, nprobe)
+        return nearest(queries, self.cells(queries.sparkSession, scope), k, vector=self.vector, scope=scope, scope_col="cell", **options)
+
+    def recall(self, queries: DataFrame, k: int, counts: Sequence[int], row_key: str = "segment_id") -> DataFrame:
+        """(nprobe, recall) over the exact best k of all queries: a row is found if its cell is among the first nprobe."""
+        exact = nearest(queries, self.cells(queries.sparkSession), k, vector=self.vector, row_key=row_key, payload=("cell",))
+        placed = exact.join(self.probes(queries, len(self.centres)), ["query_id", "cell"])
+        shares = [F.struct(F.lit(n).alias("nprobe"), F.avg((F.col("place") <= n).cast("double")).alias("recall")) for n in counts]
+        return placed.agg(F.array(*shares).alias("s")).select(F.inline("s"))

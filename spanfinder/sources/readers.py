@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .sinks import _exists
+from .sinks import table_exists
 
 
 @dataclass
@@ -22,7 +22,7 @@ class Library:
     def table(self, name: str) -> DataFrame:
         schema = schemas.TABLES[name]
         path = f"{self.root}/{name}"
-        if not _exists(self.spark, path):
+        if not table_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 

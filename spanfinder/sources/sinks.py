@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def table_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -29,7 +29,7 @@ def new_rows(target: DataFrame | None, df: DataFrame, keys: Sequence[str], order
 def insert_if_absent(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column] = ()) -> None:
     """Append rows with unseen keys; importing the same rows again adds nothing."""
     spark = df.sparkSession
-    target = spark.read.parquet(path) if _exists(spark, path) else None
+    target = spark.read.parquet(path) if table_exists(spark, path) else None
     new_rows(target, df, keys, order).write.mode("append").parquet(path)
 
 
@@ -47,7 +47,7 @@ def merged(target: DataFrame | None, df: DataFrame, keys: Sequence[str], recency
 def upsert(df: DataFrame, path: str, keys: Sequence[str], recency: str) -> None:
     """Merge by key. The result is written beside the target and swapped in, so readers never see half a table."""
     spark = df.sparkSession
-    target = spark.read.parquet(path) if _exists(spark, path) else None
+    target = spark.read.parquet(path) if table_exists(spark, path) else None
     swap(merged(target, df, keys, recency), path)
 
 
@@ -84,7 +84,7 @@ def purge(spark: SparkSession, root: str, video_ids: DataFrame, tables: Sequence
     """Remove videos from the library and from all tables that refer to them."""
     for name in tables:
         path = f"{root}/{name}"
-        if _exists(spark, path):
+        if table_exists(spark, path):
             swap(without_videos(spark.read.parquet(path), video_ids), path)
 
 

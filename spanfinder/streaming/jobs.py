@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..operators.quantiles import quantile_of_bins
 from ..plans.segments import build_segments, trim_utterances
-from ..sources.sinks import insert_if_absent, replace_partitions
+from ..sources.sinks import insert_if_absent, replace_partitions, table_exists
 
 LATENESS = "10 minutes"
 
@@ -31,18 +32,34 @@ def run_available(df: DataFrame, checkpoint: str, each_batch: Callable[[DataFram
     )
 
 
-def stream_index(transcripts: DataFrame, chunks: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Index chunks as their transcripts arrive. A chunk's rows are replaced in one commit, so a search
-    sees all or none of them and a replayed batch leaves identical rows.
+INDEX_BUCKETS = 64
 
-    transcripts: (video_id, chunk_index, start_s, end_s, words), a chunk arriving within one file.
+
+def stream_index(transcripts: DataFrame, chunks: DataFrame, sink: str, checkpoint: str, buckets: int = INDEX_BUCKETS) -> StreamingQuery:
+    """Index chunks as their transcripts arrive, a chunk's in one batch or in several.
+
+    transcripts: (video_id, chunk_index, start_s, end_s, words). Utterances and segments lie in `buckets` partitions by video,
+    whatever the number of chunks. A batch builds the chunks it touches anew from all of their utterances so far, and replaces its
+    buckets in one commit, so a search sees all or none of a chunk's rows and a replayed batch leaves identical ones.
     """
+    spark, heard, built = transcripts.sparkSession, f"{sink}/utterances", f"{sink}/segments"
+    key = ["video_id", "chunk_index"]
+    at = F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int").alias("bucket")
 
-    def write(batch: DataFrame, _: int) -> None:
-        touched = batch.select("video_id", "chunk_index").distinct()
-        mine = chunks.join(touched, ["video_id", "chunk_index"], "left_semi")
-        trimmed = trim_utterances(batch, mine)
-        replace_partitions(build_segments(mine, trimmed), sink, ["video_id", "chunk_index"])
+    def write(batch: DataFrame, n: int) -> None:
+        if batch.isEmpty():
+            return
+        rows = batch.select("*", at, F.lit(n).cast("long").alias("batch"))
+        replace_partitions(rows, heard, ["batch", "bucket"])
+        mine = spark.read.parquet(heard).where(F.col("batch") == n)
+        touched = mine.select("bucket", *key).distinct()
+        upto = spark.read.parquet(heard).where(F.col("batch") <= n).join(touched, ["bucket", *key], "left_semi").select(*batch.columns)
+        todo = chunks.join(touched.select(*key), key, "left_semi")
+        fresh = build_segments(todo, trim_utterances(upto, todo)).select("*", at)
+        if table_exists(spark, built):
+            old = spark.read.schema(fresh.schema).parquet(built).join(touched.select("bucket").distinct(), "bucket", "left_semi")
+            fresh = fresh.unionByName(old.join(touched.select(*key), key, "left_anti"))
+        replace_partitions(fresh, built, ["bucket"])
 
     return run_available(transcripts, checkpoint, write)
 
@@ -108,39 +125,123 @@ def stream_sessions(events: DataFrame, worker: str, gap: str = "90 seconds", ts:
     return sessions(with_lateness(events, ts), worker, gap, ts)
 
 
+# --- late rows --------------------------------------------------------------------------------
+
+
+def stream_raw(events: DataFrame, raw: str, late: str, checkpoint: str, window: str = "5 minutes", delay: str = LATENESS, ts: str = "ts") -> StreamingQuery:
+    """Keep every row in `raw`, and in `late`/rows those whose window was closed when they came.
+
+    A window is closed when its end is not after the watermark, the latest event time of all batches before less `delay`: these
+    rows are the ones a windowed count with the same watermark leaves out. `late`/marks has a row a batch: latest
+    time, rows, late rows. Each batch has a folder of its own in all three, so a replay changes nothing.
+    """
+    spark = events.sparkSession
+    marks = "latest_us long, n long, n_late long, batch long"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{raw}/batch={n}")
+        rows = spark.read.schema(batch.schema).parquet(f"{raw}/batch={n}")
+        before = None
+        if n and table_exists(spark, f"{late}/marks"):
+            before = spark.read.schema(marks).parquet(f"{late}/marks").where(F.col("batch") < n).agg(F.max("latest_us")).first()[0]
+        level = F.timestamp_millis(F.floor(F.lit(before).cast("long") / 1000)) - F.expr(f"INTERVAL {delay}")
+        behind = rows.withColumn("_end", F.window(F.col(ts), window)["end"]).where(F.col("_end") <= level).drop("_end")
+        behind.write.mode("overwrite").parquet(f"{late}/rows/batch={n}")
+        n_late = spark.read.schema(batch.schema).parquet(f"{late}/rows/batch={n}").agg(F.count(F.lit(1)).alias("n_late"))
+        sums = rows.agg(F.max(F.unix_micros(ts)).alias("latest_us"), F.count(F.lit(1)).alias("n"))
+        sums.crossJoin(n_late).write.mode("overwrite").parquet(f"{late}/marks/batch={n}")  # one row each
+
+    return run_available(events.withColumn(ts, F.col(ts).cast("timestamp")), checkpoint, write)
+
+
 # --- stateful: completion and stale heartbeats -----------------------------------------------
 
+REPORT = "video_id string, chunk_index long, status string, chunk_count long, ts timestamp"
 FINAL = "video_id string, status string, failed bigint, total bigint"
 TOLD_MS = 24 * 3600 * 1000
-FINAL_STATE = "done bigint, failed bigint, total bigint, emitted boolean"
-
-
-def _complete(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:  # told long ago
-        state.remove()
-        return
-    done, failed, total, emitted = state.get if state.exists else (0, 0, 0, False)
-    for pdf in batches:
-        done += int((pdf["status"] == "done").sum())
-        failed += int((pdf["status"] == "failed").sum())
-        total = max(total, int(pdf["chunk_count"].max()))
-    ready = total > 0 and done + failed >= total and not emitted
-    state.update((done, failed, total, emitted or ready))
-    if emitted or ready:
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + TOLD_MS)
-    if ready:
-        yield pd.DataFrame({"video_id": [key[0]], "status": ["failed" if failed else "ready"], "failed": [failed], "total": [total]})
-
-
-def stream_finalize(chunks: DataFrame) -> DataFrame:
-    """One event per video at the moment all its chunks are terminal, never a second one.
-
-    chunks: chunk events (video_id, chunk_index, status, chunk_count, ts) of any status; the terminal ones count, once per
-    chunk. State per video is four values, dropped a day of event time after the video was told.
+OPEN_MS = 30 * 24 * 3600 * 1000
+_ORDER = {"failed": 1, "done": 2}  # of reports at the same time; any other status comes first
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Completion(StatefulProcessor):
+    """A video's chunks by their latest report, and sums over them, so that a report costs one look-up.
+
+    chunks: chunk index -> (time, order, status), kept OPEN_MS after a chunk's last report. sums: done, failed, expected
+    chunks, and the outcome told last. A video that was told is forgotten `told_ms` after its last report, by a timer.
+    """
+
+    def __init__(self, told_ms: int, open_ms: int):
+        self.told_ms, self.open_ms = told_ms, open_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "chunk_index long", "at_us long, turn int, status string", self.open_ms)
+        self.sums = handle.getValueState("sums", "done long, failed long, total long, told string", self.open_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        done, failed, total, told = self.sums.get() if self.sums.exists() else (0, 0, 0, None)
+        for pdf in rows:
+            total = max(total, int(pdf["chunk_count"].max()))
+            turn = pdf["status"].map(_ORDER).fillna(0).astype(int)
+            latest = pdf.assign(turn=turn).sort_values(["at_us", "turn"]).drop_duplicates("chunk_index", keep="last")
+            for chunk, at, turn, status in latest[["chunk_index", "at_us", "turn", "status"]].itertuples(index=False):
+                chunk, new = (int(chunk),), (int(at), int(turn), str(status))
+                old = tuple(self.chunks.getValue(chunk)) if self.chunks.containsKey(chunk) else (-(1 << 62), 0, "")
+                if new[:2] <= old[:2]:
+                    continue
+                self.chunks.updateValue(chunk, new)
+                done += (new[2] == "done") - (old[2] == "done")
+                failed += (new[2] == "failed") - (old[2] == "failed")
+        outcome = ("failed" if failed else "ready") if 0 < total <= done + failed else None
+        tell = outcome is not None and outcome != told
+        told = outcome or told
+        self.sums.update((done, failed, total, told))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if told:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.told_ms)
+        if tell:
+            yield pd.DataFrame({"video_id": [key[0]], "status": [outcome], "failed": [failed], "total": [total]})
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.chunks.clear()
+        self.sums.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def completions(chunks: DataFrame, told_ms: int = TOLD_MS, open_ms: int = OPEN_MS) -> DataFrame:
+    """One row when all chunks of a video are terminal, and another only if second tries turn its outcome.
+
+    chunks: reports (video_id, chunk_index, status, chunk_count, ts) in any order, repeats included. A chunk is as its latest
+    report says, done before failed before others at the same time; no report is too late to count.
     """
-    ended = with_lateness(chunks).filter(F.col("status").isin("done", "failed"))
-    once = ended.dropDuplicatesWithinWatermark(["video_id", "chunk_index"])
-    return once.select("video_id", "status", "chunk_count", "ts").groupBy("video_id").applyInPandasWithState(_complete, FINAL, FINAL_STATE, "append", "EventTimeTimeout")
+    d = chunks.where("video_id IS NOT NULL AND chunk_index IS NOT NULL AND ts IS NOT NULL").withColumn("at_us", F.unix_micros("ts"))
+    d = d.select("video_id", "chunk_index", "status", "chunk_count", "at_us")
+    return d.groupBy("video_id").transformWithStateInPandas(_Completion(told_ms, open_ms), FINAL, "Append", "ProcessingTime")
+
+
+def stream_finalize(chunks: DataFrame, sink: str, checkpoint: str, told_ms: int = TOLD_MS, open_ms: int = OPEN_MS) -> StreamingQuery:
+    """Tell the outcome of every video once: `completions` written where (video_id, status) is absent, so that a replay after
+    the state has expired, or from a new checkpoint, adds nothing."""
+    spark = chunks.sparkSession
+
+    def write(batch: DataFrame, _: int) -> None:
+        insert_if_absent(batch, sink, ["video_id", "status"], [F.col("failed"), F.col("total")])
+
+    # with timers of processing time a job over what has arrived would go on with empty batches for ever
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)  # the query takes a copy of the settings when it starts
+    try:
+        return run_available(completions(chunks, told_ms, open_ms), checkpoint, write)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 STALE = "id bigint, outcome string, last_beat_us bigint"
