@@ -11,15 +11,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ExperimentSpec, SearchConfig
 from ..functions import fixed_values as V
 from ..plans import evaluation as ev
+from ..plans import recorded as rec
 from ..plans.learned_router import holdout_split, save_router, train_router, training_rows
 from ..plans.query_planning import decompose
 from ..plans.routing import get_router
 from ..session import cut_lineage, shared_dir
 from . import bindings as B
-from .registry import query
-from .search_queries import DENSE, dense, lexical, lexical_sql, rounded
+from ..plans.search import Corpus
+from .registry import ORACLES, query
+from .search_queries import DENSE, dense, lexical, lexical_sql, rounded, vectors
 
 
 def run_hits(spark: SparkSession, sf: str, lane: str, k: int = 10) -> DataFrame:
@@ -291,3 +294,114 @@ def router_train_scores(spark: SparkSession, sf: str) -> DataFrame:
     routed = get_router("learned:v1", folder=folder).route(plans, V.LANE_WEIGHTS)
     w = lambda lane: F.round(F.try_element_at("weights", F.lit(lane)), 4)
     return routed.select("query_id", w("text").alias("w_text"), w("lexical").alias("w_lexical"), w("visual").alias("w_visual"))
+
+
+# --- a recorded experiment ----------------------------------------------------------------------
+
+NAMES = {m: m.replace("@0.5", "_50").replace("@0.75", "_75").replace("@0.7", "_70").replace("@", "") for m in ev.METRICS}
+
+
+def _dataset(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries, clips, videos, truth): sources are clips and videos, one in ten of which has failed; a benchmark item belongs
+    to the source of the first document that holds it, and one in five is for training."""
+    truth = cut_lineage(B.truth(spark, sf))
+    owner = truth.groupBy("query_id").agg(F.min_by("video", "segment_id").alias("dataset_video_id"))
+    split = F.when(F.col("query_id") % 5 == 4, "train").otherwise("test").alias("split")
+    items = B.plain_queries(spark, sf).join(owner, "query_id")
+    queries = _with_modality(items.select("query_id", F.col("query_id").cast("string").alias("external_id"), F.lit("items").alias("dataset"), split, "dataset_video_id", "text", "query_vector"))
+    sources = B.table(spark, sf, "documents").select(F.col("source").alias("video_id")).distinct()
+    clips = sources.select(F.lit("items").alias("dataset"), F.col("video_id").alias("dataset_video_id"), F.col("video_id").alias("external_id"), "video_id")
+    number = F.regexp_extract("video_id", "([0-9]+)$", 1).cast("int")
+    videos = sources.select("video_id", F.when(number % 10 == 7, "failed").otherwise("ready").alias("status"))
+    return queries, clips, videos, truth
+
+
+def stored_run(spark: SparkSession, sf: str) -> tuple[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]:
+    """Run the hybrid search over the evaluable test queries; where its records are, and the tables they belong to."""
+    data = queries, clips, videos, truth = _dataset(spark, sf)
+    spec = ExperimentSpec("hybrid", "items", scope="corpus", search={"lanes": {lane: 0.0 for lane in V.LANES} | {"text": 1.0, "lexical": 0.8}, "router": "fixed"})
+    asked = cut_lineage(ev.load_queries(queries, clips, videos, spec))
+    corpus = Corpus(B.segments(spark, sf), vectors=vectors(spark, sf).withColumnRenamed("embedding", "text_embedding"))
+    sink = f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    ev.run_experiment(spec, asked, truth.join(asked.select("query_id"), "query_id", "left_semi"), corpus, base=SearchConfig(), sink=sink, vectors={"text": "query_vector"})
+    return sink, data
+
+
+_EVALUABLE = """own AS (SELECT query_id, arg_min(video, segment_id) AS video_id FROM truth GROUP BY query_id),
+ev AS (SELECT query_id FROM own WHERE query_id % 5 <> 4 AND CAST(regexp_extract(video_id, '([0-9]+)$', 1) AS INT) % 10 <> 7)"""
+_RUN = f"""{B.SPANS}, {B.TRUTH}, {_EVALUABLE},
+hits AS (SELECT query_id, 'run' AS lane, CAST(rank AS INT) AS rank, segment_id, video_id AS video, start_s, end_s, score FROM ({ORACLES['search_hybrid']}) WHERE query_id IN (SELECT query_id FROM ev)),
+tl AS (SELECT query_id, list({{'v': video, 's': start_s, 'e': end_s}} ORDER BY start_s, end_s, video) AS t, count(*) AS n FROM truth WHERE query_id IN (SELECT query_id FROM ev) GROUP BY query_id),
+seeds AS (SELECT query_id, 'run' AS lane, n, t FROM tl)"""
+
+
+def _within(k: int, level: float) -> str:
+    return f"(SELECT coalesce(max(CASE WHEN rank <= {k} AND v >= {level} THEN 1.0e0 END), 0) FROM best b WHERE b.query_id = i.query_id)"
+
+
+def _precision(level: float) -> str:
+    return f"(SELECT max(CASE WHEN thr = {level} THEN total END) / i.n_relevant FROM aps a WHERE a.query_id = i.query_id)"
+
+
+_SCORES = {
+    "mrr": "mrr", "ndcg10": "ndcg10", "recall1": "recall1", "recall5": "recall5", "recall10": "recall10",
+    "hit1": "CASE WHEN first_rank <= 1 THEN 1.0e0 ELSE 0 END", "hit5": "CASE WHEN first_rank <= 5 THEN 1.0e0 ELSE 0 END", "hit10": "CASE WHEN first_rank <= 10 THEN 1.0e0 ELSE 0 END",
+    "r1_50": _within(1, 0.5), "r1_70": _within(1, 0.7), "r5_50": _within(5, 0.5), "r5_70": _within(5, 0.7),
+    "map_50": _precision(0.5), "map_75": _precision(0.75), "map": "(SELECT avg(total) / i.n_relevant FROM aps a WHERE a.query_id = i.query_id)",
+}
+_ALL = f"""{_REL}, {_IR}, {_AP}, scores AS (SELECT query_id, n_relevant, CAST(first_rank AS BIGINT) AS first_rank, {', '.join(f'{sql} AS {name}' for name, sql in _SCORES.items())} FROM ir i)"""
+
+
+@query(f"WITH RECURSIVE {_RUN}, {_ALL} SELECT query_id, n_relevant, first_rank, {', '.join(f'round({m}, 6) AS {m}' for m in _SCORES)} FROM scores")
+def experiment_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All fifteen metrics of every query, read back from the records of a run."""
+    sink, (queries, clips, videos, _) = stored_run(spark, sf)
+    rows = rec.evaluated(rec.stored(spark, sink, "hybrid", "long"), queries, clips, videos)
+    d = rec.metric_columns(rows).select("query_id", *[F.col(c).cast("long").alias(c) for c in ("n_relevant", "first_rank")], *[F.col(f"`{m}`").alias(n) for m, n in NAMES.items()])
+    return rounded(d, *NAMES.values())
+
+
+@query(f"""WITH RECURSIVE {_RUN}, {_ALL}, grp AS (SELECT *, CASE query_id % 3 WHEN 0 THEN 'speech' WHEN 1 THEN 'ocr' ELSE 'visual' END AS modality FROM scores)
+  SELECT 'done' AS status, CASE WHEN grouping(modality) = 1 THEN 'overall' ELSE 'modality=' || modality END AS scope, {', '.join(f'round(avg({m}), 4) AS {m}' for m in _SCORES)}, count(*) AS n,
+    CASE WHEN grouping(modality) = 1 THEN count(*) END AS told, CASE WHEN grouping(modality) = 1 THEN round(avg(mrr), 4) END AS told_mrr
+  FROM grp GROUP BY GROUPING SETS ((), (modality))""")
+def experiment_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored run's report: means overall and by modality, beside what the ledger says of it."""
+    sink, (queries, clips, videos, _) = stored_run(spark, sf)
+    rows = rec.evaluated(rec.stored(spark, sink, "hybrid", "long"), queries, clips, videos)
+    d = ev.aggregate(rec.metric_columns(rows).join(queries.select("query_id", "modality"), "query_id"), "modality")
+    run = rec.ledger(spark, sink).where("experiment = 'hybrid'")
+    told = run.select("status", F.lit("overall").alias("scope"), F.col("n_queries").alias("told"), F.get_json_object("overall", "$.mrr").cast("double").alias("told_mrr"))
+    d = d.select("scope", *[F.col(f"`{m}`").alias(n) for m, n in NAMES.items()], "n").join(told.drop("status"), "scope", "left")
+    return d.join(F.broadcast(run.select("status")), F.lit(True))  # one row
+
+
+_LANE_RUN = f"""{DENSE}, {lexical_sql()}, {B.SPANS}, {B.TRUTH}, {_EVALUABLE},
+lanes AS (SELECT query_id, 'text' AS lane, segment_id, rank FROM dense WHERE rank <= 10 UNION ALL SELECT query_id, 'lexical', segment_id, rank FROM lexical WHERE rank <= 10),
+hits AS (SELECT l.query_id, l.lane, CAST(l.rank AS INT) AS rank, l.segment_id, s.video_id AS video, s.start_s, s.end_s FROM lanes l JOIN spans s USING (segment_id)),
+tl AS (SELECT query_id, list({{'v': video, 's': start_s, 'e': end_s}} ORDER BY start_s, end_s, video) AS t, count(*) AS n FROM truth WHERE query_id IN (SELECT query_id FROM ev) GROUP BY query_id),
+seeds AS (SELECT query_id, lane, n, t FROM tl JOIN (SELECT DISTINCT query_id, lane FROM hits) USING (query_id))"""
+
+
+@query(f"""WITH RECURSIVE {_LANE_RUN}, {_REL}, f AS (SELECT s.query_id, s.lane, min(CASE WHEN rel = 1 THEN rank END) AS first_rank FROM seeds s LEFT JOIN rels r ON r.query_id = s.query_id AND r.lane = s.lane GROUP BY ALL)
+  SELECT query_id, lane, CAST(first_rank AS BIGINT) AS first_rank, CASE WHEN first_rank IS NULL THEN 0.0e0 ELSE 1.0e0 END AS hit10,
+    first_rank IS NOT NULL AND count(first_rank) OVER (PARTITION BY query_id) = 1 AS is_unique, count(first_rank) OVER (PARTITION BY query_id) > 0 AS ceiling FROM f""")
+def stored_lanes(spark: SparkSession, sf: str) -> DataFrame:
+    """How each lane did, taken out of the stored run."""
+    sink, (queries, clips, videos, _) = stored_run(spark, sf)
+    rows = rec.evaluated(rec.stored(spark, sink, "hybrid", "long"), queries, clips, videos)
+    return rec.explode_lanes(rows).select("query_id", "lane", F.col("first_rank").cast("long").alias("first_rank"), "hit10", "is_unique", "ceiling")
+
+
+@query(f"""WITH RECURSIVE {_RUN}, {_SHIFTED.replace('FROM truth', 'FROM truth WHERE query_id IN (SELECT query_id FROM ev)')}, {_BESTPOS},
+ bad AS (SELECT a.query_id, a.rank, max({_IOU_ROW}) AS v FROM hits a JOIN moved b ON a.query_id = b.query_id GROUP BY ALL),
+ neg AS (SELECT * FROM (SELECT l.query_id, l.segment_id, l.rank, l.score, positive_id, row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank) AS nth
+    FROM hits l JOIN bp USING (query_id) LEFT JOIN bad USING (query_id, rank) WHERE l.segment_id <> positive_id AND coalesce(v, 0) <= 0.1) WHERE nth <= 5)
+ SELECT query_id, segment_id, CAST(rank AS BIGINT) AS rank, round(score, 4) AS score, positive_id, nth FROM neg""")
+def stored_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives mined from the stored run; labels are moved by four seconds, as in `hard_negatives`."""
+    sink, (queries, clips, videos, truth) = stored_run(spark, sf)
+    rows = rec.evaluated(rec.stored(spark, sink, "hybrid", "long"), queries, clips, videos)
+    moved = truth.withColumn("start_s", F.col("start_s") + 4).withColumn("end_s", F.col("end_s") + 4)
+    d = rec.mine_stored(rows, moved, B.spans_only(spark, sf), ids="long")
+    return rounded(d.select("query_id", "segment_id", F.col("rank").cast("long").alias("rank"), "score", "positive_id", F.col("nth").cast("long").alias("nth")), "score", digits=4)

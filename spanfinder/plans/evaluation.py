@@ -273,19 +273,19 @@ def run_experiment(
     """One batch search over all queries of a split, scored, attributed and aggregated.
 
     queries: loaded queries (query_id, text, modality, video_id, video_key). With `sink` the run, its
-    results and its hits are written under the experiment's name; a failed run is recorded as failed.
+    results, hits and records are written under the experiment's name; a failed run is recorded as failed.
     """
     from ..sources.sinks import replace_partitions
+    from .recorded import LEDGER, records
     from .search import search
 
     spark = queries.sparkSession
     cfg = (base or SearchConfig()).with_overrides(spec.search)
 
-    def record(status: str) -> None:
+    def record(status: str, n_queries: int | None = None, overall: str | None = None) -> None:
         if sink:
-            row = [(spec.name, status, spec.to_json(), cfg.to_json())]
-            runs = spark.createDataFrame(row, "experiment string, status string, spec string, config string")
-            replace_partitions(runs.withColumn("at", F.current_timestamp()), f"{sink}/experiments", ["experiment"])
+            row = [(spec.name, status, spec.to_json(), cfg.to_json(), n_queries, overall, None)]
+            replace_partitions(spark.createDataFrame(row, LEDGER).withColumn("at", F.current_timestamp()), f"{sink}/experiments", ["experiment"])
 
     record("running")
     try:
@@ -303,6 +303,7 @@ def run_experiment(
         if sink:
             replace_partitions(results, f"{sink}/results", ["experiment"])
             replace_partitions(hits, f"{sink}/hits", ["experiment"])
+            replace_partitions(records(results, hits), f"{sink}/records", ["experiment"])
             results = spark.read.parquet(f"{sink}/results").filter(F.col("experiment") == spec.name)
             hits = spark.read.parquet(f"{sink}/hits").filter(F.col("experiment") == spec.name)
         group = extra[0] if extra else None
@@ -315,7 +316,9 @@ def run_experiment(
     except Exception:
         record("failed")
         raise
-    record("done")
+    whole = out["overall"].where("scope = 'overall'").drop("scope")
+    told = whole.select("n", F.to_json(F.struct(*[F.col(f"`{c}`") for c in whole.columns])).alias("json")).first() if sink else None  # one row
+    record("done", told["n"] if told else 0, told["json"] if told else None)
     return out
 
 
