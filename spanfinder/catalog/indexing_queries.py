@@ -302,8 +302,7 @@ _GRAMS = f"""toks AS (SELECT doc_id, regexp_extract_all(lower(text), {B.sql_text
 
 @query(f"""WITH {_GRAMS} SELECT doc_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, phrase) AS r FROM counted) WHERE r <= 200""")
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    d = B.documents(spark, sf)
-    return kp.ngram_candidates(kp.ngram_counts(d, ["doc_id"], kp.phrase_tokens(F.col("text"))), ["doc_id"]).select("doc_id", "phrase", "n")
+    return kp.document_ngrams(B.documents(spark, sf), "doc_id", "text")
 
 
 @query()

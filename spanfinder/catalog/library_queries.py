@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions import tables as table_functions
 from ..operators.intervals import asof_join, overlap_join as overlapping, point_in_interval
 from ..operators.quantiles import histogram as bucket_counts
 from ..operators.quantiles import histogram_quantile as bucket_quantile
 from ..operators.quantiles import nearest_rank
+from ..operators.ordered import positions
+from ..operators.topk import topk
 from ..plans import library as lib
 from ..plans import operations as ops
 from ..plans.segments import pending_backfill
-from ..sources import sinks
+from ..sources import readers, sinks, versions
 from ..session import shared_dir
 from . import bindings as B
 from .registry import query
@@ -309,7 +312,7 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     e = B.table(spark, sf, "events").select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     for part in (1, 0):
         sinks.upsert(e.filter(F.col("event_id") % 2 == part), path, ["user_id"], "at")
-    return spark.read.parquet(path).select("user_id", "event_type", "event_id")
+    return versions.read(spark, path).select("user_id", "event_type", "event_id")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN event_type = 'click' THEN event_id + 1 ELSE event_id END) AS BIGINT) AS ids FROM events GROUP BY event_type")
@@ -328,7 +331,116 @@ def reset_failed(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.reset_jobs(jobs(spark, sf), v).select("id", "status", "attempts")
 
 
-@query("SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2')")
+@query("""WITH t AS (SELECT 'documents' AS part, doc_id AS id, source AS video_id, 1 AS state FROM documents
+  UNION ALL SELECT 'label=' || coalesce(CAST(label AS VARCHAR), 'none'), vec_id, 'src' || (vec_id % 20), CASE WHEN label IN (SELECT label FROM embeddings WHERE vec_id % 20 IN (1, 2) AND vec_id % 3 = 0) THEN 2 ELSE 1 END FROM embeddings WHERE vec_id % 3 = 0)
+  SELECT part, id, CASE WHEN part = 'documents' THEN 2 ELSE state END AS written_by FROM t WHERE video_id NOT IN ('src1', 'src2')""")
 def purge_videos(spark: SparkSession, sf: str) -> DataFrame:
-    d = B.table(spark, sf, "documents").select("doc_id", F.col("source").alias("video_id"))
-    return sinks.without_videos(d, d.filter(F.col("video_id").isin("src1", "src2"))).select("doc_id")
+    """Two videos are purged from two tables of a library, one partitioned: the rows that are left, and which commit wrote each."""
+    root = _fresh(spark, "library")
+    docs = B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("video_id"))
+    vectors = B.table(spark, sf, "embeddings").where("vec_id % 3 = 0")
+    vectors = vectors.select(F.col("vec_id").alias("id"), F.concat(F.lit("src"), F.col("vec_id") % 20).alias("video_id"), F.coalesce(F.col("label").cast("string"), F.lit("none")).alias("label"))
+    versions.commit(docs, f"{root}/segments")
+    versions.commit(vectors, f"{root}/embeddings", ["label"])
+    sinks.purge(spark, root, docs.select("video_id").distinct().where(F.col("video_id").isin("src1", "src2")))
+    number = F.regexp_extract("_metadata.file_path", "/v0*([0-9]+)-[^/]*/", 1).cast("int").alias("written_by")
+    out = None
+    for name, part in (("segments", F.lit("documents")), ("embeddings", F.concat(F.lit("label="), F.regexp_extract("_metadata.file_path", "label=([^/]+)/", 1)))):
+        at = versions.state(spark, f"{root}/{name}")
+        for folder, version in at.parts.items():
+            rows = spark.read.parquet(f"{root}/{name}/{version}/{folder}").select(part.alias("part"), "id", number)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# --- sources: files derived from the tables, written and read back -----------------------------
+
+
+@query("""SELECT item_id, 'clip_' || (item_id % 7) AS source_id, item_id % 7 * 10.0::DOUBLE AS clip_start_s, item_id % 7 * 10.0::DOUBLE + 150 AS clip_end_s, 150.0::DOUBLE AS duration_s, text,
+    round(item_id % 5 * 2.0::DOUBLE, 1) AS start_s, round(item_id % 5 * 2.0::DOUBLE + 4, 1) AS end_s FROM benchmark WHERE item_id % 7 <> 3""")
+def import_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as a JSONL annotation file: imported by the adapter twice, all clips but one from an id list."""
+    root, lib = _fresh(spark, "annotations"), _fresh(spark, "imported")
+    n = F.col("item_id") % 7
+    vid = F.concat(F.lit("clip_"), n, F.lit("_"), (n * 10.0).cast("string"), F.lit("_"), (n * 10.0 + 150).cast("string"))
+    at = F.col("item_id") % 5 * 2.0
+    windows = F.array(F.array(at, at + 4))
+    sinks.export_jsonl(B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), vid.alias("vid"), windows.alias("relevant_windows")), f"{root}/val.jsonl")
+    ids = B.table(spark, sf, "benchmark").where(n != 3).select(vid.alias("value")).distinct()
+    ids.unionByName(spark.createDataFrame([("",), ("  ",)], "value string")).write.text(f"{root}/ids")
+    for _ in range(2):
+        readers.import_split(spark, "jsonl", root, "val", lib, ids=readers.read_ids(spark, f"{root}/ids"))
+    videos, queries = spark.read.parquet(f"{lib}/dataset_videos"), spark.read.parquet(f"{lib}/dataset_queries")
+    d = queries.select(F.col("external_id").cast("long").alias("item_id"), "text", F.inline("relevant"), F.col("video_external_id").alias("vid"))
+    return d.join(videos.withColumnRenamed("external_id", "vid"), "vid").select("item_id", "source_id", "clip_start_s", "clip_end_s", "duration_s", "text", "start_s", "end_s")
+
+
+@query("SELECT item_id, 'video ' || (item_id // 10) AS title, text, item_id % 10 * 1.0::DOUBLE AS start_s, item_id % 10 + 2.0::DOUBLE AS end_s FROM benchmark")
+def dataset_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested dataset documents of ten items each, a file each, read as clips and queries; windows of other clips do not count."""
+    path = _fresh(spark, "documents")
+    items = B.table(spark, sf, "benchmark").withColumn("d", F.floor(F.col("item_id") / 10))
+    key, at = F.concat(F.lit("v"), F.col("d")), (F.col("item_id") % 10).cast("double")
+    span = lambda k, a: F.struct(k.alias("video"), a.alias("start_s"), (a + 2).alias("end_s"))
+    asked = F.struct(F.col("item_id").cast("string").alias("id"), "text", F.lit("speech").alias("modality"), F.array(span(key, at), span(F.lit("other"), at)).alias("relevant"))
+    docs = items.groupBy("d").agg(F.array(F.struct(F.first(key).alias("key"), F.concat(F.lit("video "), F.first("d")).alias("title"))).alias("videos"), F.collect_list(asked).alias("queries"))
+    docs.write.partitionBy("d").json(path)
+    videos, queries = readers.read_dataset_doc(spark, f"{path}/d=*")
+    d = queries.join(videos.withColumnRenamed("external_id", "video_external_id"), "video_external_id")
+    return d.select(F.col("external_id").cast("long").alias("item_id"), "title", "text", F.inline("relevant"))
+
+
+@query("SELECT event_type AS name, value, CAST(user_id AS VARCHAR) AS source, epoch_us(ts) AS us FROM events")
+def library_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Timing samples appended in two steps, read with the library's types; tables that are not there are empty."""
+    root = _fresh(spark, "library")
+    e = B.table(spark, sf, "events").select(F.col("event_type").alias("name"), "value", F.col("user_id").cast("string").alias("source"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    for part in (0, 1):
+        sinks.append_samples(e.where(F.col("event_id") % 2 == part), f"{root}/metric_samples")
+    library = readers.Library(spark, root)
+    return library["metric_samples"].select("name", "value", "source", F.unix_micros("ts").alias("us")).join(library["videos"].select(F.col("video_id").alias("source")), "source", "left_anti")
+
+
+@query("""WITH d AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+  SELECT 'ask ' || source AS query, max(CASE WHEN n = 1 THEN text END) AS positive, list_sort(list(text) FILTER (n BETWEEN 2 AND 5)) AS negatives FROM d GROUP BY source""")
+def export_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Training pairs exported as JSONL, a record a query, and read back: a source's first document against its next four."""
+    path = _fresh(spark, "passages")
+    d = B.table(spark, sf, "documents").select("doc_id", "source", "text")
+    first = topk(d, ["source"], [F.col("doc_id").asc()], 5, "n")
+    pairs = first.select(F.col("source").alias("query_id"), F.concat(F.lit("ask "), "source").alias("query"), F.col("text").alias("passage"), F.when(F.col("n") == 1, 1.0).otherwise(0.0).alias("label"))
+    sinks.export_jsonl(sinks.passages_records(pairs), path)
+    return spark.read.schema("query string, positive string, negatives array<string>").json(path)
+
+
+# --- table functions from SQL -------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT source AS video_id, sum(n_chars)::DOUBLE / 100 AS d FROM documents GROUP BY source),
+  n AS (SELECT *, greatest(1, CAST(floor(d / 60) AS BIGINT)) AS whole FROM v WHERE d > 0), m AS (SELECT *, whole + CASE WHEN d - whole * 60 >= 15 THEN 1 ELSE 0 END AS n FROM n)
+  SELECT video_id, i AS chunk_index, i * 60.0::DOUBLE AS start_s, CASE WHEN i = n - 1 THEN round(d, 3) ELSE (i + 1) * 60.0::DOUBLE END AS end_s FROM m, LATERAL (SELECT unnest(range(n)) AS i)""")
+def sql_plan_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks planned in SQL, a lateral call for every video."""
+    table_functions.register(spark)
+    B.table(spark, sf, "documents").groupBy("source").agg((F.sum("n_chars") / 100.0).alias("duration_s")).createOrReplaceTempView("_videos")
+    return spark.sql("SELECT v.source AS video_id, c.chunk_index, c.start_s, c.end_s FROM _videos v, LATERAL plan_chunks(v.duration_s) c")
+
+
+@query("""WITH o AS (SELECT o_custkey AS video_id, o_orderkey AS chunk_index, CAST(o_orderkey % 50 AS DOUBLE) AS a, CAST(o_orderkey % 50 + 5 + o_orderkey % 40 AS DOUBLE) AS b FROM orders),
+  w AS (SELECT *, greatest(1, CAST(ceil(b - a) AS BIGINT)) AS n FROM o), k AS (SELECT *, unnest(range(greatest(0, CAST(ceil((n - 8) / 4.0) AS BIGINT)) + 1)) AS k FROM w)
+  SELECT video_id, chunk_index, k AS window_index, a + k * 4 AS start_s, least(a + k * 4 + 8, a + n) AS end_s, row_number() OVER (PARTITION BY video_id ORDER BY chunk_index, k) - 1 AS in_video FROM k""")
+def sql_sample_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows planned in SQL over a table partitioned by video: orders stand for chunks, customers for videos."""
+    table_functions.register(spark)
+    length = F.lit(5) + F.col("o_orderkey") % 40
+    at = (F.col("o_orderkey") % 50).cast("double")
+    B.table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("video_id"), F.col("o_orderkey").cast("long").alias("chunk_index"), at.alias("start_s"), (at + length).alias("end_s")).createOrReplaceTempView("_chunks")
+    return spark.sql("SELECT * FROM sample_windows(TABLE(SELECT * FROM _chunks) PARTITION BY video_id ORDER BY chunk_index)")
+
+
+@query("SELECT source AS video_id, doc_id AS label_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents")
+def number_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Running number of every label of a video, a block of labels at a time, so that no video is gathered."""
+    d = B.table(spark, sf, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("label_id"))
+    placed = positions(d, ["video_id"], ["label_id"], F.floor(F.col("label_id") / B.DOC_BLOCK))
+    return placed.select("video_id", "label_id", (F.col("pos") + 1).alias("number"))

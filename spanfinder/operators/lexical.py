@@ -5,17 +5,24 @@ rank = 0.1 x matching positions (an exact phrase counts once per adjacent match)
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed_values import TERM
-from ..functions.text import stem, term_tokens
-from .sizing import BROADCAST_ROWS, lookup_join
+from ..functions.text import SUFFIXES, stem, term_tokens
+from .sizing import BROADCAST_ROWS, at_most, lookup_join
 from .topk import best_first, topk
 
 POSITION_WEIGHT = 0.1
+COUNTS_HELD = 1 << 21  # counts of (text, query) that a task holds at once
+_TERM = re.compile(TERM)
 
 
 def query_items(plans: DataFrame, normalise: Callable[[Column], Column]) -> DataFrame:
@@ -65,7 +72,114 @@ def lexical_hits(items: DataFrame, texts: DataFrame, text: str, normalise: Calla
     return counted.select("query_id", "segment_id", (rank / (rank + 1)).alias("score"))
 
 
-def lexical_lane(plans: DataFrame, segments: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """Stemmed OR query of terms and phrases; a query without either yields nothing."""
-    hits = lexical_hits(query_items(plans, stem), segments, text, stem)
+class _Vocabulary:
+    """Tokens of a table of queries: which queries a token belongs to, and the phrases that start with it."""
+
+    def __init__(self, rows: list, suffixes: Sequence[str], allowed: dict | None):
+        self.ids = sorted({r["query_id"] for r in rows})
+        place = {q: i for i, q in enumerate(self.ids)}
+        single: dict[str, set[int]] = {}
+        wide: dict[tuple[int, int], list[str]] = {}
+        for r in sorted(rows, key=lambda r: r["at"]):
+            if r["width"] == 1:
+                single.setdefault(r["token"], set()).add(place[r["query_id"]])
+            else:
+                wide.setdefault((place[r["query_id"]], r["item"]), []).append(r["token"])
+        self.single = {t: np.array(sorted(q)) for t, q in single.items()}
+        self.phrases: dict[str, list[tuple[int, list[str]]]] = {}
+        for (q, _), tokens in sorted(wide.items()):
+            self.phrases.setdefault(tokens[0], []).append((q, tokens))
+        self.suffixes = suffixes
+        self.allowed = None if allowed is None else {v: np.array(sorted(place[q] for q in qs if q in place)) for v, qs in allowed.items()}
+        self.known: dict[str, str] = {}
+
+    def plain(self, raw: str) -> str:
+        found = self.known.get(raw)
+        if found is None:
+            found = raw.rstrip(".'-")
+            for s in self.suffixes:
+                if found.endswith(s) and len(found) >= len(s) + 3:
+                    found = found[: -len(s)]
+                    break
+            if len(self.known) < 1 << 20:
+                self.known[raw] = found
+        return found
+
+    def counts(self, text: str) -> np.ndarray:
+        """Matching positions of every query in a lower-cased text."""
+        n = np.zeros(len(self.ids), np.int64)
+        tokens = [self.plain(t) for t in _TERM.findall(text)]
+        for t, m in Counter(tokens).items():
+            if t in self.single:
+                n[self.single[t]] += m
+        if self.phrases:
+            for i, t in enumerate(tokens):
+                for q, wanted in self.phrases.get(t, ()):
+                    n[q] += tokens[i : i + len(wanted)] == wanted
+        return n
+
+
+def lexical_topk(items: DataFrame, texts: DataFrame, text: str, k: int, suffixes: Sequence[str], scope: DataFrame | None = None) -> DataFrame | None:
+    """Best k (query_id, segment_id, score) per query, or None if the queries or their scopes are too many to hold.
+
+    Every text is counted where it is read, and a task sends its k best per query; no pair is shuffled before that. With `scope`
+    (query_id, video_id) a text, which then has a video_id, is matched with the queries that may see it only.
+    """
+    if not at_most(items, BROADCAST_ROWS) or scope is not None and not at_most(scope, BROADCAST_ROWS):
+        return None
+    allowed = None
+    if scope is not None:
+        allowed = {}
+        for r in scope.select("query_id", "video_id").distinct().collect():
+            allowed.setdefault(r["video_id"], set()).add(r["query_id"])
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(_Vocabulary(items.collect(), suffixes, allowed))
+    rows = texts.select("segment_id", *(["video_id"] if scope is not None else []), F.lower(F.col(text)).alias("_text")).filter(F.length("_text") > 0)
+    out = T.StructType([items.schema["query_id"], rows.schema["segment_id"], T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = shared.value
+        held: list[pd.DataFrame] = []
+        size = 0
+
+        def best() -> pd.DataFrame:
+            every = pd.concat(held).sort_values(["q", "n", "segment_id"], ascending=[True, False, True])
+            return every[every.groupby("q").cumcount() < k]
+
+        step = max(k + 1, COUNTS_HELD // max(1, len(words.ids)))
+        for batch in (b.iloc[at : at + step] for b in batches for at in range(0, len(b), step)):
+            counts = np.array([words.counts(t) for t in batch["_text"]]).reshape(len(batch), len(words.ids))
+            if words.allowed is not None:
+                seen = np.zeros(counts.shape, bool)
+                for i, v in enumerate(batch["video_id"]):
+                    seen[i, words.allowed.get(v, ())] = True
+                counts[~seen] = 0
+            if len(batch) > k:  # below the k-th of this batch
+                floor = np.partition(counts, len(batch) - k, axis=0)[len(batch) - k]
+                counts[counts < floor] = 0
+            d, q = np.nonzero(counts)
+            held.append(pd.DataFrame({"q": q, "segment_id": batch["segment_id"].to_numpy()[d], "n": counts[d, q]}))
+            size += len(d)
+            if size > max(200_000, 4 * k * len(words.ids)):
+                held = [best()]
+                size = len(held[0])
+        if size:
+            found = best()
+            yield pd.DataFrame({"query_id": [words.ids[i] for i in found["q"]], "segment_id": found["segment_id"], "n": found["n"]})
+
+    rank = F.col("n") * POSITION_WEIGHT
+    found = rows.mapInPandas(run, out).select("query_id", "segment_id", (rank / (rank + 1)).alias("score"))
+    return topk(found, ["query_id"], best_first(), k)
+
+
+def lexical_lane(plans: DataFrame, segments: DataFrame, k: int, text: str = "text", scope: DataFrame | None = None) -> DataFrame:
+    """Stemmed OR query of terms and phrases; a query without either yields nothing. `scope` holds (query_id, video_id)."""
+    items = query_items(plans, stem)
+    found = lexical_topk(items, segments, text, k, SUFFIXES, scope)
+    if found is not None:
+        return found
+    hits = lexical_hits(items, segments, text, stem)
+    if scope is not None:
+        hits = hits.join(segments.select("segment_id", "video_id"), "segment_id")
+        hits = hits.join(scope.select("query_id", "video_id").distinct(), ["query_id", "video_id"], "left_semi").drop("video_id")
     return topk(hits, ["query_id"], best_first(), k)

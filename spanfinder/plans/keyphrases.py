@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..operators.encoders import Encoder, HashingEncoder
@@ -13,6 +19,7 @@ from ..operators.pooling import mean_pool
 from ..operators.topk import topk
 
 MAX_CANDIDATES = 200
+_TOKEN = re.compile(V.PHRASE_TOKEN)
 
 
 def phrase_tokens(text: Column) -> Column:
@@ -50,6 +57,34 @@ def ngram_candidates(counts: DataFrame, key: list[str], most: int = MAX_CANDIDAT
     return topk(counts, key, [F.col("n").desc(), F.length("phrase").desc(), F.col("phrase").asc()], most)
 
 
+def document_ngrams(texts: DataFrame, key: str, text: str, most: int = MAX_CANDIDATES, max_n: int = 3) -> DataFrame:
+    """(key, phrase, n) of `ngram_candidates` where a row is a whole document: counted inside the row, nothing is shuffled."""
+    rows = texts.select(key, F.lower(F.col(text)).alias("_text")).filter("_text IS NOT NULL")
+    out = T.StructType([texts.schema[key], T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
+    stop = frozenset(V.PHRASE_STOP_WORDS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, phrases, counts = [], [], []
+            for i, doc in enumerate(batch["_text"]):
+                tokens = _TOKEN.findall(doc)
+                inner, edge = [len(t) >= 3 for t in tokens], [t not in stop and len(t) >= 3 for t in tokens]
+                found: Counter[str] = Counter(t for t, e in zip(tokens, edge, strict=True) if e and len(t) >= 4)
+                for n in range(2, max_n + 1):
+                    for j in range(len(tokens) - n + 1):
+                        if edge[j] and edge[j + n - 1] and all(inner[j + 1 : j + n - 1]):
+                            gram = tokens[j : j + n]
+                            if len(set(gram)) == n:
+                                found[" ".join(gram)] += 1
+                best = heapq.nsmallest(most, found.items(), key=lambda kv: (-kv[1], -len(kv[0]), kv[0]))
+                at += [i] * len(best)
+                phrases += [p for p, _ in best]
+                counts += [c for _, c in best]
+            yield pd.DataFrame({key: batch[key].to_numpy()[at], "phrase": phrases, "n": counts})
+
+    return rows.mapInPandas(run, out)
+
+
 def _mmr(top_k: int, diversity: float):
     @F.pandas_udf("array<string>")
     def pick(doc: pd.Series, phrases: pd.Series, vectors: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.spans import suppress
-from ..functions.text import highlight, passage, short_key, stem, term_tokens
+from ..functions.text import highlight, passage, short_key, term_tokens
 from ..operators import fusion as fu
 from ..operators.encoders import Encoder, embed, rerank
 from ..operators.fuzzy import fuzzy_hits
@@ -104,9 +104,7 @@ def candidate_lanes(
     if may_run("text") and "text" in vectors:
         lanes.append(fu.as_lane(near("text", vec, "text_embedding", "segment_id", (), k), "text"))
     if may_run("lexical"):
-        asked = lane_on(plans, "lexical")
-        hits = lexical_lane(asked, seg, k) if scope is None else _scoped_lexical(asked, seg, k, scope)
-        lanes.append(fu.as_lane(hits, "lexical"))
+        lanes.append(fu.as_lane(lexical_lane(lane_on(plans, "lexical"), seg, k, scope=scope), "lexical"))
     if may_run("visual") and "visual" in vectors and corpus.frames is not None:
         hits = near("visual", corpus.frames, "visual_embedding", "frame_id", ("segment_id",), 3 * k)
         lanes.append(fu.as_lane(pooled_topk(hits.drop("rank"), k, tie="frame_id"), "visual"))
@@ -126,11 +124,6 @@ def version_filter(windows: DataFrame, kind: str, model: str) -> DataFrame:
     return windows.filter((F.col("kind") == kind) & (F.col("model_key") == short_key(F.lit(model))))
 
 
-def _scoped_lexical(plans: DataFrame, segments: DataFrame, k: int, scope: DataFrame) -> DataFrame:
-    hits = lexical_hits(query_items(plans, stem), segments, "text", stem)
-    return topk(_in_scope(hits, segments, scope), ["query_id"], best_first(), k)
-
-
 def head(fused: DataFrame, n: int) -> DataFrame:
     return topk(fused, ["query_id"], [F.col("fused").desc(), F.col("segment_id").asc()], n, rank="fused_rank")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from . import versions
 from .sinks import table_exists
 
 
@@ -24,6 +25,8 @@ class Library:
         path = f"{self.root}/{name}"
         if not table_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
+        if versions.state(self.spark, path) is not None:
+            return versions.read(self.spark, path)
         return self.spark.read.schema(schema).parquet(path)
 
     __getitem__ = table

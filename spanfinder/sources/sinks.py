@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
@@ -44,23 +46,14 @@ def merged(target: DataFrame | None, df: DataFrame, keys: Sequence[str], recency
     return ranked.drop("_r", "_new")
 
 
-def upsert(df: DataFrame, path: str, keys: Sequence[str], recency: str) -> None:
-    """Merge by key. The result is written beside the target and swapped in, so readers never see half a table."""
-    spark = df.sparkSession
-    target = spark.read.parquet(path) if table_exists(spark, path) else None
-    swap(merged(target, df, keys, recency), path)
-
-
-def swap(df: DataFrame, path: str) -> None:
-    """Replace a table with rows that may have been derived from it."""
+def upsert(df: DataFrame, path: str, keys: Sequence[str], recency: str, by: Sequence[str] = ()) -> None:
+    """Merge by key into a versioned table. Only partitions with a changed or new row are written, and published in one step, so
+    readers see the table before or after the merge."""
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}__next"
-    df.write.mode("overwrite").parquet(fresh)
-    jvm = spark._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    if versions.state(spark, path) is None:
+        versions.commit(merged(None, df, keys, recency), path, by)
+    else:
+        versions.change(spark, path, df, keys, lambda rows: merged(rows, df, keys, recency), fresh=df)
 
 
 def replace_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -77,15 +70,16 @@ def without_videos(table: DataFrame, video_ids: DataFrame) -> DataFrame:
     return table.join(video_ids.select("video_id").distinct(), "video_id", "left_anti")
 
 
-CHILD_TABLES = ("videos", "video_chunks", "utterances", "segments", "frames", "topics", "embeddings", "jobs")
+CHILD_TABLES: tuple[str, ...] = ("videos", "video_chunks", "utterances", "segments", "frames", "topics", "embeddings", "jobs")
 
 
 def purge(spark: SparkSession, root: str, video_ids: DataFrame, tables: Sequence[str] = CHILD_TABLES) -> None:
-    """Remove videos from the library and from all tables that refer to them."""
+    """Remove videos from the library and from all versioned tables that refer to them. Partitions without their rows are not
+    written; a partition that loses all rows leaves the table."""
     for name in tables:
         path = f"{root}/{name}"
-        if table_exists(spark, path):
-            swap(without_videos(spark.read.parquet(path), video_ids), path)
+        if versions.state(spark, path) is not None:
+            versions.change(spark, path, video_ids, ["video_id"], lambda rows: without_videos(rows, video_ids))
 
 
 def reset_jobs(jobs: DataFrame, video_ids: DataFrame) -> DataFrame:

@@ -69,3 +69,20 @@ def test_a_batch_equals_single_queries(spark):
     for i in range(6):
         single |= {(r["query_id"], r["rank"], r["segment_id"]) for r in lexical_lane(q.filter(F.col("query_id") == i), d.coalesce(1), 5).collect()}
     assert batch == single
+
+
+def test_counting_inside_the_row_equals_the_join(spark, monkeypatch):
+    from spanfinder.operators import lexical as lx
+
+    rng = random.Random(9)
+    vocabulary = [a + b for a in ("walk", "run", "cit", "map", "xy") for b in ("", "s", "ing", "ies", "edly", ".", "'s", "+")]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["ÄÖ walk İ", None, ""]
+    d = spark.createDataFrame([(i, f"v{i % 4}", t) for i, t in enumerate(texts)], "segment_id bigint, video_id string, text string").repartition(3)
+    pick = lambda n: [rng.choice(vocabulary).lower() for _ in range(n)]
+    q = spark.createDataFrame([(i, pick(3), [" ".join(pick(2)), " ".join(pick(3))]) for i in range(12)] + [(50, [], [])], "query_id bigint, terms array<string>, phrases array<string>")
+    scope = spark.createDataFrame([(i, f"v{(i + j) % 4}") for i in range(10) for j in range(2)], "query_id bigint, video_id string")
+    for limit in (None, scope):
+        monkeypatch.setattr(lx, "BROADCAST_ROWS", 200_000)
+        inside = sorted(map(tuple, lexical_lane(q, d, 7, scope=limit).collect()))
+        monkeypatch.setattr(lx, "BROADCAST_ROWS", 1)
+        assert inside and inside == sorted(map(tuple, lexical_lane(q, d, 7, scope=limit).collect()))

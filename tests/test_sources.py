@@ -4,11 +4,13 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from spanfinder.catalog import QUERIES, streaming_queries
 from spanfinder.sources import readers as R
 from spanfinder.sources import sinks as S
+from spanfinder.sources import versions as VS
 from spanfinder.streaming import jobs
 
 ROWS = [
@@ -67,11 +69,35 @@ def test_replace_writes_rows_exactly_once(spark, place):
     assert sorted(r["x"] for r in spark.read.parquet(f"{place}/t").collect()) == [1, 2, 30]
 
 
-def test_purge(spark, place):
-    for name in ("segments", "topics"):
-        spark.createDataFrame([("a", 1), ("b", 2)], "video_id string, x int").write.parquet(f"{place}/{name}")
-    S.purge(spark, place, spark.createDataFrame([("a",)], "video_id string"))
-    assert [r["video_id"] for r in spark.read.parquet(f"{place}/segments").collect()] == ["b"]
+def test_purge_writes_touched_partitions_only_and_readers_see_whole_states(spark, place):
+    rows = [("a", 1, "x"), ("b", 2, "x"), ("b", 3, "y z/=%"), ("a", 4, "w"), ("b", 5, None)]
+    df = spark.createDataFrame(rows, "video_id string, n int, kind string")
+    VS.commit(df, f"{place}/embeddings", ["kind"])
+    VS.commit(df, f"{place}/segments")
+    df.write.parquet(f"{place}/topics")  # not versioned: left alone
+    before = VS.state(spark, f"{place}/embeddings")
+    reader = VS.read(spark, f"{place}/embeddings")
+    S.purge(spark, place, spark.createDataFrame([("a",), ("gone",)], "video_id string"))
+    after = VS.state(spark, f"{place}/embeddings")
+    ns = lambda d: sorted(r["n"] for r in d.collect())
+    assert ns(VS.read(spark, f"{place}/embeddings")) == ns(VS.read(spark, f"{place}/segments")) == [2, 3, 5]
+    assert ns(reader) == ns(VS.read(spark, f"{place}/embeddings", before)) == [1, 2, 3, 4, 5]
+    assert {p: v for p, v in after.parts.items() if p in before.parts and v == before.parts[p]}.keys() == before.parts.keys() - {"kind=x", "kind=w"}
+    assert "kind=w" not in after.parts and after.number == 2
+    with pytest.raises(RuntimeError):  # made from a state that is not the last one
+        VS.commit(df, f"{place}/embeddings", ["kind"], [], before)
+    VS.vacuum(spark, f"{place}/embeddings")
+    assert ns(VS.read(spark, f"{place}/embeddings")) == [2, 3, 5]
+    assert R.Library(spark, place).table("segments").count() == 3
+
+
+def test_upsert_by_partition(spark, place):
+    path = f"{place}/t"
+    put = lambda rows: S.upsert(spark.createDataFrame(rows, "k string, part string, at int"), path, ["k"], "at", ["part"])
+    put([("a", "p", 1), ("b", "q", 1), ("c", "r", 1)])
+    put([("a", "q", 2), ("d", "s", 1), ("b", "q", 0)])  # a moves, d is new, b is older
+    assert sorted(map(tuple, VS.read(spark, path).select("k", "part", "at").collect())) == [("a", "q", 2), ("b", "q", 1), ("c", "r", 1), ("d", "s", 1)]
+    assert VS.state(spark, path).parts["part=r"].startswith("v000001-") and "part=p" not in VS.state(spark, path).parts
 
 
 def test_stream_index_equals_batch(spark):
