@@ -133,7 +133,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
-    words = docs.select("text").mapInArrow(_common, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()  # a dictionary of fixed size
+    counts = keep(docs.select("text").mapInArrow(_common, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "secret-words")
+    # the count that DICTIONARY words reach tells which rows may be among the first ones, so that few are sent to be ordered
+    upto, bar = 0, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).limit(DICTIONARY).collect():
+        upto, bar = upto + r["count"], r["n"]
+        if upto >= DICTIONARY:
+            break
+    words = counts.where(F.col("n") >= bar).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()  # a dictionary of fixed size
     common = spark.sparkContext.broadcast({bytes(r["word"]) for r in words})
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(_scan(common), f"doc_id {kind}, key long, start long, end long, by_name boolean, value string, before string, " + ", ".join(f"{f} double" for f in FEATURES))
