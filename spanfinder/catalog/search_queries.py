@@ -276,12 +276,34 @@ def lane_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(lexical_lane(q, docs, 50), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+_SIMILAR = f"""asked AS (SELECT query_id, lower(ocr_q) AS q, {B.sql_terms('speech_q')} AS t, regexp_extract_all(text, {B.sql_text(V.QUOTED)}, 1) AS p, ocr_q FROM plans WHERE length(trim(ocr_q)) > 0),
+  item AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(list_concat(list_transform(CASE WHEN len(t) = 0 AND len(p) = 0 THEN {B.sql_tokens('ocr_q')} ELSE t END, lambda x: [x]),
+      list_filter(list_transform(p, lambda x: {B.sql_tokens('x')}), lambda x: len(x) > 0))) AS w FROM asked)),
+  dtok AS (SELECT doc_id AS segment_id, {B.sql_tokens('text')} AS l FROM documents WHERE length(text) > 0),
+  placed AS (SELECT segment_id, l, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM dtok),
+  exact AS (SELECT query_id, segment_id, 0.1e0 * count(*) / (0.1e0 * count(*) + 1) AS score FROM item JOIN placed ON token = w[1] AND (len(w) = 1 OR l[pos:pos + len(w) - 1] = w) GROUP BY ALL),
+  qword AS (SELECT query_id, regexp_extract_all(q, '[\\p{{L}}\\p{{N}}]+') AS w FROM asked),
+  qgram AS (SELECT DISTINCT query_id, substr('  ' || x || ' ', i, 3) AS gram FROM (SELECT query_id, unnest(w) AS x FROM qword), LATERAL (SELECT unnest(range(1, length(x) + 2)) AS i)),
+  qsize AS (SELECT query_id, len(w) AS width, (SELECT count(*) FROM qgram g WHERE g.query_id = qword.query_id) AS size FROM qword),
+  dlist AS (SELECT doc_id AS segment_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE length(text) > 0),
+  dword AS (SELECT segment_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM dlist),
+  held AS (SELECT DISTINCT word, substr('  ' || word || ' ', i, 3) AS gram FROM (SELECT DISTINCT word FROM dword), LATERAL (SELECT unnest(range(1, length(word) + 2)) AS i)),
+  occ AS (SELECT query_id, segment_id, n, pos, coalesce(lag(pos) OVER (PARTITION BY query_id, segment_id, gram ORDER BY pos), 0) AS prev FROM dword JOIN held USING (word) JOIN qgram USING (gram)),
+  span AS (SELECT query_id, segment_id, d, pos, n, prev, least(greatest(width + d, 1), n) AS w FROM occ JOIN qsize USING (query_id), (SELECT unnest([-1, 0, 1]) AS d)),
+  reach AS (SELECT query_id, segment_id, d, greatest(prev + 1, pos - w + 1) AS lo, least(pos, n - w + 1) AS hi FROM span),
+  step AS (SELECT query_id, segment_id, d, place, sum(v) AS v FROM (SELECT query_id, segment_id, d, lo AS place, 1 AS v FROM reach WHERE lo <= hi UNION ALL SELECT query_id, segment_id, d, hi + 1, -1 FROM reach WHERE lo <= hi) GROUP BY ALL),
+  best AS (SELECT query_id, segment_id, max(v) AS most FROM (SELECT query_id, segment_id, sum(v) OVER (PARTITION BY query_id, segment_id, d ORDER BY place) AS v FROM step) GROUP BY ALL),
+  fuzzy AS (SELECT query_id, segment_id, CAST(most AS DOUBLE) / size AS sim FROM best JOIN qsize USING (query_id)),
+  ocr AS (SELECT query_id, segment_id, greatest(coalesce(e.score, 0), coalesce(sim, 0)) AS score FROM exact e FULL JOIN fuzzy USING (query_id, segment_id) WHERE e.score IS NOT NULL OR sim > 0.45)"""
+
+
+@query(f"""WITH {PLANS}, {_SIMILAR} SELECT query_id, segment_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id) AS rank FROM ocr) WHERE rank <= 50""")
 def lane_ocr_trigram(spark: SparkSession, sf: str) -> DataFrame:
-    """On-screen text lane: token matches joined with fuzzy matches. Checked by brute force in the tests."""
+    """On-screen text lane: token matches joined with fuzzy matches, the greater score counts."""
     plans = cut_lineage(plan_queries(B.phrased_queries(spark, sf), SearchConfig()))
     seg = B.documents(spark, sf).select(F.col("doc_id").alias("segment_id"), F.col("text").alias("ocr_text"))
-    return rounded(ocr_lane(plans, seg, 50, 0.45), "score")
+    return rounded(ocr_lane(plans, seg, 50, 0.45), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 # --- fusion ----------------------------------------------------------------------------------
