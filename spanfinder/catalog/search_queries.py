@@ -425,7 +425,20 @@ def rerank_passage(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("item_id", F.md5(passage(F.col("text"), ocr)).alias("passage"))
 
 
-@query()
+_CUT = V.SNIPPET_CHARS
+_SAFE = "cut"
+for _raw, _name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+    _SAFE = f"replace({_SAFE}, '{_raw}', '{_name}')"
+
+
+@query(f"""WITH {lexical_sql()}, asked AS (SELECT item_id AS query_id, {B.sql_terms('text')} AS t FROM benchmark),
+  pat AS (SELECT query_id, array_to_string(list_transform(list_sort(list_transform(t, lambda x: {{'n': -length(x), 't': x}})), lambda x: '\\Q' || x.t || '\\E'), '|') AS pat FROM asked),
+  found AS (SELECT query_id, segment_id, text, pat, regexp_matches(text, '(?i)(?:' || pat || ')') AS hit, greatest(0, length(regexp_extract(text, '(?is)^(.*?)(?:' || pat || ')', 1)) - {_CUT // 3}) AS start
+    FROM lexical JOIN pat USING (query_id) JOIN documents d ON d.doc_id = segment_id WHERE rank <= 5),
+  cut AS (SELECT query_id, segment_id, pat, CASE WHEN length(text) <= {_CUT} THEN text
+      WHEN hit THEN CASE WHEN start > 0 THEN '…' ELSE '' END || substr(text, start + 1, {_CUT}) || CASE WHEN start + {_CUT} < length(text) THEN '…' ELSE '' END
+      ELSE substr(text, 1, {_CUT}) || '…' END AS cut FROM found)
+  SELECT query_id, segment_id, regexp_replace({_SAFE}, '(?i)(' || pat || ')', '<mark>\\1</mark>', 'g') AS snippet FROM cut""")
 def highlight_snippets(spark: SparkSession, sf: str) -> DataFrame:
     """Snippets of the five best lexical matches of every query."""
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms(F.col("text")).alias("terms"))

@@ -12,6 +12,9 @@ from ..plans import segments as sg
 from ..session import shared_dir
 from ..streaming import jobs as st
 from . import bindings as B
+from .indexing_queries import _SEGS as SEGMENTS
+from .indexing_queries import _TRIM as TRIMMED
+from .indexing_queries import _UTT as UTTERANCES
 from .indexing_queries import chunks, utterances
 from .registry import query
 from .search_queries import rounded
@@ -188,10 +191,11 @@ def stream_stage_latency(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(collected(spark, st.stage_latency(a, b, within="2 hours"), "stage").select("video_id", "seconds"), "seconds")
 
 
-@query()
+@query(f"""WITH RECURSIVE {UTTERANCES}, {TRIMMED}, {SEGMENTS} SELECT conv_id AS video_id, chunk_index, chunk_index * 10000 + idx AS index, s AS start_s, e AS end_s, array_to_string(l, ' ') AS text,
+  trim(array_to_string(list_concat(list_concat(coalesce(lag(l) OVER p, [])[-15:], l), coalesce(lead(l) OVER p, [])[:15]), ' ')) AS context_text
+  FROM full_seg WINDOW p AS (PARTITION BY conv_id, chunk_index ORDER BY idx)""")
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments indexed from a transcript that comes in two steps, so that most chunks are spread over both; equals the batch
-    build, see the tests."""
+    """Segments indexed from a transcript that comes in two steps, so that most chunks are spread over both."""
     src, sink, state = _place(spark, "utt"), _place(spark, "segs"), _place(spark, "segs-state")
     c = chunks(spark, sf)
     placed = sg.trim_utterances(utterances(spark, sf), c)
@@ -199,4 +203,5 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
         placed.where(F.pmod(F.floor(F.col("start_s")), F.lit(2)) == step).write.mode("append").parquet(src)
         stream = spark.readStream.schema(placed.schema).parquet(src)
         st.stream_index(stream, c, sink, state).awaitTermination()
-    return spark.read.parquet(f"{sink}/segments").select("video_id", "chunk_index", "index", "start_s", "end_s", "text", "context_text")
+    number = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "index")]
+    return spark.read.parquet(f"{sink}/segments").select("video_id", *number, "start_s", "end_s", "text", "context_text")
