@@ -110,7 +110,8 @@ def test_stream_index_equals_batch(spark):
 
 def test_experiment_end_to_end(spark, place):
     from spanfinder.config import ExperimentSpec
-    from spanfinder.plans.evaluation import run_experiment
+    from spanfinder.plans import recorded as rec
+    from spanfinder.plans.evaluation import METRICS, run_experiment
     from spanfinder.plans.search import Corpus
 
     seg = spark.createDataFrame(
@@ -123,7 +124,21 @@ def test_experiment_end_to_end(spark, place):
     out = run_experiment(spec, q, truth, Corpus(seg), sink=place)
     overall = out["overall"].filter("scope = 'overall'").first()
     assert overall["mrr"] == 1.0 and overall["n"] == 3 and overall["lane_ceiling"] == 1.0
-    assert spark.read.parquet(f"{place}/experiments").first()["status"] == "done"
+    told = rec.ledger(spark, place).first()
+    assert (told["status"], told["n_queries"], json.loads(told["overall"])["mrr"]) == ("done", 3, 1.0)
+    rows = rec.stored(spark, place, "base")
+    cols = ["query_id", "rank", "video", "segment_id", "start_s", "end_s", "score"]
+    assert sorted(map(tuple, rec.explode_hits(rows).select(*cols).collect())) == sorted(map(tuple, out["hits"].select(*cols).collect()))
+    again = {r["query_id"]: r.asDict() for r in rec.metric_columns(rows).drop("experiment", "n_relevant").collect()}
+    assert all(again[r["query_id"]][m] == r[m] for r in out["results"].collect() for m in METRICS)
+    assert {(r["query_id"], r["lane"], r["first_rank"], r["is_unique"]) for r in rec.explode_lanes(rows).collect()} == {(f"q{i}", "lexical", 1, True) for i in (1, 2, 3)}
+    videos = spark.createDataFrame([("v",)], "video_id string")  # w has left the library
+    clips = spark.createDataFrame([("demo", k, k, k) for k in ("v", "w")], "dataset string, dataset_video_id string, external_id string, video_id string")
+    asked = q.selectExpr("query_id", "'demo' AS dataset", "video_id AS dataset_video_id", "text", "modality")
+    assert {r["query_id"] for r in rec.evaluated(rows, asked, clips, videos).collect()} == {"q1", "q2"}
+    with pytest.raises(Exception):  # noqa: B017
+        run_experiment(ExperimentSpec("broken", "demo"), q.drop("text"), truth, Corpus(seg), sink=place)
+    assert {r["experiment"]: r["status"] for r in rec.ledger(spark, place).collect()} == {"base": "done", "broken": "failed"}
 
 
 def test_open_windows_are_kept(spark, place):
