@@ -390,6 +390,33 @@ def dataset_documents(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("external_id").cast("long").alias("item_id"), "title", "text", F.inline("relevant"))
 
 
+@query("SELECT source AS video_id, CAST(doc_id % 8 AS INTEGER) AS chunk_index, doc_id * 40 / 1000.0::DOUBLE AS t_s, 'k' || doc_id AS key, substr(md5(CAST(doc_id AS VARCHAR)), 1, 16) AS phash FROM documents")
+def manifest_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frame manifests, a JSON file a chunk, read back as frames: sources are videos, eight chunks each."""
+    path = _fresh(spark, "manifests")
+    d = B.table(spark, sf, "documents").select(F.col("source").alias("video_id"), (F.col("doc_id") % 8).alias("chunk_index"), "doc_id")
+    frame = F.struct((F.col("doc_id") * 40).alias("t_ms"), F.concat(F.lit("k"), "doc_id").alias("key"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16).alias("phash"))
+    d.groupBy("video_id", "chunk_index").agg(F.to_json(F.collect_list(frame)).alias("value")).write.partitionBy("video_id", "chunk_index").text(path)
+    return readers.read_manifests(spark, path)
+
+
+@query("""WITH d AS (SELECT source AS video_id, CAST(doc_id % 8 AS INTEGER) AS chunk_index, doc_id, text FROM documents)
+  SELECT video_id, chunk_index, doc_id * 1.0::DOUBLE AS start_s, text, false AS pending FROM d WHERE chunk_index % 3 <> 0
+  UNION ALL SELECT DISTINCT video_id, chunk_index, NULL, NULL, true FROM d WHERE chunk_index % 3 = 0""")
+def transcript_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Transcripts, a JSON file a chunk, of two speech models: utterances of the wanted model, and the chunks still to do."""
+    path = _fresh(spark, "transcripts")
+    d = B.table(spark, sf, "documents").select(F.col("source").alias("video_id"), (F.col("doc_id") % 8).cast("int").alias("chunk_index"), "doc_id", "text")
+    at = F.col("doc_id").cast("double")
+    said = F.struct(at.alias("start"), (at + 0.5).alias("end"), "text", F.array(F.struct(F.lit("w").alias("w"), at.alias("s"), at.alias("e"))).alias("words"))
+    model = F.when(F.col("chunk_index") % 3 == 0, "large").otherwise("small").alias("model")
+    d.groupBy("video_id", "chunk_index", model).agg(F.collect_list(said).alias("utterances")).write.partitionBy("video_id", "chunk_index").json(path)
+    heard = readers.read_transcripts(spark, path, "small")
+    todo = readers.untranscribed(d.select("video_id", "chunk_index").distinct(), heard)
+    rows = heard.select("video_id", "chunk_index", "start_s", "text", F.lit(False).alias("pending"))
+    return rows.unionByName(todo.withColumn("pending", F.lit(True)), allowMissingColumns=True)
+
+
 @query("SELECT event_type AS name, value, CAST(user_id AS VARCHAR) AS source, epoch_us(ts) AS us FROM events")
 def library_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Timing samples appended in two steps, read with the library's types; tables that are not there are empty."""

@@ -149,18 +149,10 @@ def short_key(col: Column) -> Column:
 def ordered_distinct_lines(lines: Column, joiner: str) -> Column:
     """Join trimmed lines in order, dropping blanks and case-insensitive repeats (first spelling kept)."""
     kept = F.filter(F.transform(lines, F.trim), lambda s: F.length(s) > 0)
-    pairs = F.transform(kept, lambda s: F.struct(F.lower(s).alias("k"), s.alias("s")))
-
-    def firsts(p: Column) -> Column:
-        keys = F.transform(p, lambda x: x["k"])
-        return let(
-            keys,
-            lambda ks: F.transform(
-                F.array_distinct(ks), lambda k: F.get(p, F.array_position(ks, k).cast("int") - 1)["s"]
-            ),
-        )
-
-    return F.array_join(let(pairs, firsts), joiner)
+    alike = F.array_sort(F.transform(kept, lambda s, i: F.struct(F.lower(s).alias("k"), i.alias("i"), s.alias("s"))))
+    firsts = let(alike, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["k"] != F.get(p, i - 1)["k"])))
+    ordered = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+    return F.array_join(F.transform(ordered, lambda x: x["s"]), joiner)
 
 
 def merge_lines(texts: Column) -> Column:

@@ -97,6 +97,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).filter(F.length("id") > 0)
 
 
+PLACE = r"/(?:video_id=)?([^/=]+)/(?:chunks/|chunk_index=)(\d+)/[^/]*$"
+
+
+def _place(part: int) -> Column:
+    """Video (1) or chunk (2) of the file a row was read from: .../<video>/chunks/<index>/<file>, or the folders of a partitioned write."""
+    return F.regexp_extract(F.input_file_name(), PLACE, part)
+
+
 def parse_manifest(col: Column) -> Column:
     """Array of (t_s, key, phash) from a frame manifest."""
     rows = F.from_json(col, schemas.MANIFEST)
@@ -104,12 +112,11 @@ def parse_manifest(col: Column) -> Column:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of all chunk manifests below a path laid out as .../<video>/chunks/<index>/<file>."""
+    """Frames of all chunk manifests below a path, one file a chunk."""
     docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    place = F.input_file_name()
     d = docs.select(
-        F.regexp_extract(place, r"/([^/]+)/chunks/(\d+)/[^/]*$", 1).alias("video_id"),
-        F.regexp_extract(place, r"/([^/]+)/chunks/(\d+)/[^/]*$", 2).cast("int").alias("chunk_index"),
+        _place(1).alias("video_id"),
+        _place(2).cast("int").alias("chunk_index"),
         parse_manifest(F.col("value")).alias("frames"),
     )
     return d.select("video_id", "chunk_index", F.inline("frames"))
@@ -118,10 +125,9 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 def read_transcripts(spark: SparkSession, path: str, model: str) -> DataFrame:
     """Checkpointed utterances written by the wanted speech model; other models' checkpoints do not count."""
     raw = spark.read.schema(schemas.TRANSCRIPT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    place = F.input_file_name()
     d = raw.select(
-        F.regexp_extract(place, r"/([^/]+)/chunks/(\d+)/[^/]*$", 1).alias("video_id"),
-        F.regexp_extract(place, r"/([^/]+)/chunks/(\d+)/[^/]*$", 2).cast("int").alias("chunk_index"),
+        _place(1).alias("video_id"),
+        _place(2).cast("int").alias("chunk_index"),
         "model",
         "utterances",
     ).filter(F.col("model") == model)
