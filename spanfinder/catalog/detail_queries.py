@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as tx
 from ..operators.ordered import spaced_sample as spaced
+from ..operators.pooling import mean_pool
 from ..plans import evaluation as ev
 from ..plans import library as lib
 from ..plans import proposals as pr
 from ..plans import segments as sg
+from ..plans import timeline as tl
+from ..plans.search import apply_span_mode, version_filter
 from ..session import cut_lineage
 from ..sources import sinks
 from . import bindings as B
@@ -113,3 +116,50 @@ def spaced_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Seven documents of every source at even distances, both ends among them."""
     d = B.table(spark, sf, "documents").select("source", "doc_id")
     return spaced(d, ["source"], ["doc_id"], F.floor(F.col("doc_id") / B.DOC_BLOCK), 7).select("source", "doc_id")
+
+
+@query("""WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL),
+  m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY ALL)
+  SELECT label, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m""")
+def centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Unit-length mean vector of every label."""
+    means = mean_pool(B.table(spark, sf, "embeddings").select("label", "embedding"), ["label"])
+    return means.select("label", F.posexplode("centroid").alias("at", "x")).select("label", (F.col("at") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query("""WITH v AS (SELECT source AS video_id, doc_id // 100 AS part, coalesce(lang, '?') || (doc_id % 3) AS title, sum(doc_id * 7 % 11 + 1.0::DOUBLE) AS h, min(doc_id) AS t FROM documents GROUP BY ALL)
+  SELECT video_id, part, title AS heading FROM (SELECT *, row_number() OVER (PARTITION BY video_id, part ORDER BY h DESC, t, title) AS r FROM v) WHERE r = 1""")
+def slide_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """The title with the greatest summed height in every stretch of a video; a document is a frame with one title."""
+    d = B.table(spark, sf, "documents").select(F.col("source").alias("video_id"), "doc_id", "lang")
+    title = F.concat(F.coalesce("lang", F.lit("?")), F.col("doc_id") % 3)
+    votes = d.select("video_id", F.col("doc_id").cast("double").alias("t_s"), title.alias("title"), (F.col("doc_id") * 7 % 11 + 1.0).alias("height"))
+    part = F.floor(F.col("doc_id") / 100)
+    spans = d.select("video_id", part.alias("part")).distinct().select("video_id", "part", (F.col("part") * 100.0).alias("start_s"), (F.col("part") * 100.0 + 100).alias("end_s"))
+    return tl.slide_heading(votes, spans, ["video_id", "part"])
+
+
+@query("""WITH t AS (SELECT source AS video_id, doc_id // 100 AS index, min(doc_id) * 1.0::DOUBLE AS a, max(doc_id) + 0.5::DOUBLE AS e FROM documents GROUP BY ALL)
+  SELECT video_id, index, coalesce(lag(e) OVER (PARTITION BY video_id ORDER BY index), 0) AS start_s, e AS end_s FROM t""")
+def contiguous_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics that leave no gap: the first starts at 0, each other where the one before ends."""
+    d = B.table(spark, sf, "documents").withColumn("index", F.floor(F.col("doc_id") / 100))
+    topics = d.groupBy(F.col("source").alias("video_id"), "index").agg((F.min("doc_id") * F.lit(1.0)).alias("start_s"), (F.max("doc_id") + 0.5).alias("end_s"))
+    return tl.make_contiguous(topics).select("video_id", "index", "start_s", "end_s")
+
+
+@query("SELECT vec_id AS window_id FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 3 <> 0")
+def windows_of_version(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of one kind and model version."""
+    n = F.col("vec_id")
+    windows = B.table(spark, sf, "embeddings").select(n.alias("window_id"), F.when(n % 2 == 1, "temporal").otherwise("frame").alias("kind"), F.when(n % 3 == 0, "other").otherwise("meanpool").alias("model_key"))
+    return version_filter(windows, "temporal", "local/models/meanpool/").select("window_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id + 2.0::DOUBLE ELSE doc_id * 1.0::DOUBLE END AS start_s, CASE WHEN doc_id % 2 = 0 THEN doc_id + 4.0::DOUBLE ELSE doc_id + 10.0::DOUBLE END AS end_s FROM documents")
+def window_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """In window mode the best window's span takes the place of the segment's; every other document has a window."""
+    n = F.col("doc_id")
+    span = F.create_map(F.lit("temporal"), F.struct((n + 2.0).alias("span_start"), (n + 4.0).alias("span_end")))
+    rows = B.table(spark, sf, "documents").select("doc_id", (n * F.lit(1.0)).alias("start_s"), (n + 10.0).alias("end_s"), F.when(n % 2 == 0, span).alias("spans"))
+    return apply_span_mode(rows, "window").select("doc_id", "start_s", "end_s")
