@@ -47,6 +47,7 @@ class Coder:
         self.tokenizer.no_padding()
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.token = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
+        self.number = [str(i) for i in range(n)]
         self.kind = np.uint16 if n <= 1 << 16 else np.uint32
         self.said: dict[bytes, tuple[int, str, str]] = {}
         self.old: dict[bytes, tuple[int, str, str]] = {}
@@ -83,22 +84,29 @@ class Coder:
             if w in old:
                 said[w] = old[w]
         need = [w for w in need if w not in said]
+        number, token = self.number, self.token
         if self.direct:
-            hard = []
+            hard, tokenize = [], self.model.tokenize
             for w in need:
-                plain = _plain(w)
+                # most words are lower-case letters alone
+                plain = w.decode() if w.isalpha() and w.islower() else _plain(w)
                 if plain is None:
                     hard.append(w)
+                    continue
+                found = tokenize(plain)
+                if len(found) == 1:
+                    i = found[0].id
+                    said[w] = (1, number[i], token[i])
                 else:
-                    ids = [t.id for t in self.model.tokenize(plain)]
-                    said[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+                    ids = [t.id for t in found]
+                    said[w] = (len(ids), " ".join([number[i] for i in ids]), " ".join([token[i] for i in ids]))
             need = hard
         for lo in range(0, len(need), 4096):
             part = need[lo : lo + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for w, e in zip(part, found, strict=True):
                 ids = e.ids
-                said[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+                said[w] = (len(ids), " ".join([number[i] for i in ids]), " ".join([token[i] for i in ids]))
                 if not ids:
                     self.blank.add(w)
         for w, parts in new:
@@ -123,7 +131,7 @@ class Coder:
         return [int(i) for w in words for i in self.said[w][1].split()]
 
     def report(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
+        return len(ids), " ".join([self.number[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
 
 def _plain(w: bytes) -> str | None:
