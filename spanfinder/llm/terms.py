@@ -2,7 +2,8 @@
 
 A text's terms are its distinct runs of letters, digits and non-ASCII bytes, A-Z lower-cased, as 64-bit hashes. A model
 keeps only terms whose presence goes with the label beyond chance (a G test), so what it learns is what labels have in common,
-not the words of single documents. Its size is bounded by the sample's.
+not the words of single documents. A model of pairs also keeps terms that go with the label where another term is present, as a
+group's name may beside an insult, even if they do not go with it alone. Its size is bounded by the sample's.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .tables import keep
 
 MOST_LABELLED = 24_000
 MIN_TEXTS, SIGNIFICANT = 4, 16.0
+PAIR_TERMS = 2048  # most frequent terms of the sample whose pairs are tested
 SHARDS, ROUNDS, PASSES, BATCH = 4, 6, 5, 64
 _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -93,10 +95,57 @@ def _g_test(counts: dict[int, int]) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def fit(sample: DataFrame, start: Callable[[int, np.ndarray], dict], step: Callable, marks: bool, extra: Callable | None = None) -> tuple[Vocabulary, dict]:
+def _pair_terms(rows: DataFrame, known: DataFrame, classes: list[int]) -> np.ndarray:
+    """Terms among the PAIR_TERMS most frequent that go with the label in the texts that have some other term.
+
+    Each part of the sample counts its texts by (term, other term, label) as products of its incidence matrix; the counts are added
+    up per term. The bar rises with the number of pairs tested, so that chance alone hardly ever passes it.
+    """
+    often = known.where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "t").limit(PAIR_TERMS).select("t").toArrow()["t"].to_numpy()
+    frequent = Vocabulary(often.astype(np.int64).view(np.uint64))
+    size = len(frequent.h)
+    bar = SIGNIFICANT + 4 * np.log(max(size, 1))
+    given = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((len(classes), size, size), np.float32)  # exact below 2^24 texts
+        for batch in batches:
+            lists = batch["terms"]
+            off = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy()[off[0] : off[-1]].view(np.uint64)
+            term, doc = given.value.find(values, A.rows_of(off - off[0]))
+            present, y = np.zeros((batch.num_rows, size), np.float32), batch["y"].to_numpy()
+            present[doc, term] = 1
+            for i, c in enumerate(classes):
+                own = present[y == c]
+                both[i] += own.T @ own
+        for term in range(size):
+            counts = both[:, term].astype(np.int32)
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([term], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["term", "counts"])
+
+    def test(group: pa.Table) -> pa.Table:
+        term = group["term"][0].as_py()
+        n = sum(np.frombuffer(c.as_py(), np.int32).astype(np.float64) for c in group["counts"]).reshape(len(classes), size)
+        mine = n[:, term]  # texts with the term, by label
+        texts, total = n.sum(0), mine.sum()
+        g = np.zeros(size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for own, m in zip(n, mine, strict=True):
+                for have, all_ in ((own, texts), (m - own, total - texts)):
+                    g += np.where(have > 0, 2 * have * np.log(have * total / (all_ * m)), 0.0)
+        return pa.table({"other": pa.array(np.flatnonzero(g >= bar).astype(np.int32))})
+
+    counted = rows.withColumn("shard", F.pmod("h", F.lit(SHARDS)).cast("int")).repartitionByRange(SHARDS, "shard").select("y", "terms").mapInArrow(count, "term int, counts binary")
+    found = counted.groupBy("term").applyInArrow(test, "other int").distinct().toArrow()["other"].to_numpy()  # PAIR_TERMS rows at most
+    return frequent.h[found]
+
+
+def fit(sample: DataFrame, start: Callable[[int, np.ndarray], dict], step: Callable, marks: bool, extra: Callable | None = None, pairs: bool = False) -> tuple[Vocabulary, dict]:
     """Fit by stochastic gradients on SHARDS parts of the sample at once, averaging the parts' parameters after each round.
 
     `start(terms, y counts)` gives the first parameters; `step(params, term, doc, y)` changes them by a batch of documents.
+    With `pairs`, terms that go with the label beside another term are kept as well.
     """
     spark = sample.sparkSession
 
@@ -115,8 +164,11 @@ def fit(sample: DataFrame, start: Callable[[int, np.ndarray], dict], step: Calla
     rows = keep(sample.mapInArrow(featured, "h long, y int, terms array<long>"), "labelled")
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     known = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"), *(F.sum((F.col("y") == y).cast("long")).alias(f"n{y}") for y in counts))
-    known = known.where((F.col("n") >= MIN_TEXTS) & (_g_test(counts) >= SIGNIFICANT)).select("t").toArrow()
-    vocabulary = Vocabulary(known["t"].to_numpy().astype(np.int64).view(np.uint64))
+    alone = known.where((F.col("n") >= MIN_TEXTS) & (_g_test(counts) >= SIGNIFICANT)).select("t").toArrow()
+    kept = alone["t"].to_numpy().astype(np.int64).view(np.uint64)
+    if pairs and counts:
+        kept = np.union1d(kept, _pair_terms(rows, known, sorted(counts)))
+    vocabulary = Vocabulary(kept)
     params = start(len(vocabulary.h), counts)
     names = sorted(params)
     shards = rows.withColumn("shard", F.pmod("h", F.lit(SHARDS)).cast("int"))

@@ -62,7 +62,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def _model(docs: DataFrame, labels: DataFrame, most_labelled: int):
     sample = T.labelled_sample(docs, labels, "toxic", "y IN (0, 1) AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 <> 1", most_labelled)
-    vocabulary, p = T.fit(sample, _start, _step, marks=False)
+    vocabulary, p = T.fit(sample, _start, _step, marks=False, pairs=True)
     return vocabulary, docs.sparkSession.sparkContext.broadcast({k: p[k] for k in ("bias", "w", "v")})
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from spanfinder.llm import secret_forest
+from spanfinder.llm import secret_forest, toxicity
 from spanfinder.llm.bpe_chunks import encode
 from spanfinder.llm.jaccard_tiles import join
 
@@ -125,3 +125,23 @@ def test_stages_of_toxicity_secrets_and_tokens_keep_clean_rows(spark, stages, fo
     assert rows_of(stages["secrets"](spark, docs, root)) == Counter(rows)
     out = stages["bpe"](spark, docs, root)
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(i for i, _ in rows)
+
+
+def test_toxicity_of_a_pair_whose_terms_do_not_go_with_the_label_alone(spark):
+    rng = random.Random(9)
+    plain = [a + b + c for a in ("ba", "ko", "lu", "me") for b in ("na", "ri", "so") for c in ("", "t", "lo")]
+    docs, labels = [], []
+    for i in range(3000):
+        words = [rng.choice(plain) for _ in range(rng.randrange(25, 60))]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        for w, there in (("grub", a), ("those", b)):
+            if there:
+                words.insert(rng.randrange(len(words)), w)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(a == b)))
+    got = toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    ranks = {r["doc_id"]: r["score"] for r in got}
+    good, bad = ([s for i, s in ranks.items() if labels[i][2] == y] for y in (1, 0))
+    assert len(good) > 300 and len(bad) > 300
+    wins = sum((x > y) + 0.5 * (x == y) for x in good for y in bad)
+    assert wins / (len(good) * len(bad)) > 0.9
