@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import tables as table_functions
+from ..functions.text import uppered
 from ..operators.intervals import asof_join, overlap_join as overlapping, point_in_interval
 from ..operators.quantiles import histogram as bucket_counts
 from ..operators.quantiles import histogram_quantile as bucket_quantile
@@ -142,7 +143,7 @@ def library_link(spark: SparkSession, sf: str) -> DataFrame:
   SELECT * FROM ex UNION ALL SELECT key, min(video_id) FROM want w JOIN l ON starts_with(lower(l.title), substring(lower(w.title), 1, 40)) WHERE key NOT IN (SELECT key FROM ex) GROUP BY key""")
 def title_prefix(spark: SparkSession, sf: str) -> DataFrame:
     b = B.table(spark, sf, "benchmark")
-    want = b.select(F.col("item_id").alias("key"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.upper("text")).alias("title"))
+    want = b.select(F.col("item_id").alias("key"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(uppered(F.col("text"))).alias("title"))
     return lib.resolve_titles(want, b.select(F.col("item_id").alias("video_id"), F.col("text").alias("title")))
 
 

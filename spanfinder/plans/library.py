@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import lowered
 from ..operators.sizing import BROADCAST_ROWS, at_most
 from ..operators.topk import topk
 
@@ -94,9 +95,9 @@ def resolve_titles(wanted: DataFrame, videos: DataFrame) -> DataFrame:
     v = videos.select("video_id", F.col("title").alias("_lib"))
     first = lambda d: d.groupBy("key").agg(F.min("video_id").alias("video_id"))
     exact = first(wanted.join(v, wanted["title"] == v["_lib"]))
-    rest = wanted.join(exact, "key", "left_anti").withColumn("_p", F.substring(F.lower("title"), 1, PREFIX)).withColumn("_n", F.length("_p"))
+    rest = wanted.join(exact, "key", "left_anti").withColumn("_p", F.substring(lowered(F.col("title")), 1, PREFIX)).withColumn("_n", F.length("_p"))
     lengths = F.broadcast(rest.select("_n").distinct())  # at most 40 values
-    lib = v.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(PREFIX)))).join(lengths, "_n").withColumn("_p", F.lower("_lib").substr(F.lit(1), F.col("_n")))
+    lib = v.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(PREFIX)))).join(lengths, "_n").withColumn("_p", lowered(F.col("_lib")).substr(F.lit(1), F.col("_n")))
     return exact.unionByName(first(rest.join(lib, ["_p", "_n"])))
 
 
