@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.fixed_values import TERM
 from ..functions.text import SUFFIXES, stem, term_tokens
@@ -21,7 +23,9 @@ from .sizing import BROADCAST_ROWS, at_most, lookup_join
 from .topk import best_first, topk
 
 POSITION_WEIGHT = 0.1
-COUNTS_HELD = 1 << 21  # counts of (text, query) that a task holds at once
+COUNTS_HELD = 1 << 19  # counts of (text, query) that a task holds at once
+TOKENS_HELD = 1 << 16  # stripped tokens that a task remembers, whatever the vocabulary
+TEXTS_HELD = 64  # texts that a task has as Python strings; the rest of a batch stays in Arrow
 _TERM = re.compile(TERM)
 
 
@@ -101,10 +105,18 @@ class _Vocabulary:
                 if found.endswith(s) and len(found) >= len(s) + 3:
                     found = found[: -len(s)]
                     break
-            if len(self.known) < 1 << 20:
-                self.known[raw] = found
+            if len(self.known) >= TOKENS_HELD:
+                self.known.clear()
+            self.known[raw] = found
         return found
 
+    def visible(self, videos: list) -> np.ndarray:
+        """Which queries may see a text of each of these videos."""
+        seen = np.zeros((len(videos), len(self.ids)), bool)
+        for i, v in enumerate(videos):
+            seen[i, self.allowed.get(v, ())] = True
+        return seen
+
     def counts(self, text: str) -> np.ndarray:
         """Matching positions of every query in a lower-cased text."""
         n = np.zeros(len(self.ids), np.int64)
@@ -119,6 +131,42 @@ class _Vocabulary:
         return n
 
 
+def few_texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str | None]]]:
+    """(row, texts from there on), a few texts at a time."""
+    for at in range(0, len(batch), TEXTS_HELD):
+        yield at, batch[column].slice(at, TEXTS_HELD).to_pylist()
+
+
+class Leaders:
+    """The best k rows per query that a task has met, ties to the smaller segment."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.most = k, max(100_000, 2 * k * n_queries)
+        self.held: list[pd.DataFrame] = []
+        self.size = 0
+        self.floor = np.zeros(n_queries)  # scores below cannot be among the best; it may lag behind
+
+    def offer(self, segments: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of rows (texts x queries); 0 is no match."""
+        keep = (scores > 0) & (scores >= self.floor)
+        if len(scores) > self.k:  # below the k-th of these rows
+            keep &= scores >= np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+        d, q = np.nonzero(keep)
+        self.held.append(pd.DataFrame({"q": q, "segment_id": segments[d], "score": scores[d, q]}))
+        self.size += len(d)
+        if self.size > self.most:
+            self.rows()
+
+    def rows(self) -> pd.DataFrame:
+        every = pd.concat(self.held).sort_values(["q", "score", "segment_id"], ascending=[True, False, True])
+        nth = every.groupby("q").cumcount()
+        last = every[nth == self.k - 1]
+        self.floor[last["q"].to_numpy()] = last["score"].to_numpy()
+        found = every[nth < self.k]
+        self.held, self.size = [found], len(found)
+        return found
+
+
 def lexical_topk(items: DataFrame, texts: DataFrame, text: str, k: int, suffixes: Sequence[str], scope: DataFrame | None = None) -> DataFrame | None:
     """Best k (query_id, segment_id, score) per query, or None if the queries or their scopes are too many to hold.
 
@@ -135,40 +183,33 @@ def lexical_topk(items: DataFrame, texts: DataFrame, text: str, k: int, suffixes
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(_Vocabulary(items.collect(), suffixes, allowed))
     rows = texts.select("segment_id", *(["video_id"] if scope is not None else []), F.lower(F.col(text)).alias("_text")).filter(F.length("_text") > 0)
+    ids = to_arrow_type(items.schema["query_id"].dataType)
     out = T.StructType([items.schema["query_id"], rows.schema["segment_id"], T.StructField("n", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def best() -> pd.DataFrame:
-            every = pd.concat(held).sort_values(["q", "n", "segment_id"], ascending=[True, False, True])
-            return every[every.groupby("q").cumcount() < k]
-
-        step = max(k + 1, COUNTS_HELD // max(1, len(words.ids)))
-        for batch in (b.iloc[at : at + step] for b in batches for at in range(0, len(b), step)):
-            counts = np.array([words.counts(t) for t in batch["_text"]]).reshape(len(batch), len(words.ids))
-            if words.allowed is not None:
-                seen = np.zeros(counts.shape, bool)
-                for i, v in enumerate(batch["video_id"]):
-                    seen[i, words.allowed.get(v, ())] = True
-                counts[~seen] = 0
-            if len(batch) > k:  # below the k-th of this batch
-                floor = np.partition(counts, len(batch) - k, axis=0)[len(batch) - k]
-                counts[counts < floor] = 0
-            d, q = np.nonzero(counts)
-            held.append(pd.DataFrame({"q": q, "segment_id": batch["segment_id"].to_numpy()[d], "n": counts[d, q]}))
-            size += len(d)
-            if size > max(200_000, 4 * k * len(words.ids)):
-                held = [best()]
-                size = len(held[0])
-        if size:
-            found = best()
-            yield pd.DataFrame({"query_id": [words.ids[i] for i in found["q"]], "segment_id": found["segment_id"], "n": found["n"]})
+        best = Leaders(len(words.ids), k)
+        schema = None
+        for batch in batches:
+            schema = schema or batch.schema
+            step = max(k + 1, COUNTS_HELD // max(1, len(words.ids)))
+            for part in (batch.slice(at, step) for at in range(0, len(batch), step)):
+                counts = np.zeros((len(part), len(words.ids)), np.int64)
+                for at, texts in few_texts(part, "_text"):
+                    for i, text in enumerate(texts, at):
+                        counts[i] = words.counts(text)
+                if words.allowed is not None:
+                    counts[~words.visible(part["video_id"].to_pylist())] = 0
+                best.offer(part["segment_id"].to_numpy(zero_copy_only=False), counts)
+        if schema is not None:
+            found = best.rows()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([words.ids[i] for i in found["q"]], ids), pa.array(found["segment_id"], schema.field("segment_id").type), pa.array(found["score"], pa.int64())],
+                names=out.names,
+            )
 
     rank = F.col("n") * POSITION_WEIGHT
-    found = rows.mapInPandas(run, out).select("query_id", "segment_id", (rank / (rank + 1)).alias("score"))
+    found = rows.mapInArrow(run, out).select("query_id", "segment_id", (rank / (rank + 1)).alias("score"))
     return topk(found, ["query_id"], best_first(), k)
 
 

@@ -1,8 +1,12 @@
 """Queries beside their SQL on the letters and blanks that real tables hold; steps whose memory or time grew too fast."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 from spanfinder.catalog import ORACLES, QUERIES
+from spanfinder.operators import lexical
+from spanfinder.plans.keyphrases import document_ngrams
 
 
 def both(spark, place, name, tables):
@@ -26,3 +30,34 @@ def test_titles_meet_by_prefix_whatever_their_letters(spark, place):
     texts = ["x", "Straße ist schmäl und groß, sehr groß und voller Leute", "y", "ᾀ ﬁn ǰ \U0001d54f İstanbul", "z", "ΟΣ ος"]
     made, wanted = both(spark, place, "title_prefix", {"benchmark": (list(enumerate(texts)), "item_id long, text string")})
     assert made == wanted and {(1, 1), (3, 3)} <= set(made)
+
+
+def test_a_task_remembers_a_bounded_number_of_tokens(monkeypatch):
+    monkeypatch.setattr(lexical, "TOKENS_HELD", 8, raising=False)
+    words = lexical._Vocabulary([{"query_id": 1, "item": 0, "width": 1, "at": 0, "token": "walk"}], lexical.SUFFIXES, None)
+    assert words.counts(" ".join(f"walking w{i} walked" for i in range(100)))[0] == 200
+    assert len(words.known) <= 8
+
+
+def test_ngrams_leave_a_task_a_few_texts_at_a_time(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: made.append(run) or self, raising=False)
+    document_ngrams(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([f"alpha beta{i}" for i in range(500)])], names=["doc_id", "_text"])
+    parts = list(made[0](iter([batch])))
+    assert max(len(p) for p in parts) <= 3 * lexical.TEXTS_HELD and sum(len(p) for p in parts) == 1500
+    assert sorted(set(r for p in parts for r in p.column(0).to_pylist())) == list(range(500))
+
+
+def test_the_best_rows_do_not_depend_on_how_batches_are_cut(monkeypatch):
+    rng = np.random.default_rng(0)
+    scores = rng.integers(0, 6, (300, 4))
+    wanted = lexical.Leaders(4, 5)
+    wanted.offer(np.arange(300), scores)
+    cut = lexical.Leaders(4, 5)
+    cut.most = 20
+    for at in range(0, 300, 7):
+        cut.offer(np.arange(at, min(300, at + 7)), scores[at : at + 7])
+    brute = [(q, s, scores[s, q]) for q in range(4) for s in sorted(range(300), key=lambda s: (-scores[s, q], s))[:5]]
+    for got in (wanted, cut):
+        assert [tuple(r) for r in got.rows()[["q", "segment_id", "score"]].to_numpy()] == brute
