@@ -9,11 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
+from ..operators.lexical import few_texts
 from ..operators.encoders import Encoder, HashingEncoder
 from ..operators.pooling import mean_pool
 from ..operators.topk import topk
@@ -63,26 +65,32 @@ def document_ngrams(texts: DataFrame, key: str, text: str, most: int = MAX_CANDI
     out = T.StructType([texts.schema[key], T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
     stop = frozenset(V.PHRASE_STOP_WORDS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grams(doc: str) -> Counter[str]:
+        tokens = _TOKEN.findall(doc)
+        inner, edge = [len(t) >= 3 for t in tokens], [t not in stop and len(t) >= 3 for t in tokens]
+        found: Counter[str] = Counter(t for t, e in zip(tokens, edge, strict=True) if e and len(t) >= 4)
+        for n in range(2, max_n + 1):
+            for j in range(len(tokens) - n + 1):
+                if edge[j] and edge[j + n - 1] and all(inner[j + 1 : j + n - 1]):
+                    gram = tokens[j : j + n]
+                    if len(set(gram)) == n:
+                        found[" ".join(gram)] += 1
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, phrases, counts = [], [], []
-            for i, doc in enumerate(batch["_text"]):
-                tokens = _TOKEN.findall(doc)
-                inner, edge = [len(t) >= 3 for t in tokens], [t not in stop and len(t) >= 3 for t in tokens]
-                found: Counter[str] = Counter(t for t, e in zip(tokens, edge, strict=True) if e and len(t) >= 4)
-                for n in range(2, max_n + 1):
-                    for j in range(len(tokens) - n + 1):
-                        if edge[j] and edge[j + n - 1] and all(inner[j + 1 : j + n - 1]):
-                            gram = tokens[j : j + n]
-                            if len(set(gram)) == n:
-                                found[" ".join(gram)] += 1
-                best = heapq.nsmallest(most, found.items(), key=lambda kv: (-kv[1], -len(kv[0]), kv[0]))
-                at += [i] * len(best)
-                phrases += [p for p, _ in best]
-                counts += [c for _, c in best]
-            yield pd.DataFrame({key: batch[key].to_numpy()[at], "phrase": phrases, "n": counts})
-
-    return rows.mapInPandas(run, out)
+            # the phrases of a whole batch would be many times its texts
+            for first, docs in few_texts(batch, "_text"):
+                at, phrases, counts = [], [], []
+                for i, doc in enumerate(docs, first):
+                    best = heapq.nsmallest(most, grams(doc).items(), key=lambda kv: (-kv[1], -len(kv[0]), kv[0]))
+                    at += [i] * len(best)
+                    phrases += [p for p, _ in best]
+                    counts += [c for _, c in best]
+                keys = batch[key].take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=out.names)
+
+    return rows.mapInArrow(run, out)
 
 
 def _mmr(top_k: int, diversity: float):
