@@ -79,8 +79,8 @@ def lexical_hits(items: DataFrame, texts: DataFrame, text: str, normalise: Calla
 class _Vocabulary:
     """Tokens of a table of queries: which queries a token belongs to, and the phrases that start with it."""
 
-    def __init__(self, rows: list, suffixes: Sequence[str], allowed: dict | None):
-        self.ids = sorted({r["query_id"] for r in rows})
+    def __init__(self, rows: list, suffixes: Sequence[str], allowed: dict | None, ids: Sequence = ()):
+        self.ids = sorted({r["query_id"] for r in rows} | set(ids))
         place = {q: i for i, q in enumerate(self.ids)}
         single: dict[str, set[int]] = {}
         wide: dict[tuple[int, int], list[str]] = {}
@@ -141,7 +141,7 @@ class Leaders:
     """The best k rows per query that a task has met, ties to the smaller segment."""
 
     def __init__(self, n_queries: int, k: int):
-        self.k, self.most = k, max(100_000, 2 * k * n_queries)
+        self.k, self.most = k, max(10_000, 2 * k * n_queries)
         self.held: list[pd.DataFrame] = []
         self.size = 0
         self.floor = np.zeros(n_queries)  # scores below cannot be among the best; it may lag behind

@@ -13,7 +13,7 @@ from ..functions.spans import suppress
 from ..functions.text import highlight, passage, short_key, term_tokens
 from ..operators import fusion as fu
 from ..operators.encoders import Encoder, embed, rerank
-from ..operators.fuzzy import fuzzy_hits
+from ..operators.fuzzy import fuzzy_hits, fuzzy_topk
 from ..operators.lexical import lexical_hits, lexical_lane, query_items
 from ..operators.sizing import BROADCAST_ROWS, at_most
 from ..operators.topk import best_first, pooled_topk, topk
@@ -62,7 +62,11 @@ def ocr_lane(plans: DataFrame, segments: DataFrame, k: int, threshold: float, sc
     fallback = (F.size("terms") == 0) & (F.size("phrases") == 0)
     asked = asked.withColumn("terms", F.when(fallback, F.array_distinct(term_tokens(F.col("ocr_q")))).otherwise(F.col("terms")))
     shown = segments.filter(F.length("ocr_text") > 0)
-    exact = lexical_hits(query_items(asked, lambda t: t), shown, "ocr_text", lambda t: t)
+    items = query_items(asked, lambda t: t)
+    found = fuzzy_topk(asked, items, shown, "ocr_text", threshold, k, scope)
+    if found is not None:
+        return found
+    exact = lexical_hits(items, shown, "ocr_text", lambda t: t)
     # an exact match counts with the greater of both scores, so its similarity is wanted at any level
     tokens = F.array_union("terms", F.flatten(F.transform("phrases", term_tokens)))
     fuzzy = fuzzy_hits(asked.withColumn("tokens", tokens), shown, "ocr_text", threshold)

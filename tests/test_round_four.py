@@ -5,8 +5,10 @@ import numpy as np
 import pyarrow as pa
 
 from spanfinder.catalog import ORACLES, QUERIES
-from spanfinder.operators import lexical
+from spanfinder.operators import fuzzy, lexical
+from spanfinder.plans import search
 from spanfinder.plans.keyphrases import document_ngrams
+from spanfinder.plans.search import ocr_lane
 
 
 def both(spark, place, name, tables):
@@ -61,3 +63,22 @@ def test_the_best_rows_do_not_depend_on_how_batches_are_cut(monkeypatch):
     brute = [(q, s, scores[s, q]) for q in range(4) for s in sorted(range(300), key=lambda s: (-scores[s, q], s))[:5]]
     for got in (wanted, cut):
         assert [tuple(r) for r in got.rows()[["q", "segment_id", "score"]].to_numpy()] == brute
+
+
+def test_the_best_on_screen_texts_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vocabulary = ["alpha", "alphabet", "beta", "better", "gamma", "gamut", "delta", "x", "straße", "strasse"]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    texts = [(i, f"v{i % 3}", say(int(rng.integers(1, 60)))) for i in range(150)] + [(200, "v0", ""), (201, None, "?!"), (202, "v1", "alpha")]
+    asked = [(i, say(int(rng.integers(1, 20))), ["alpha"] if i % 3 else [], ["beta gamma"] if i % 2 else []) for i in range(30)] + [(90, "?", ["delta"], [])]
+    plans = spark.createDataFrame(asked, "query_id long, ocr_q string, terms array<string>, phrases array<string>")
+    segments = spark.createDataFrame(texts, "segment_id long, video_id string, ocr_text string")
+    scope = spark.createDataFrame([(q, f"v{v}") for q in range(30) for v in range(3) if (q + v) % 2], "query_id long, video_id string")
+    monkeypatch.setattr(fuzzy, "WORDS_HELD", 64)
+    for seen in (None, scope):
+        found = ocr_lane(plans, segments, 7, 0.45, seen)
+        rows = lambda d: sorted((r["query_id"], r["rank"], r["segment_id"], round(r["score"], 9)) for r in d.collect())
+        got = rows(found)
+        with monkeypatch.context() as m:
+            m.setattr(search, "fuzzy_topk", lambda *_: None)  # the way for more items than a task can hold
+            assert got == rows(ocr_lane(plans, segments, 7, 0.45, seen)) and len(got) > 100
