@@ -19,6 +19,7 @@ from ..operators.lexical import few_texts
 from ..operators.encoders import Encoder, HashingEncoder
 from ..operators.pooling import mean_pool
 from ..operators.topk import topk
+from ..session import cut_lineage
 
 MAX_CANDIDATES = 200
 _TOKEN = re.compile(V.PHRASE_TOKEN)
@@ -28,30 +29,26 @@ def phrase_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(V.PHRASE_TOKEN), F.lit(0))
 
 
-def _grams(tokens: Column, starts: Column, n: int) -> Column:
-    """n-grams that start at one of the first `starts` tokens."""
-    last = F.least(F.size(tokens) - n + 1, starts)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.slice(tokens, i, n)))
-
-
 def ngram_counts(texts: DataFrame, key: list[str], tokens: Column, starts: Column | None = None, max_n: int = 3) -> DataFrame:
     """Counts of the admissible 1..3-grams per key; partial counts combine before the shuffle.
 
-    `starts` limits where a gram may begin, so that a piece may carry the first tokens of the next one.
+    `starts` limits where a gram may begin, so that a piece may carry the first tokens of the next one. A row is made for every
+    place where one may begin, with the tokens that follow; texts are spread first, as that is most of the work.
     """
-    stop = F.array(*[F.lit(w) for w in V.PHRASE_STOP_WORDS])
-    d = texts.select(*key, tokens.alias("_t"), (F.size(tokens) if starts is None else starts).alias("_s"))
-    all_grams = F.flatten(F.array_compact(F.array(*[_grams(F.col("_t"), F.col("_s"), n) for n in range(1, max_n + 1)])))
-    g = F.col("_g")
-    admissible = (
-        ~F.array_contains(stop, F.get(g, F.lit(0)))
-        & ~F.array_contains(stop, F.element_at(g, -1))
-        & F.forall(g, lambda w: F.length(w) >= 3)
-        & (F.size(F.array_distinct(g)) == F.size(g))
-        & ((F.size(g) > 1) | (F.length(F.get(g, F.lit(0))) >= 4))
-    )
-    rows = d.select(*key, F.explode(all_grams).alias("_g")).filter(admissible)
-    return rows.select(*key, F.array_join(g, " ").alias("phrase")).groupBy(*key, "phrase").agg(F.count(F.lit(1)).alias("n"))
+    d = texts.select(*key, tokens.alias("_t"), (F.size(tokens) if starts is None else starts).alias("_s")).filter("_s > 0")
+    words = [f"_{i}" for i in range(max_n)]
+    shifted = [F.slice("_t", i + 1, F.col("_s")).alias(w) for i, w in enumerate(words)]
+    places = d.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select(*key, F.inline(F.arrays_zip(*shifted)).alias(*words))
+    edge = lambda w: (F.length(w) >= 3) & ~F.col(w).isin(list(V.PHRASE_STOP_WORDS))
+    grams, inner = [F.when(F.length("_0") >= 4, F.col("_0"))], F.lit(True)
+    for i, w in enumerate(words[1:], 1):
+        fresh = F.length(w) >= 3
+        for earlier in words[:i]:
+            fresh = fresh & (F.col(w) != F.col(earlier))
+        inner = inner & fresh
+        grams.append(F.when(inner & edge(w), F.concat_ws(" ", *words[: i + 1])))
+    rows = places.filter(edge("_0")).select(*key, F.explode(F.array(*grams)).alias("phrase"))
+    return rows.filter("phrase IS NOT NULL").groupBy(*key, "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ngram_candidates(counts: DataFrame, key: list[str], most: int = MAX_CANDIDATES) -> DataFrame:
@@ -94,43 +91,48 @@ def document_ngrams(texts: DataFrame, key: str, text: str, most: int = MAX_CANDI
 
 
 def _mmr(top_k: int, diversity: float):
-    @F.pandas_udf("array<string>")
-    def pick(doc: pd.Series, phrases: pd.Series, vectors: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def pick(doc: pd.Series, n: pd.Series, vectors: pd.Series) -> pd.Series:
         out = []
-        for d, names, vecs in zip(doc, phrases, vectors):
-            if names is None or not len(names) or d is None:
+        for d, rows, vecs in zip(doc, n, vectors):
+            if not rows or d is None:
                 out.append([])
                 continue
-            v = np.stack([np.zeros(len(d)) if x is None else np.asarray(x, dtype=float) for x in vecs])
+            v = np.asarray(vecs, dtype=float).reshape(rows, len(d))
             sims = np.round(v @ np.asarray(d, dtype=float), 9)
-            gain = np.round(v @ v.T, 9)
             chosen = [int(np.argmax(sims))]
-            left = np.ones(len(names), dtype=bool)
+            left = np.ones(rows, dtype=bool)
             left[chosen] = False
-            redundancy = gain[:, chosen[0]]
-            while len(chosen) < min(top_k, len(names)):
+            redundancy = np.round(v @ v[chosen[0]], 9)
+            while len(chosen) < min(top_k, rows):
                 score = np.where(left, (1 - diversity) * sims - diversity * redundancy, -np.inf)
                 nxt = int(np.argmax(score))
                 chosen.append(nxt)
                 left[nxt] = False
-                redundancy = np.maximum(redundancy, gain[:, nxt])
-            out.append([names[i] for i in chosen])
+                redundancy = np.maximum(redundancy, np.round(v @ v[nxt], 9))
+            out.append(chosen)
         return pd.Series(out)
 
     return pick
 
 
 def rank_phrases(candidates: DataFrame, documents: DataFrame, key: list[str], encoder: Encoder, top_k: int, diversity: float = 0.6) -> DataFrame:
-    """Maximal marginal relevance over at most 200 candidates per key. documents: (key..., vector)."""
-    coded = encoder.add(candidates.select("phrase").distinct(), "phrase", "_v")
-    listed = (
-        candidates.join(coded, "phrase")
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "phrase", "_v"))).alias("_c"))
-    )
+    """Maximal marginal relevance over at most 200 candidates per key. documents: (key..., vector).
+
+    Candidates are counted once. A phrase is hashed wherever it stands, as that costs less than to join its vector; a model sees
+    every phrase once.
+    """
+    if isinstance(encoder, HashingEncoder):
+        coded = encoder.add(candidates, "phrase", "_v")
+    else:
+        candidates = cut_lineage(candidates)
+        coded = candidates.join(encoder.add(candidates.select("phrase").distinct(), "phrase", "_v"), "phrase")
+    listed = coded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "phrase", "_v"))).alias("_c"))
     rows = listed.join(documents, key)
-    names, vectors = F.transform("_c", lambda c: c["phrase"]), F.transform("_c", lambda c: c["_v"])
-    return rows.select(*key, _mmr(top_k, diversity)(F.col("vector"), names, vectors).alias("keyphrases"))
+    blank = F.array_repeat(F.lit(0.0), F.size("vector"))
+    vectors = F.flatten(F.transform("_c", lambda c: F.coalesce(c["_v"], blank)))
+    picked = rows.select(*key, F.transform("_c", lambda c: c["phrase"]).alias("_p"), _mmr(top_k, diversity)(F.col("vector"), F.size("_c"), vectors).alias("_i"))
+    return picked.select(*key, F.transform("_i", lambda i: F.get("_p", i)).alias("keyphrases"))
 
 
 def keyphrases(texts: DataFrame, key: list[str], text: str = "text", top_k: int = 5, diversity: float = 0.6, encoder: Encoder | None = None) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from spanfinder.plans import keyphrases as kp
+from spanfinder.plans import proposals as pr
 from spanfinder.streaming import jobs as st
 
 
@@ -95,3 +98,53 @@ def test_reports_of_a_batch_cost_a_look_up_a_block():
         assert tuple(held.kept["sums"][:3]) == (turns.count(2), turns.count(1), len(known))
     assert told == [("v", "failed", sum(i % 9 == 0 for i in range(n)), n)]
     assert len(held.timers) == 1
+
+
+def _read_counted(spark, rows):
+    """The rows, and how many of them were made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    return rows.mapInPandas(count, rows.schema), made
+
+
+class _Model:
+    """An encoder that is no hash, as a model would be."""
+
+    key, dim = "lengths", 2
+
+    def add(self, df, text, out):
+        return df.withColumn(out, F.array(F.length(text).cast("double"), F.lit(1.0)))
+
+
+def test_candidates_are_counted_once(spark):
+    texts = ["gradient descent finds gradient minima", "momentum helps gradient descent", "descent with momentum"]
+    cands = spark.createDataFrame([(k, r, p) for k in (1, 2) for r, p in enumerate(["gradient descent", "gradient", "momentum", "a"], 1)], "k long, rank int, phrase string")
+    for enc in (kp.HashingEncoder(), _Model()):
+        docs = enc.add(spark.createDataFrame([(i, t) for i, t in enumerate(texts[:2], 1)], "k long, text string"), "text", "vector").select("k", "vector")
+        counted, made = _read_counted(spark, cands)
+        got = kp.rank_phrases(counted, docs, ["k"], enc, 2).collect()
+        assert made.value == 8  # 16 when they were read for the vectors and again for the list
+        assert sorted(r["k"] for r in got) == [1, 2] and all(len(set(r["keyphrases"])) == 2 for r in got)
+
+
+def test_spoken_halves_are_joined_once(spark):
+    rows = [(1, w, w * 60.0, w * 60.0 + 60, f"gradient descent number{w} finds minima of smooth functions with steps of chosen length every time") for w in range(6)]
+    windows, made = _read_counted(spark, spark.createDataFrame(rows, "video long, window long, start_s double, end_s double, speech_text string"))
+    got = pr.semantic_proposals(windows).collect()
+    assert sorted(r["id"] for r in got) == ["1.wsemantic0.semantic", "1.wsemantic1.semantic"]
+    assert made.value <= 24  # the windows are read a few times to number them, all of it three times over before
+
+
+def test_grams_begin_at_admissible_words_only(spark):
+    rows = [(1, ["gradient", "descent", "and", "gradient", "descent", "of", "gradient"], 7), (1, ["gradient", "descent", "momentum"], 1), (2, ["the", "cat", "tree", "tree"], 4), (3, [], 0)]
+    d = spark.createDataFrame(rows, "k long, t array<string>, own int")
+    got = {(r["k"], r["phrase"]): r["n"] for r in kp.ngram_counts(d, ["k"], F.col("t"), F.col("own")).collect()}
+    assert got == {
+        (1, "gradient"): 4, (1, "descent"): 2, (1, "gradient descent"): 3, (1, "gradient descent momentum"): 1,
+        (1, "descent and gradient"): 1, (2, "tree"): 2, (2, "cat tree"): 1,
+    }
