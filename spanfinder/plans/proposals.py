@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.text import clean_candidate, ocr_fragment, window_key
 from ..operators.ordered import null_safe_join, positions
+from ..session import cut_lineage
 
 MIN_SPEECH_WORDS = 8
 QUIET_WORDS = 5
@@ -95,6 +96,7 @@ def semantic_proposals(windows: DataFrame, encoder=None) -> DataFrame:
         F.min("start_s").alias("start_s"),
         F.max("end_s").alias("end_s"),
     ).filter(F.size(_words(F.col("text"))) >= 15)
+    joined = cut_lineage(joined)  # read three times
     phrased = keyphrases(joined, ["video", "half"], "text", 2, encoder=encoder).filter(F.size("keyphrases") > 0)
     d = joined.join(phrased, ["video", "half"])
     return d.select(
