@@ -27,6 +27,7 @@ COUNTS_HELD = 1 << 19  # counts of (text, query) that a task holds at once
 TOKENS_HELD = 1 << 16  # stripped tokens that a task remembers, whatever the vocabulary
 TEXTS_HELD = 64  # texts that a task has as Python strings; the rest of a batch stays in Arrow
 _TERM = re.compile(TERM)
+MARKS = ".'-"  # stripped from the end of a token
 
 
 def query_items(plans: DataFrame, normalise: Callable[[Column], Column]) -> DataFrame:
@@ -96,11 +97,14 @@ class _Vocabulary:
         self.suffixes = suffixes
         self.allowed = None if allowed is None else {v: np.array(sorted(place[q] for q in qs if q in place)) for v, qs in allowed.items()}
         self.known: dict[str, str] = {}
+        # every spelling without marks at its end that is stripped to a token of the queries
+        self.spelt = {w: t for t in {*self.single, *self.phrases} for w in (t, *(t + s for s in suffixes)) if self.plain(w) == t}
+        self.known = {}
 
     def plain(self, raw: str) -> str:
         found = self.known.get(raw)
         if found is None:
-            found = raw.rstrip(".'-")
+            found = raw.rstrip(MARKS)
             for s in self.suffixes:
                 if found.endswith(s) and len(found) >= len(s) + 3:
                     found = found[: -len(s)]
@@ -120,11 +124,22 @@ class _Vocabulary:
     def counts(self, text: str) -> np.ndarray:
         """Matching positions of every query in a lower-cased text."""
         n = np.zeros(len(self.ids), np.int64)
-        tokens = [self.plain(t) for t in _TERM.findall(text)]
-        for t, m in Counter(tokens).items():
+        found = _TERM.findall(text)
+        begun = False  # does a phrase begin with a token of the text
+        asked, times = [], []
+        for raw, m in Counter(found).items():
+            t = self.spelt.get(raw)
+            if t is None:
+                if raw[-1] not in MARKS or (t := self.spelt.get(raw.rstrip(MARKS))) is None:
+                    continue
             if t in self.single:
-                n[self.single[t]] += m
-        if self.phrases:
+                asked.append(self.single[t])
+                times.append(m)
+            begun = begun or t in self.phrases
+        if asked:  # once a text, not once a token
+            n += np.bincount(np.concatenate(asked), np.repeat(times, [len(q) for q in asked]), len(n)).astype(np.int64)
+        if begun:
+            tokens = [self.plain(t) for t in found]
             for i, t in enumerate(tokens):
                 for q, wanted in self.phrases.get(t, ()):
                     n[q] += tokens[i : i + len(wanted)] == wanted

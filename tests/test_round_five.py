@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from spanfinder.operators import lexical as lx
 from spanfinder.plans import keyphrases as kp
 from spanfinder.plans import proposals as pr
 from spanfinder.streaming import jobs as st
@@ -148,3 +149,12 @@ def test_grams_begin_at_admissible_words_only(spark):
         (1, "gradient"): 4, (1, "descent"): 2, (1, "gradient descent"): 3, (1, "gradient descent momentum"): 1,
         (1, "descent and gradient"): 1, (2, "tree"): 2, (2, "cat tree"): 1,
     }
+
+
+def test_foreign_words_are_not_stripped_or_remembered():
+    rows = [{"query_id": q, "item": i, "at": at, "width": w, "token": t} for q, i, at, w, t in [(1, 0, 0, 1, "descent"), (2, 0, 0, 1, "descent"), (2, 1, 0, 1, "step"), (3, 0, 0, 2, "big"), (3, 0, 1, 2, "step")]]
+    words = lx._Vocabulary(rows, lx.SUFFIXES, None)
+    text = "descents descent. steps' other big steps step " + " ".join(f"word{i}ing" for i in range(1000))
+    assert words.counts(text).tolist() == [2, 5, 1]
+    words = lx._Vocabulary(rows[:3], lx.SUFFIXES, None)
+    assert words.counts(text).tolist() == [2, 5] and not words.known  # a thousand words before
