@@ -114,15 +114,18 @@ def holds(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) where `text` holds `item`, of any length."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     items = items.filter(F.col("item").isNotNull()).withColumn("_w", words(F.col("item"))).withColumn("_g", F.least(F.lit(GRAM), F.size("_w") - 2))
-    keyed = items.filter("_g > 0").select("item_id", "item", "_g", F.xxhash64(F.expr("slice(_w, 2, _g)")).alias("gram"))
+    hashed = lambda g: F.xxhash64(*[F.get("_w", F.lit(i + 1)) for i in range(g)])
+    gram = F.coalesce(*[F.when(F.col("_g") == g, hashed(g)) for g in range(1, GRAM + 1)])
+    keyed = items.filter("_g > 0").select("item_id", "item", "_g", gram.alias("gram"))
     lengths = sorted(r["_g"] for r in keyed.select("_g").distinct().collect())  # at most GRAM numbers
-    grams = lambda g: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - g + 1)), lambda i: F.xxhash64(F.slice("_w", i, g))
-    )
     found = []
     if lengths:
-        own = docs.select("doc_id", words(F.col("text")).alias("_w"))
-        seen = own.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[grams(g) for g in lengths])))).alias("gram"))
+        # a row for every place of a text, with the words that begin there
+        at = [f"_{i}" for i in range(lengths[-1])]
+        own = docs.select("doc_id", words(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
+        places = own.select("doc_id", F.inline(F.arrays_zip(*[F.slice("_w", i + 1, F.size("_w")).alias(c) for i, c in enumerate(at)])).alias(*at))
+        grams = F.array(*[F.when(F.col(at[g - 1]).isNotNull(), F.xxhash64(*at[:g])) for g in lengths])
+        seen = places.select("doc_id", F.explode(grams).alias("gram")).filter("gram IS NOT NULL")
         small = at_most(keyed, BROADCAST_ROWS)
         met = lookup_join(seen, keyed.select("item_id", "gram"), ["gram"], ["doc_id"], small).select("item_id", "doc_id").distinct()
         texts = docs.join(met, "doc_id").join(keyed.select("item_id", "item"), "item_id")
