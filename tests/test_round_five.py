@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from spanfinder.catalog import bindings as B
 from spanfinder.operators import lexical as lx
 from spanfinder.plans import keyphrases as kp
 from spanfinder.plans import proposals as pr
@@ -158,3 +159,13 @@ def test_foreign_words_are_not_stripped_or_remembered():
     assert words.counts(text).tolist() == [2, 5, 1]
     words = lx._Vocabulary(rows[:3], lx.SUFFIXES, None)
     assert words.counts(text).tolist() == [2, 5] and not words.known  # a thousand words before
+
+
+def test_items_of_every_length_are_found_without_lambdas(spark):
+    docs = spark.createDataFrame([(1, "so the big red fox runs on and on here"), (2, "xbig red fox runsy"), (3, "fox"), (4, None), (5, "")], "doc_id long, text string")
+    items = ["big red fox runs on and", "big red fox", "g red fox r", "red fox", "fox", "on and on", "the big red fox runs", "red big fox", None]
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, item string")
+    found = B.holds(docs, items)
+    want = docs.crossJoin(items).where(F.contains("text", "item")).select("item_id", "doc_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "lambdafunction" not in found._jdf.queryExecution().toString().lower()  # one was run at every word before
