@@ -63,7 +63,7 @@ def plan_segments(
     max_s: float = 15.0,
 ) -> Column:
     """Contiguous (index, start_s, end_s) windows snapped to the utterance end nearest the target."""
-    ends = F.array_sort(F.array_distinct(F.transform(utterance_ends, lambda b: F.round(b, 3))))
+    ends = F.array_distinct(F.transform(utterance_ends, lambda b: F.round(b, 3)))
     return let(ends, lambda bounds: _cut_at(bounds, chunk_start, chunk_end, target_s, min_s, max_s))
 
 
@@ -79,13 +79,16 @@ def _cut_at(bounds: Column, chunk_start: Column, chunk_end: Column, target_s: fl
         best = F.array_min(
             F.transform(inside, lambda b: F.struct(F.abs(b - (cur + target_s)).alias("d"), b.alias("b")))
         )["b"]
-        end = F.least(F.coalesce(best, cur + target_s), chunk_end)
-        end = F.when(chunk_end - end < min_s, chunk_end).otherwise(end).cast("double")
-        seg = F.struct(
-            F.size(acc["segs"]).alias("index"), F.round(cur, 3).alias("start_s"), F.round(end, 3).alias("end_s")
-        )
-        grown = F.struct(end.alias("cur"), F.array_append(acc["segs"], seg).alias("segs"))
-        return F.when(cur < chunk_end - 0.5, grown).otherwise(acc)
+        last = lambda e: F.when(chunk_end - e < min_s, chunk_end).otherwise(e).cast("double")
+        end = let(F.least(F.coalesce(best, cur + target_s), chunk_end), last)
+
+        def grown(end: Column) -> Column:
+            seg = F.struct(
+                F.size(acc["segs"]).alias("index"), F.round(cur, 3).alias("start_s"), F.round(end, 3).alias("end_s")
+            )
+            return F.struct(end.alias("cur"), F.array_append(acc["segs"], seg).alias("segs"))
+
+        return F.when(cur < chunk_end - 0.5, let(end, grown)).otherwise(acc)
 
     segs = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["segs"])
     whole = F.array(

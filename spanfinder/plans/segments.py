@@ -25,27 +25,24 @@ def trim_utterances(utterances: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     u = utterances.select("video_id", "start_s", "end_s", "words")
     met = overlap_join(u, chunks.select("video_id", "chunk_index", "start_s", "end_s"), ["video_id"])
-    words = F.filter("words", lambda w: (w["s"] >= F.col("r_start_s")) & (w["s"] < F.col("r_end_s")))
-    cut = met.withColumn("words", words).filter(F.size("words") > 0)
+    inside = lambda w: (w["s"] >= F.col("r_start_s")) & (w["s"] < F.col("r_end_s"))
+    cut = met.filter(F.exists("words", inside)).withColumn("words", F.filter("words", inside))
     first, last = F.get("words", F.lit(0)), F.element_at("words", -1)
     return cut.select(
         "video_id",
         "chunk_index",
         first["s"].alias("start_s"),
         F.greatest(last["e"], first["s"] + 0.2).alias("end_s"),
-        F.array_join(F.transform("words", lambda w: w["w"]), " ").alias("text"),
+        F.array_join(F.col("words.w"), " ").alias("text"),
         "words",
     )
 
 
-def _assign_words(segs: Column, words: Column) -> Column:
-    """Words per segment: the first segment that ends after the word starts, else the last one."""
-    n = F.size(segs)
-    slot = lambda w: F.least(F.size(F.filter(segs, lambda s: s["end_s"] <= w["s"])), n - 1)
-    placed = F.transform(words, lambda w: F.struct(slot(w).alias("i"), w["w"].alias("w")))
-    return F.transform(
-        segs, lambda s: F.transform(F.filter(placed, lambda p: p["i"] == s["index"]), lambda p: p["w"])
-    )
+def _words_upto(ends: Column, times: Column) -> Column:
+    """How many words there are up to the end of each segment: a word is in the first segment that ends after it starts, else in
+    the last one. Words are in order of time, so a segment's are a slice."""
+    n = F.size(times)
+    return F.transform(ends, lambda e, j: F.when(j == F.size(ends) - 1, n).otherwise(n - F.size(F.filter(times, lambda s: s >= e))))
 
 
 def build_segments(chunks: DataFrame, utterances: DataFrame) -> DataFrame:
@@ -54,34 +51,32 @@ def build_segments(chunks: DataFrame, utterances: DataFrame) -> DataFrame:
     utterances: trimmed (video_id, chunk_index, start_s, end_s, words). A chunk's transcript is bounded
     by its length, so it is handled as one row; silent chunks get fixed windows.
     """
+    timed = F.arrays_zip(F.col("words.s"), F.col("words.w")).cast("array<struct<s:double,w:string>>")
     speech = utterances.groupBy("video_id", "chunk_index").agg(
-        F.collect_list("end_s").alias("ends"),
-        F.array_sort(F.flatten(F.collect_list(F.transform("words", lambda w: F.struct(w["s"].alias("s"), w["w"].alias("w")))))).alias("words"),
+        F.collect_list("end_s").alias("ends"), F.sort_array(F.flatten(F.collect_list(timed))).alias("words")
     )
     d = chunks.select("video_id", "chunk_index", "start_s", "end_s").join(speech, ["video_id", "chunk_index"], "left")
     ends = F.coalesce("ends", F.array().cast("array<double>"))
     words = F.coalesce("words", F.array().cast("array<struct<s:double,w:string>>"))
     d = d.select(
         "video_id", "chunk_index", plan_segments(F.col("start_s"), F.col("end_s"), ends).alias("segs"), words.alias("words")
-    ).withColumn("texts", _assign_words(F.col("segs"), F.col("words")))
-    rows = d.select("video_id", "chunk_index", "texts", F.explode("segs").alias("s"))
-    i = F.col("s.index")
-    own, prev, after = F.get("texts", i), F.get("texts", i - 1), F.get("texts", i + 1)
-    none = F.array().cast("array<string>")
-    parts = F.concat(
-        F.coalesce(F.slice(prev, F.greatest(F.lit(1), F.size(prev) - CONTEXT_WORDS + 1), CONTEXT_WORDS), none),
-        own,
-        F.coalesce(F.slice(after, 1, CONTEXT_WORDS), none),
-    )
-    return rows.select(
-        "video_id",
-        "chunk_index",
-        (F.col("chunk_index") * CHUNK_STRIDE + i).alias("index"),
-        F.col("s.start_s").alias("start_s"),
-        F.col("s.end_s").alias("end_s"),
-        F.trim(F.array_join(own, " ")).alias("text"),
-        F.trim(F.array_join(parts, " ")).alias("context_text"),
     )
+    d = d.select("video_id", "chunk_index", "segs", F.col("words.w").alias("said"), _words_upto(F.col("segs.end_s"), F.col("words.s")).alias("upto"))
+    from_to = lambda lo, hi: F.trim(F.array_join(F.slice("said", lo + 1, hi - lo), " "))
+
+    def segment(s: Column, i: Column) -> Column:
+        upto = lambda k: F.coalesce(F.get("upto", k), F.lit(0))
+        lo, hi, last = upto(i - 1), upto(i), F.coalesce(F.get("upto", i + 1), F.get("upto", i))
+        context = from_to(F.greatest(upto(i - 2), lo - CONTEXT_WORDS), F.least(last, hi + CONTEXT_WORDS))
+        return F.struct(
+            (F.col("chunk_index") * CHUNK_STRIDE + i).alias("index"),
+            s["start_s"].alias("start_s"),
+            s["end_s"].alias("end_s"),
+            from_to(lo, hi).alias("text"),
+            context.alias("context_text"),
+        )
+
+    return d.select("video_id", "chunk_index", F.inline(F.transform("segs", segment)))
 
 
 def context_text(segments: DataFrame, words: int = CONTEXT_WORDS) -> DataFrame:

@@ -96,3 +96,31 @@ def test_a_chunk_in_two_batches_is_whole(spark, place):
     want = sg.build_segments(chunks, sg.trim_utterances(heard, chunks)).select(*cols)
     got = spark.read.parquet(f"{place}/sink/segments").select(*cols)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_words_reach_a_chunk_of_another_batch(spark, place):
+    """An utterance of one chunk runs into the next, which came in a batch before or comes in one after."""
+    words = lambda a, n: [(f"w{a + i:g}", a + i, a + i + 0.5) for i in range(n)]
+    rows = [("a", 0, 50.0, 70.0, words(50.0, 20)), ("a", 1, 80.0, 90.0, words(80.0, 10)), ("a", 1, 110.0, 130.0, words(110.0, 20)), ("a", 2, 140.0, 150.0, words(140.0, 10)), ("b", 0, 0.0, 9.0, [])]
+    heard = spark.createDataFrame(rows, "video_id string, chunk_index int, start_s double, end_s double, words array<struct<w:string,s:double,e:double>>")
+    chunks = spark.createDataFrame([(v, c, 60.0 * c, 60.0 * c + 60) for v in ("a", "b") for c in range(3)], "video_id string, chunk_index int, start_s double, end_s double")
+    for step in ("chunk_index > 0 AND start_s <> 110", "chunk_index = 0", "start_s = 110"):
+        heard.where(step).repartition(8).write.mode("append").parquet(f"{place}/src")
+        st.stream_index(spark.readStream.schema(heard.schema).parquet(f"{place}/src"), chunks, f"{place}/sink", f"{place}/state", buckets=2).awaitTermination()
+    cols = ["video_id", "chunk_index", "index", "start_s", "end_s", "text", "context_text"]
+    named = chunks.where("video_id = 'a' OR chunk_index = 0")  # also the one without a word
+    want = sg.build_segments(named, sg.trim_utterances(heard, named)).select(*cols)
+    assert sorted(map(str, spark.read.parquet(f"{place}/sink/segments").select(*cols).collect())) == sorted(map(str, want.collect()))
+
+
+def test_an_index_has_few_files(spark, place):
+    """A bucket is written by the tasks that its rows need, not by all that read a part of it."""
+    rows = [(f"v{v}", 0, 5.0 * i, 5.0 * i + 4, [("w", 5.0 * i, 5.0 * i + 1)]) for v in range(40) for i in range(12)]
+    heard = spark.createDataFrame(rows, "video_id string, chunk_index int, start_s double, end_s double, words array<struct<w:string,s:double,e:double>>")
+    chunks = heard.select("video_id", "chunk_index", F.lit(0.0).alias("start_s"), F.lit(60.0).alias("end_s")).distinct()
+    heard.repartition(8).write.parquet(f"{place}/src")
+    st.stream_index(spark.readStream.schema(heard.schema).parquet(f"{place}/src"), chunks, f"{place}/sink", f"{place}/state", buckets=2).awaitTermination()
+    for table, rows_with, n in (("utterances", "words IS NOT NULL", 480), ("segments", "text IS NOT NULL", 240)):
+        written = spark.read.parquet(f"{place}/sink/{table}")
+        assert written.where(rows_with).count() == n
+        assert len(written.inputFiles()) == 2  # a bucket's own
