@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,6 +21,7 @@ from ..operators.topk import topk
 from ..session import cut_lineage
 
 MAX_CANDIDATES = 200
+PHRASES_HELD = 1 << 16  # phrases that a task gathers, and those of one more text, before they leave it
 _TOKEN = re.compile(V.PHRASE_TOKEN)
 
 
@@ -56,36 +56,34 @@ def ngram_candidates(counts: DataFrame, key: list[str], most: int = MAX_CANDIDAT
     return topk(counts, key, [F.col("n").desc(), F.length("phrase").desc(), F.col("phrase").asc()], most)
 
 
-def document_ngrams(texts: DataFrame, key: str, text: str, most: int = MAX_CANDIDATES, max_n: int = 3) -> DataFrame:
-    """(key, phrase, n) of `ngram_candidates` where a row is a whole document: counted inside the row, nothing is shuffled."""
+def document_ngrams(texts: DataFrame, key: str, text: str, max_n: int = 3) -> DataFrame:
+    """(key, phrase, n) of all admissible phrases where a row is a whole document: counted inside the row, nothing is shuffled."""
     rows = texts.select(key, F.lower(F.col(text)).alias("_text")).filter("_text IS NOT NULL")
     out = T.StructType([texts.schema[key], T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
     stop = frozenset(V.PHRASE_STOP_WORDS)
 
     def grams(doc: str) -> Counter[str]:
-        tokens = _TOKEN.findall(doc)
-        inner, edge = [len(t) >= 3 for t in tokens], [t not in stop and len(t) >= 3 for t in tokens]
-        found: Counter[str] = Counter(t for t, e in zip(tokens, edge, strict=True) if e and len(t) >= 4)
+        inner = [t if len(t) >= 3 else None for t in _TOKEN.findall(doc)]
+        edge = [None if t in stop else t for t in inner]
+        found = Counter(t for t in edge if t and len(t) >= 4)
         for n in range(2, max_n + 1):
-            for j in range(len(tokens) - n + 1):
-                if edge[j] and edge[j + n - 1] and all(inner[j + 1 : j + n - 1]):
-                    gram = tokens[j : j + n]
-                    if len(set(gram)) == n:
-                        found[" ".join(gram)] += 1
+            runs = zip(edge, *(inner[i:] for i in range(1, n - 1)), edge[n - 1 :], strict=False)
+            found.update([" ".join(run) for run in runs if None not in run and len(set(run)) == n])
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # the phrases of a whole batch would be many times its texts
             for first, docs in few_texts(batch, "_text"):
-                at, phrases, counts = [], [], []
+                held: list[tuple[int, Counter[str]]] = []
                 for i, doc in enumerate(docs, first):
-                    best = heapq.nsmallest(most, grams(doc).items(), key=lambda kv: (-kv[1], -len(kv[0]), kv[0]))
-                    at += [i] * len(best)
-                    phrases += [p for p, _ in best]
-                    counts += [c for _, c in best]
-                keys = batch[key].take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=out.names)
+                    held.append((i, grams(doc)))
+                    if i == first + len(docs) - 1 or sum(len(c) for _, c in held) >= PHRASES_HELD:
+                        keys = batch[key].take(pa.array(np.repeat([i for i, _ in held], [len(c) for _, c in held])))
+                        phrases = pa.array([p for _, c in held for p in c], pa.string())
+                        counts = pa.array([n for _, c in held for n in c.values()], pa.int64())
+                        yield pa.RecordBatch.from_arrays([keys, phrases, counts], names=out.names)
+                        held = []
 
     return rows.mapInArrow(run, out)
 
