@@ -26,8 +26,8 @@ POSITION_WEIGHT = 0.1
 COUNTS_HELD = 1 << 19  # counts of (text, query) that a task holds at once
 TOKENS_HELD = 1 << 16  # stripped tokens that a task remembers, whatever the vocabulary
 TEXTS_HELD = 64  # texts that a task has as Python strings; the rest of a batch stays in Arrow
-_TERM = re.compile(TERM)
 MARKS = ".'-"  # stripped from the end of a token
+_STRIPPED = re.compile(f"{TERM}(?<![{MARKS}])")
 
 
 def query_items(plans: DataFrame, normalise: Callable[[Column], Column]) -> DataFrame:
@@ -124,25 +124,25 @@ class _Vocabulary:
     def counts(self, text: str) -> np.ndarray:
         """Matching positions of every query in a lower-cased text."""
         n = np.zeros(len(self.ids), np.int64)
-        found = _TERM.findall(text)
-        begun = False  # does a phrase begin with a token of the text
-        asked, times = [], []
-        for raw, m in Counter(found).items():
-            t = self.spelt.get(raw)
-            if t is None:
-                if raw[-1] not in MARKS or (t := self.spelt.get(raw.rstrip(MARKS))) is None:
-                    continue
-            if t in self.single:
-                asked.append(self.single[t])
-                times.append(m)
-            begun = begun or t in self.phrases
-        if asked:  # once a text, not once a token
-            n += np.bincount(np.concatenate(asked), np.repeat(times, [len(q) for q in asked]), len(n)).astype(np.int64)
-        if begun:
-            tokens = [self.plain(t) for t in found]
-            for i, t in enumerate(tokens):
-                for q, wanted in self.phrases.get(t, ()):
-                    n[q] += tokens[i : i + len(wanted)] == wanted
+        met = Counter(self.met(text))
+        single = [t for t in met if t in self.single]
+        if single:  # once a text, not once a token
+            asked = [self.single[t] for t in single]
+            n += np.bincount(np.concatenate(asked), np.repeat([met[t] for t in single], [len(q) for q in asked]), len(n)).astype(np.int64)
+        if not self.phrases.keys().isdisjoint(met):
+            n += self.phrase_counts(text)
+        return n
+
+    def met(self, text: str) -> list[str]:
+        """Tokens of the queries in a lower-cased text."""
+        return [t for t in map(self.spelt.get, _STRIPPED.findall(text)) if t is not None]
+
+    def phrase_counts(self, text: str) -> np.ndarray:
+        n = np.zeros(len(self.ids), np.int64)
+        tokens = [self.plain(t) for t in _STRIPPED.findall(text)]
+        for i, t in enumerate(tokens):
+            for q, wanted in self.phrases.get(t, ()):
+                n[q] += tokens[i : i + len(wanted)] == wanted
         return n
 
 
@@ -161,6 +161,11 @@ class Leaders:
         self.size = 0
         self.floor = np.zeros(n_queries)  # scores below cannot be among the best; it may lag behind
 
+    def raise_floor(self, scores: np.ndarray) -> None:
+        """Scores that rows to come have at least."""
+        if len(scores) >= self.k:
+            self.floor = np.maximum(self.floor, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+
     def offer(self, segments: np.ndarray, scores: np.ndarray) -> None:
         """Scores of rows (texts x queries); 0 is no match."""
         keep = (scores > 0) & (scores >= self.floor)
@@ -176,7 +181,8 @@ class Leaders:
         every = pd.concat(self.held).sort_values(["q", "score", "segment_id"], ascending=[True, False, True])
         nth = every.groupby("q").cumcount()
         last = every[nth == self.k - 1]
-        self.floor[last["q"].to_numpy()] = last["score"].to_numpy()
+        of = last["q"].to_numpy()
+        self.floor[of] = np.maximum(self.floor[of], last["score"].to_numpy())
         found = every[nth < self.k]
         self.held, self.size = [found], len(found)
         return found
