@@ -133,6 +133,14 @@ class _Vocabulary:
             n += self.phrase_counts(text)
         return n
 
+    def asked(self, string: str) -> tuple[np.ndarray, bool] | None:
+        """Queries with the tokens of a string, once a token, and whether a phrase begins with one; None if it has no token of the queries."""
+        met = self.met(string)
+        if not met:
+            return None
+        queries = [self.single[t] for t in met if t in self.single]
+        return np.concatenate(queries) if queries else np.empty(0, np.int64), not self.phrases.keys().isdisjoint(met)
+
     def met(self, text: str) -> list[str]:
         """Tokens of the queries in a lower-cased text."""
         return [t for t in map(self.spelt.get, _STRIPPED.findall(text)) if t is not None]
