@@ -95,7 +95,7 @@ class _Vocabulary:
         for (q, _), tokens in sorted(wide.items()):
             self.phrases.setdefault(tokens[0], []).append((q, tokens))
         self.suffixes = suffixes
-        self.allowed = None if allowed is None else {v: np.array(sorted(place[q] for q in qs if q in place)) for v, qs in allowed.items()}
+        self.allowed = None if allowed is None else {v: np.array(sorted(place[q] for q in qs if q in place), np.int64) for v, qs in allowed.items()}
         self.known: dict[str, str] = {}
         # every spelling without marks at its end that is stripped to a token of the queries
         self.spelt = {w: t for t in {*self.single, *self.phrases} for w in (t, *(t + s for s in suffixes)) if self.plain(w) == t}

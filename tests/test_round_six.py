@@ -7,6 +7,7 @@ from spanfinder.operators import fuzzy
 from spanfinder.operators.lexical import _Vocabulary
 from spanfinder.plans import keyphrases
 from spanfinder.plans.keyphrases import document_ngrams
+from spanfinder.plans.search import ocr_lane
 from tests.test_round_four import both
 
 
@@ -69,3 +70,10 @@ def test_on_screen_texts_and_sql_with_strings_of_many_words(spark, place):
     tables = {"benchmark": ([(i, t) for i, t in enumerate(items)], "item_id long, text string"), "documents": ([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")}
     made, wanted = both(spark, place, "lane_ocr_trigram", tables)
     assert made == wanted and len(made) == 9
+
+
+def test_a_scope_may_name_queries_without_items(spark):
+    plans = spark.createDataFrame([(1, "?!", [], []), (2, "alpha", ["alpha"], [])], "query_id long, ocr_q string, terms array<string>, phrases array<string>")
+    segments = spark.createDataFrame([(1, "v", "alpha"), (2, "w", "alpha beta")], "segment_id long, video_id string, ocr_text string")
+    scope = spark.createDataFrame([(1, "v"), (2, "w")], "query_id long, video_id string")
+    assert [(r["query_id"], r["segment_id"]) for r in ocr_lane(plans, segments, 5, 0.45, scope).collect()] == [(2, 2)]
